@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oddsloom.llm.cluster import checkpointed, connected_components, written
+from oddsloom.llm.cluster import connected_components, written
 
 THRESHOLD = 0.9
 RECALL = 0.97

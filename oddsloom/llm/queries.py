@@ -5,9 +5,11 @@ from __future__ import annotations
 from oddsloom.llm.embedding_dedup import op10_embedding_near_dedup
 from oddsloom.llm.license_scan import op8_license_scans
 from oddsloom.llm.ngram_jaccard import op2_ngram_jaccard_join
+from oddsloom.llm.warc import op3_warc
 
 QUERIES = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_warc": op3_warc,
     "op8_license_scans": op8_license_scans,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
