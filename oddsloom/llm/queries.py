@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from oddsloom.llm.decontaminate import op1_decontamination
 from oddsloom.llm.embedding_dedup import op10_embedding_near_dedup
 from oddsloom.llm.license_scan import op8_license_scans
 from oddsloom.llm.ngram_jaccard import op2_ngram_jaccard_join
+from oddsloom.llm.piece_codec import op4_piece_encoding
+from oddsloom.llm.toxicity import op7_toxicity
 from oddsloom.llm.warc import op3_warc
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_warc": op3_warc,
+    "op4_piece_encoding": op4_piece_encoding,
+    "op7_toxicity": op7_toxicity,
     "op8_license_scans": op8_license_scans,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
