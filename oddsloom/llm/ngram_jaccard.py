@@ -33,6 +33,10 @@ SKETCH_SLICES = 64
 #: Subsets are listed for sets of at most this size, whatever the costs say.
 SUBSETS_UP_TO = 24
 FAN_IN = 64
+#: Counters in a set's profile, from which an upper bound of an intersection is read.
+PROFILE = 256
+#: Up to so many ids (16 bytes each) a list of wanted documents is broadcast; beyond that it is joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def need(n: int, m: int, percent: int) -> int:
@@ -127,7 +131,8 @@ def keyed_sets(documents: DataFrame, width: int, percent: int, sketch: np.ndarra
     ``keys`` holds, for a small set, a hash of each subset, and for a large one
     (or one small enough to be linked with a large one) the prefix of its
     shingles in order of rising frequency. ``places`` holds a shingle's place
-    in that order, or -1 for a subset.
+    in that order, or -1 for a subset. ``profile`` counts the shingles by some
+    of their hash's bits.
     """
     table = documents.sparkSession.sparkContext.broadcast(np.minimum(sketch, np.iinfo(np.int32).max).astype(np.int32))
     lists_from = -(-percent * (boundary + 1) // 100)
@@ -153,10 +158,11 @@ def keyed_sets(documents: DataFrame, width: int, percent: int, sketch: np.ndarra
         for batch in batches:
             for part in at.slices(batch, "text"):
                 values, offsets = text_sets(part, width)
-                digests, keys, places = [], [], []
+                digests, keys, places, profiles = [], [], [], []
                 for start, end in zip(offsets[:-1], offsets[1:]):
                     own = values[start:end]
                     digests.append(xxhash.xxh3_128_digest(own.tobytes()) if end > start else None)
+                    profiles.append(np.minimum(np.bincount((own >> np.uint64(40)).astype(np.int64) % PROFILE, minlength=PROFILE), 255).astype(np.uint8).tobytes())
                     k, p = keys_of(own)
                     keys.append(k)
                     places.append(p)
@@ -165,15 +171,38 @@ def keyed_sets(documents: DataFrame, width: int, percent: int, sketch: np.ndarra
                     "id": part.column("id"),
                     "n": pa.array(np.diff(offsets), pa.int64()),
                     "digest": pa.array(digests, pa.binary()),
+                    "profile": pa.array(profiles, pa.binary()),
                     "keys": at.list_array(at.as_long(np.concatenate(keys)), at_key, pa.int64()),
                     "places": at.list_array(np.concatenate(places), at_key, pa.int32()),
                 })
 
-    return documents.mapInArrow(describe, "id long, n long, digest binary, keys array<long>, places array<int>")
+    return documents.mapInArrow(describe, "id long, n long, digest binary, profile binary, keys array<long>, places array<int>")
 
 
-def with_sets(documents: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """The sorted shingle hashes, as bytes, of the documents whose id is in ``wanted``."""
+def possible(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` whose profiles allow an intersection that is large enough.
+
+    Two sets share at most the smaller of their counts in each counter; a full
+    counter (255) bounds nothing, so the other one counts.
+    """
+    left, right = (profiles.select(F.col("id").alias(i), F.col("n").alias(n), F.col("profile").alias(p)) for i, n, p in (("a", "n", "x"), ("b", "m", "y")))
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, PROFILE).astype(np.int64) for c in "xy")
+            n, m = batch.column("n").to_numpy(), batch.column("m").to_numpy()
+            top = np.minimum(x, y)
+            top[(x == 255) & (y == 255)] = np.iinfo(np.int32).max
+            most = top.sum(axis=1)
+            yield batch.select(["a", "b"]).filter(pa.array((100 + percent) * most >= percent * (n + m)))
+
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(bound, "a long, b long")
+
+
+def with_sets(documents: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """The sorted shingle hashes, as bytes, of the documents in ``pairs``."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,6 +210,8 @@ def with_sets(documents: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 values, offsets = text_sets(part, width)
                 yield pa.record_batch({"id": part.column("id"), "items": pa.array([values[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])], pa.binary())})
 
+    wanted = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     return documents.join(wanted, "id", "left_semi").mapInArrow(sets, "id long, items binary")
 
 
@@ -225,11 +256,11 @@ def jaccard_components(documents: DataFrame, id_column: str = "doc_id", text_col
     lists = checkpointed(entry.join(heads, "key"))
 
     size_ok = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
-    head_size = reps.select(F.col("id").alias("head"), F.col("n").alias("m"))
-    stars = lists.where("id <> head").select("head", "id", "n").distinct().join(head_size, "head").where(size_ok).select(F.col("head").alias("a"), F.col("id").alias("b"))
-    stars = checkpointed(stars)
-    ids = stars.select(F.col("a").alias("id")).union(stars.select(F.col("b").alias("id"))).distinct()
-    near = checkpointed(linked(stars, with_sets(docs, ids, width), percent))
+    profiles = reps.select("id", "n", "profile")
+    stars = lists.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"), "n").distinct()
+    stars = stars.join(profiles.select(F.col("id").alias("a"), F.col("n").alias("m")), "a").where(size_ok).select("a", "b")
+    stars = checkpointed(possible(stars, profiles, percent))
+    near = checkpointed(linked(stars, with_sets(docs, stars, width), percent))
     labels = checkpointed(connected_components(near))
 
     # Lists that still hold members of different components.
@@ -239,9 +270,8 @@ def jaccard_components(documents: DataFrame, id_column: str = "doc_id", text_col
     right = open_lists.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("place").alias("place_b"), F.col("label").alias("label_b"))
     could = F.expr(f"id < b and label <> label_b and 100 * least(n, m) >= {percent} * greatest(n, m) and (place < 0 or least(n - place, m - place_b) * {100 + percent} >= {percent} * (n + m))")
     rest = open_lists.join(right, (open_lists["key"] == right["key"]) & could).select(F.col("id").alias("a"), "b").distinct()
-    rest = checkpointed(rest.join(stars, ["a", "b"], "left_anti"))
-    ids = rest.select(F.col("a").alias("id")).union(rest.select(F.col("b").alias("id"))).distinct()
-    more = checkpointed(linked(rest, with_sets(docs, ids, width), percent))
+    rest = checkpointed(possible(rest.join(stars, ["a", "b"], "left_anti"), profiles, percent))
+    more = checkpointed(linked(rest, with_sets(docs, rest, width), percent))
 
     edges = near.union(more).union(members.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")))
     found = connected_components(edges)
