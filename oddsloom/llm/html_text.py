@@ -3,8 +3,8 @@
 A page's nodes get a density: characters per tag, adjusted for the part of
 them that are links. A node's density sum adds up those of its children. The
 node with the largest density sum is the anchor; the smallest density on its
-path up to the body is the threshold; of the nodes at or above it, those with
-the largest density sums are the text. What elements and their names declare
+path up to the body is the threshold; the anchor's subtree, with other subtrees
+at or above the threshold whose density sum is not far less, is the text. What elements and their names declare
 as furniture (menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles, comments of readers) is taken out first.
 
@@ -191,15 +191,17 @@ def main_nodes(root: Node) -> list[Node]:
     if marked:
         outer = [n for n in marked if not any(p.tag in ("article", "main") for p in path(n))]
         return outer
-    blocks = [n for n in order if n.chars and n.tag not in INLINE and n is not root] or [root]
+    body = next((n for n in order if n.tag == "body"), root)
+    blocks = [n for n in order if n.chars and n.tag not in INLINE and (n is not root or body is root)] or [body]
     anchor = max(blocks, key=lambda n: n.total)
     above = path(anchor)
     threshold = min([anchor.density, *(n.density for n in above if n.density)])
     found: list[Node] = []
     for node in blocks:
-        if node not in above and node.density >= threshold and node.total >= LEAST_SHARE * anchor.total and not any(p in found for p in path(node)):
+        whole = node is anchor or node.density >= threshold and node.total >= LEAST_SHARE * anchor.total and node not in above
+        if whole and not any(p in found for p in path(node)):
             found.append(node)
-    return found or [anchor]
+    return found
 
 
 def path(node: Node) -> list[Node]:
