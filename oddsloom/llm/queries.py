@@ -5,6 +5,7 @@ from __future__ import annotations
 from oddsloom.llm.decontaminate import op1_decontamination
 from oddsloom.llm.embedding_dedup import op10_embedding_near_dedup
 from oddsloom.llm.html_text import op6_html_extraction
+from oddsloom.llm.language_id import op5_language_id
 from oddsloom.llm.license_scan import op8_license_scans
 from oddsloom.llm.ngram_jaccard import op2_ngram_jaccard_join
 from oddsloom.llm.piece_codec import op4_piece_encoding
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_warc": op3_warc,
     "op4_piece_encoding": op4_piece_encoding,
+    "op5_language_id": op5_language_id,
     "op6_html_extraction": op6_html_extraction,
     "op7_toxicity": op7_toxicity,
     "op8_license_scans": op8_license_scans,
