@@ -46,7 +46,7 @@ KAPPA = 5.0
 #: Up to so many hosts a table of priors is broadcast (under 600 bytes each); beyond that it is joined by a shuffle.
 BROADCAST_HOSTS = 50_000
 
-_TAGS = r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]*>"
+_TAGS = r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]*>|&[a-z0-9#]+;"
 
 
 def trigram_buckets(data: np.ndarray) -> np.ndarray:
@@ -54,15 +54,22 @@ def trigram_buckets(data: np.ndarray) -> np.ndarray:
     return ((b[:-2] * 31 + b[1:-1]) * 131 + b[2:] * 7919) & (BUCKETS - 1)
 
 
+#: Letters and bytes beyond ASCII stand for themselves, all else for a space.
+_LETTERS = np.array([b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256)], dtype=np.uint8)
+
+
 def text_bytes(texts: pa.Array, markup: bool) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of all texts, A-Z lowered, and row offsets."""
+    """The letters of all texts, A-Z lowered, with one space between words, and row offsets."""
     texts = pc.fill_null(texts, "")
     if markup:
         texts = pc.replace_substring_regex(texts, _TAGS, " ")
     texts = pc.ascii_lower(texts)
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     data = np.frombuffer(texts.buffers()[2], dtype=np.uint8) if texts.buffers()[2] else np.zeros(0, dtype=np.uint8)
-    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+    data, offsets = _LETTERS[data[offsets[0] : offsets[-1]]], offsets - offsets[0]
+    keep = np.ones(len(data), dtype=bool)
+    keep[1:] = (data[1:] != 32) | (data[:-1] != 32)
+    return data[keep], np.concatenate([[0], np.cumsum(keep)])[offsets]
 
 
 def learn_languages(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
