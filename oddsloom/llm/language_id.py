@@ -216,6 +216,8 @@ def identify_pages(pages: DataFrame, langs: list[str], model: np.ndarray) -> Dat
 
 def in_known_language(documents: DataFrame, langs: list[str], model: np.ndarray, text_column: str = "text", declared_column: str = "lang", host_column: str = "source") -> DataFrame:
     """The rows of ``documents`` whose language is one of ``langs``; rejected are those that answer ``und``."""
+    if not langs:  # nothing to tell languages by
+        return documents
     names = documents.columns
     marked = documents.withColumns({"declared": F.lower(F.substring(F.trim(F.col(declared_column).cast("string")), 1, 16)), "host": F.col(host_column).cast("string"), "domain": F.lit(None).cast("string"), "suffix": F.lit(None).cast("string")})
     learned = with_evidence(marked.select(F.col(text_column).cast("string").alias("body"), "declared", "host", "domain", "suffix"), "body", model, keep_text=False)

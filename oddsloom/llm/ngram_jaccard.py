@@ -278,6 +278,23 @@ def jaccard_components(documents: DataFrame, id_column: str = "doc_id", text_col
     return table.select("id", "n").join(found, "id", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
+def without_near_copies(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``documents`` but for near copies: of each component the row with the smallest id stays.
+
+    Rows without an id stay; of rows that share one id and stay, one does.
+    """
+    found = jaccard_components(documents, id_column, text_column, width, percent)
+    gone = checkpointed(found.where("id <> component_id").select(F.col("id").alias("_gone")).distinct())
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    own = F.col(id_column).cast("long")
+    kept = documents.join(gone, own == F.col("_gone"), "left_anti")
+    repeated = checkpointed(documents.where(own.isNotNull()).groupBy(own.alias("_again")).agg(F.count("*").alias("k")).where("k > 1").select("_again"))
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(repeated, own == F.col("_again"), "left_anti")
+    return once.unionByName(kept.join(repeated, own == F.col("_again"), "left_semi").dropDuplicates([id_column]))
+
+
 def op2_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return jaccard_components(documents, "doc_id", "text", width=3, percent=90).withColumnRenamed("id", "doc_id")

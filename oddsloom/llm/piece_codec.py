@@ -322,8 +322,8 @@ def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("id", "ids").mapInArrow(run, "id long, text string")
 
 
-def token_digests(documents: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``(id, n_tokens, ids_sha256, decoded_sha256)``: every text encoded, and its ids decoded, in one pass."""
+def token_columns(documents: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", keep_ids: bool = True) -> DataFrame:
+    """``(id, n_tokens, ids_sha256, decoded_sha256)`` and, if wanted, ``ids``: every text encoded, and its ids decoded, in one pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -333,18 +333,22 @@ def token_digests(documents: DataFrame, path: str, id_column: str = "doc_id", te
                 decimal = pc.take(model.decimal, pa.array(ids))
                 cuts = np.frombuffer(decimal.buffers()[1], dtype=np.int32)[offsets].tolist()
                 data = memoryview(decimal.buffers()[2])
-                yield pa.record_batch({
-                    "id": part.column("id"),
+                made = {
+                    id_column: part.column("id"),
                     "n_tokens": pa.array(np.diff(offsets), pa.int64()),
                     "ids_sha256": pa.array([hashlib.sha256(data[a : b - 1]).hexdigest() for a, b in zip(cuts[:-1], cuts[1:])]),
                     "decoded_sha256": pa.array([hashlib.sha256(t).hexdigest() for t in model.decode(ids, offsets)]),
-                })
+                }
+                if keep_ids:
+                    made["ids"] = at.list_array(ids, offsets, pa.int32())
+                yield pa.record_batch(made)
 
-    return documents.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text")).mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    kind = f"`{id_column}` long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
+    return documents.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text")).mapInArrow(run, kind)
 
 
 def op4_piece_encoding(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return token_digests(documents, public_tokenizers.path("piece_bpe_32k.model")).withColumnRenamed("id", "doc_id")
+    return token_columns(documents, public_tokenizers.path("piece_bpe_32k.model"), keep_ids=False)
