@@ -1,10 +1,12 @@
-"""Folders that all executors share, checkpoints, and connected components."""
+"""Folders that all executors share, checkpoints, sums of counter tables, and connected components."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +39,33 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def summed(tables: DataFrame, parts: int, fan_in: int = 64) -> dict[int, np.ndarray]:
+    """Sums of fixed-size counter tables that tasks have sent in slices: ``(slice int, part long, counts binary)``.
+
+    ``counts`` is a slice's 64-bit counters and ``part`` the number of the task.
+    They are added up in groups of ``fan_in``, so neither a task nor the driver
+    ever holds more than so many slices or one table of fixed size.
+    """
+    shape = "slice int, part long, counts binary"
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_buffer(), dtype=np.int64) for x in table.column("counts"))
+        return pa.table({"slice": table.column("slice")[:1], "part": table.column("part")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+
+    left = max(2, parts)
+    while left > 1:
+        tables = tables.withColumn("part", F.floor(F.col("part") / fan_in)).groupBy("slice", "part").applyInArrow(add, shape)
+        left = -(-left // fan_in)
+    return {r["slice"]: np.frombuffer(r["counts"], dtype=np.int64) for r in tables.collect()}
+
+
+def sliced(rows: list[np.ndarray]) -> pa.RecordBatch:
+    """A task's counter table, row by row, for ``summed``."""
+    from pyspark import TaskContext
+
+    return pa.record_batch({"slice": pa.array(range(len(rows)), pa.int32()), "part": pa.array([TaskContext.get().partitionId()] * len(rows), pa.int64()), "counts": pa.array([r.astype(np.int64).tobytes() for r in rows], pa.binary())})
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Components of an undirected graph, as rows ``(id, component)`` for every vertex with an edge.
 

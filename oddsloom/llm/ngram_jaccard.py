@@ -26,13 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oddsloom.llm import arrowtext as at
-from oddsloom.llm.cluster import checkpointed, connected_components, written
+from oddsloom.llm.cluster import checkpointed, connected_components, sliced, summed, written
 
 SKETCH_WIDTH = 1 << 20
 SKETCH_SLICES = 64
 #: Subsets are listed for sets of at most this size, whatever the costs say.
 SUBSETS_UP_TO = 24
-FAN_IN = 64
 #: Counters in a set's profile, from which an upper bound of an intersection is read.
 PROFILE = 256
 #: Up to so many ids (16 bytes each) a list of wanted documents is broadcast; beyond that it is joined by a shuffle.
@@ -68,9 +67,7 @@ def text_sets(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray
 def sketch_of(documents: DataFrame, width: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """How often shingles occur, by bucket of a fixed-size table, and how many sets have each small size.
 
-    Every task sends one table of ``SKETCH_WIDTH`` counters in slices; these are
-    added up in groups of ``FAN_IN``, so neither a task nor the driver ever
-    holds more than that many slices or one table of fixed size.
+    Every task sends one table of ``SKETCH_WIDTH`` counters in slices.
     """
     size = SKETCH_WIDTH // SKETCH_SLICES
 
@@ -83,22 +80,10 @@ def sketch_of(documents: DataFrame, width: int, percent: int) -> tuple[np.ndarra
                 table += np.bincount((values & np.uint64(SKETCH_WIDTH - 1)).astype(np.int64), minlength=SKETCH_WIDTH)
                 small += np.bincount(np.minimum(np.diff(offsets), SUBSETS_UP_TO + 8), minlength=size)
         if small.any():
-            from pyspark import TaskContext
-
-            rows = [*table.reshape(SKETCH_SLICES, size), small]
-            yield pa.record_batch({"slice": pa.array(range(len(rows)), pa.int32()), "part": pa.array([TaskContext.get().partitionId()] * len(rows), pa.int64()), "counts": pa.array([r.tobytes() for r in rows], pa.binary())})
-
-    def add(table: pa.Table) -> pa.Table:
-        total = sum((np.frombuffer(x.as_buffer(), dtype=np.int64) for x in table.column("counts")), np.zeros(size, dtype=np.int64))
-        return pa.table({"slice": table.column("slice")[:1], "part": table.column("part")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
-
-    shape = "slice int, part long, counts binary"
-    tables = documents.select("text").mapInArrow(count, shape)
-    left = max(2, documents.rdd.getNumPartitions())
-    while left > 1:
-        tables = tables.withColumn("part", F.floor(F.col("part") / FAN_IN)).groupBy("slice", "part").applyInArrow(add, shape)
-        left = -(-left // FAN_IN)
-    found = {r["slice"]: np.frombuffer(r["counts"], dtype=np.int64) for r in tables.collect()}
+            yield sliced([*table.reshape(SKETCH_SLICES, size), small])
+
+    tables = documents.select("text").mapInArrow(count, "slice int, part long, counts binary")
+    found = summed(tables, documents.rdd.getNumPartitions())
     if not found:
         return np.zeros(SKETCH_WIDTH, dtype=np.int64), np.zeros(size, dtype=np.int64)
     return np.concatenate([found[k] for k in range(SKETCH_SLICES)]), found[SKETCH_SLICES]

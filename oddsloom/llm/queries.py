@@ -5,6 +5,7 @@ from __future__ import annotations
 from oddsloom.llm.decontaminate import op1_decontamination
 from oddsloom.llm.embedding_dedup import op10_embedding_near_dedup
 from oddsloom.llm.html_text import op6_html_extraction
+from oddsloom.llm.katz import op9_lm_scoring
 from oddsloom.llm.language_id import op5_language_id
 from oddsloom.llm.license_scan import op8_license_scans
 from oddsloom.llm.ngram_jaccard import op2_ngram_jaccard_join
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_html_extraction": op6_html_extraction,
     "op7_toxicity": op7_toxicity,
     "op8_license_scans": op8_license_scans,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 
