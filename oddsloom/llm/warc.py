@@ -248,4 +248,4 @@ def op3_warc(spark, sf_dir: str) -> DataFrame:
     """Write every page to archives in the shared folder, then read them back."""
     where = new_folder(spark, "warc")
     write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), where)
-    return read_warc(spark, where)
+    return read_warc(spark, where).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
