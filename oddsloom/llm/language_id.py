@@ -218,11 +218,16 @@ def in_known_language(documents: DataFrame, langs: list[str], model: np.ndarray,
     """The rows of ``documents`` whose language is one of ``langs``; rejected are those that answer ``und``."""
     if not langs:  # nothing to tell languages by
         return documents
-    names = documents.columns
-    marked = documents.withColumns({"declared": F.lower(F.substring(F.trim(F.col(declared_column).cast("string")), 1, 16)), "host": F.col(host_column).cast("string"), "domain": F.lit(None).cast("string"), "suffix": F.lit(None).cast("string")})
-    learned = with_evidence(marked.select(F.col(text_column).cast("string").alias("body"), "declared", "host", "domain", "suffix"), "body", model, keep_text=False)
-    fusion = Fusion(learned, langs)
-    own = marked.withColumn("_given", F.struct(*[F.col(f"`{n}`") for n in names])).select("_given", F.col(text_column).cast("string").alias("body"), "declared", "host", "suffix")
+    # The given row stays whole in one column, whatever its columns are called.
+    own = documents.select(
+        F.struct(*[F.col(f"`{n}`") for n in documents.columns]).alias("_given"),
+        F.col(text_column).cast("string").alias("body"),
+        F.lower(F.substring(F.trim(F.col(declared_column).cast("string")), 1, 16)).alias("declared"),
+        F.col(host_column).cast("string").alias("host"),
+        F.lit(None).cast("string").alias("domain"),
+        F.lit(None).cast("string").alias("suffix"),
+    )
+    fusion = Fusion(with_evidence(own.drop("_given"), "body", model, keep_text=False), langs)
     rows = fusion.posterior(with_evidence(own, "body", model, keep_text=False))
     return rows.where(F.col("lang") != UNKNOWN).select("_given.*")
 
