@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from oddsloom.plans import catalog
+from oddsloom.plans import catalog, catalog_more  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
