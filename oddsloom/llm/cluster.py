@@ -42,28 +42,42 @@ def written(frame: DataFrame, name: str) -> DataFrame:
 def summed(tables: DataFrame, parts: int, fan_in: int = 64) -> dict[int, np.ndarray]:
     """Sums of fixed-size counter tables that tasks have sent in slices: ``(slice int, part long, counts binary)``.
 
-    ``counts`` is a slice's 64-bit counters and ``part`` the number of the task.
+    ``counts`` is a slice's packed counters and ``part`` the number of the task.
     They are added up in groups of ``fan_in``, so neither a task nor the driver
     ever holds more than so many slices or one table of fixed size.
     """
     shape = "slice int, part long, counts binary"
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_buffer(), dtype=np.int64) for x in table.column("counts"))
-        return pa.table({"slice": table.column("slice")[:1], "part": table.column("part")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+        total = sum(unpacked(x.as_py()) for x in table.column("counts"))
+        return pa.table({"slice": table.column("slice")[:1], "part": table.column("part")[:1], "counts": pa.array([packed(total)], pa.binary())})
 
     left = max(2, parts)
     while left > 1:
         tables = tables.withColumn("part", F.floor(F.col("part") / fan_in)).groupBy("slice", "part").applyInArrow(add, shape)
         left = -(-left // fan_in)
-    return {r["slice"]: np.frombuffer(r["counts"], dtype=np.int64) for r in tables.collect()}
+    return {r["slice"]: unpacked(r["counts"]) for r in tables.collect()}
+
+
+def packed(counts: np.ndarray) -> bytes:
+    """Counters in as few bytes each as the largest one needs."""
+    size = next(s for s in (1, 2, 4, 8) if s == 8 or not len(counts) or counts.max() < 1 << (8 * s))
+    return bytes([size]) + counts.astype(f"u{size}").tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, dtype=f"u{data[0]}", offset=1).astype(np.int64)
 
 
 def sliced(rows: list[np.ndarray]) -> pa.RecordBatch:
     """A task's counter table, row by row, for ``summed``."""
     from pyspark import TaskContext
 
-    return pa.record_batch({"slice": pa.array(range(len(rows)), pa.int32()), "part": pa.array([TaskContext.get().partitionId()] * len(rows), pa.int64()), "counts": pa.array([r.astype(np.int64).tobytes() for r in rows], pa.binary())})
+    return pa.record_batch({"slice": pa.array(range(len(rows)), pa.int32()), "part": pa.array([TaskContext.get().partitionId()] * len(rows), pa.int64()), "counts": pa.array([packed(r) for r in rows], pa.binary())})
+
+
+#: Up to so many edges a graph is one partition: its steps then need no shuffle.
+SMALL_GRAPH = 20_000
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -78,16 +92,23 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     pairs = edges.where("a is not null and b is not null and a <> b")
     pairs = checkpointed(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    state = None
+
+    def summary(rows: DataFrame):
+        return rows.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+
+    state = summary(pairs)
+    small_graph = state["n"] <= SMALL_GRAPH
+    together = lambda rows: rows.coalesce(1) if small_graph else rows
+    pairs = together(pairs)
     for _ in range(rounds):
-        both = pairs.union(pairs.select("v", "u"))
+        both = together(pairs.union(pairs.select("v", "u")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        pairs = checkpointed(small.where("u <> v").distinct())
-        seen = pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        small = together(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))))
+        pairs = together(checkpointed(small.where("u <> v").distinct()))
+        seen = summary(pairs)
         if seen == state:
             break
         state = seen

@@ -10,7 +10,8 @@ Edge cases: a null or blank text has no shingles, is linked with nothing and
 is its own component; a text with fewer words than a shingle has its whole
 word sequence as its only shingle; repeated rows and equal texts are one class
 and so linked; an empty table gives an empty result; other columns are
-ignored. Rows with a null id are left out, as they can't be named in a pair.
+ignored. Rows with a null id are left out, as they can't be named in a pair; an
+id that stands on different texts takes the smallest of their components.
 """
 
 from __future__ import annotations
@@ -231,11 +232,11 @@ def jaccard_components(documents: DataFrame, id_column: str = "doc_id", text_col
     sketch, small = sketch_of(docs, width, percent)
     boundary = cheapest_boundary(small, sketch, percent)
     table = written(keyed_sets(docs, width, percent, sketch, boundary), "jaccard-keys")
-    classes = table.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"))
-    members = table.where("n > 0").select("id", "digest").join(classes, "digest").select("id", "rep")
+    # One row for each distinct set: that of its smallest id.
+    sets = table.where("n > 0").groupBy("digest").agg(F.min_by(F.struct("id", "n", "profile", "keys", "places"), "id").alias("rep"))
+    reps = sets.select("rep.*")
+    members = table.where("n > 0").select("id", "digest").join(sets.select("digest", F.col("rep.id").alias("rep")), "digest").select("id", "rep")
 
-    # One list entry for each distinct set and key.
-    reps = table.where("n > 0").join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
     entry = reps.select("id", "n", F.explode(F.arrays_zip("keys", "places")).alias("e")).select(F.col("e.keys").alias("key"), "id", "n", F.col("e.places").alias("place"))
     heads = entry.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("k")).where("k > 1")
     lists = checkpointed(entry.join(heads, "key"))
@@ -258,8 +259,13 @@ def jaccard_components(documents: DataFrame, id_column: str = "doc_id", text_col
     rest = checkpointed(possible(rest.join(stars, ["a", "b"], "left_anti"), profiles, percent))
     more = checkpointed(linked(rest, with_sets(docs, rest, width), percent))
 
-    edges = near.union(more).union(members.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")))
-    found = connected_components(edges)
+    # Links between components join them; a class takes its first id's component.
+    to = lambda side, name: labels.select(F.col("id").alias(side), F.col("component").alias(name))
+    joined = more.join(to("a", "la"), "a", "left").join(to("b", "lb"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    above = connected_components(joined).select(F.col("id").alias("label"), F.col("component").alias("top"))
+    known = labels.select("id", F.col("component").alias("label")).union(more.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(labels, "id", "left_anti").select("id", F.col("id").alias("label")))
+    tops = known.join(above, "label", "left").select(F.col("id").alias("rep"), F.coalesce("top", "label").alias("component"))
+    found = members.join(tops, "rep", "left").select("id", F.coalesce("component", "rep").alias("component")).groupBy("id").agg(F.min("component").alias("component"))
     return table.select("id", "n").join(found, "id", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
