@@ -39,6 +39,8 @@ BUCKETS = 1 << 16
 UNKNOWN = "und"
 #: Log probability of a trigram that belongs to no language.
 UNKNOWN_LOG = -float(np.log(30.0**3))
+#: Part of a text's trigrams that may belong to no language.
+NOISE = 0.2
 #: Trigrams are not independent: a text speaks as loudly as this many at most.
 WEIGHT = 60.0
 #: Strength of the parent in each smoothing step.
@@ -105,7 +107,9 @@ def learn_languages(documents: DataFrame, id_column: str = "doc_id", text_column
     place = {lang: k for k, lang in enumerate(langs)}
     for r in counted.where(F.col("bucket") >= 0).where(F.col("lang").isin(langs)).toLocalIterator():  # at most BUCKETS rows a language
         table[r["bucket"], place[r["lang"]]] = r["n"]
-    return langs, np.log((table + 0.05) / (table.sum(axis=0, keepdims=True) + 0.05 * BUCKETS))
+    # A part of every text may be of no language (names, codes), so no such part can outweigh the rest.
+    known = (table + 0.05) / (table.sum(axis=0, keepdims=True) + 0.05 * BUCKETS)
+    return langs, np.log((1 - NOISE) * known + NOISE * np.exp(UNKNOWN_LOG))
 
 
 def with_evidence(frame: DataFrame, text_column: str, model: np.ndarray, markup: bool = False, keep_text: bool = True) -> DataFrame:
