@@ -183,7 +183,7 @@ def write_warc(pages: DataFrame, where: str, shard_bytes: int = SHARD_BYTES, fil
     store, base = fs.FileSystem.from_uri(where)
     store.create_dir(base, recursive=True)
     manifest = ordered.mapInArrow(write, MANIFEST)
-    manifest.coalesce(1).write.mode("overwrite").json(f"{where}/manifest")
+    manifest.write.mode("overwrite").json(f"{where}/manifest")
     return spark.read.schema(MANIFEST).json(f"{where}/manifest")
 
 
