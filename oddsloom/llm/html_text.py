@@ -37,8 +37,12 @@ CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure fo
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("thead", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
 CONTAINERS = frozenset("body html article main section div table td th ul ol dl blockquote nav footer aside header form".split())
 NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|advertisement|banner|sponsor\w*|promo\w*|breadcrumbs?|comments?|comment-?list|commentlist|respond|replies|reply|disqus|cookies?\w*|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|footer|foot|masthead|header|site-header|page-header|topbar|navbar|nav|navigation|menu|sidebar|side|widget|related|recommend\w*|share|sharing|social|pagination|pager|toolbar|skip|copyright|legal|search\w*)(?:$|[\s_-])"
+    r"(?:^|[\s_-])(?<!with[_-])(?<!has[_-])(?<!no[_-])(?:ad|ads|adv|advert\w*|advertisement|banner|sponsor\w*|promo\w*|breadcrumbs?|comments?|commentlist|respond|replies|reply|disqus|cookies?\w*|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|navbar|nav|navigation|menu|sidebar|side|widget|related|recommend\w*|share|sharing|social|pagination|pager|toolbar|skip|copyright|legal|search\w*)(?:$|[\s_-])"
 )
+#: Names that tell furniture only outside an article.
+OUTER_NAMES = re.compile(r"(?:^|[\s_-])(?<!with[_-])(?<!has[_-])(?<!no[_-])(?:header|masthead|footer|foot|topbar|top)(?:$|[\s_-])")
+#: Names of things that may hold articles of their own: others' texts about this one, or other ones.
+FIRM_NAMES = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|respond|replies|reply|disqus|related|recommend\w*)(?:$|[\s_-])")
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog menu menubar alert".split())
 
 #: Part of the largest density sum that another piece of the text must have.
@@ -50,45 +54,52 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "drop")
+    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "drop", "named")
 
-    def __init__(self, tag: str, parent: Node | None, drop: bool):
-        self.tag, self.parent, self.children, self.drop = tag, parent, [], drop
+    def __init__(self, tag: str, parent: Node | None, drop: bool, named: int = 0):
+        self.tag, self.parent, self.children, self.drop, self.named = tag, parent, [], drop, named
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def is_furniture(tag: str, attributes: str, inside: Node) -> bool:
-    """Whether an element declares itself as not part of the article."""
+def in_article(node: Node | None) -> bool:
+    while node is not None:
+        if node.tag in ("article", "main"):
+            return True
+        node = node.parent
+    return False
+
+
+def is_furniture(tag: str, attributes: str, inside: Node) -> tuple[bool, int]:
+    """Whether an element is not part of the article by what it is, and whether by how it is named (2: whatever it holds)."""
     if tag in FURNITURE:
-        return True
+        return True, 0
     if tag == "header":  # an article may have its own
-        node = inside
-        while node is not None:
-            if node.tag in ("article", "main"):
-                return False
-            node = node.parent
-        return True
+        return not in_article(inside), 0
     if not attributes or tag in ("body", "html", "article", "main"):
-        return False
+        return False, 0
+    named = 0
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name in ("class", "id"):
-            if NAMES.search(value):
-                return True
+            if FIRM_NAMES.search(value):
+                named = 2
+            elif NAMES.search(value) or OUTER_NAMES.search(value) and not in_article(inside):
+                named = max(named, 1)
         elif name == "role":
             if value in ROLES:
-                return True
+                return True, 0
         elif name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return True, 0
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            return True, 0
+    return False, named
 
 
 def parse(page: str) -> Node:
     """The tree of a page; children are nodes and strings."""
     root = Node("html", None, False)
+    by_name: list[Node] = []
     node, at_char, end = root, 0, len(page)
     while at_char < end:
         m = _TOKEN.search(page, at_char)
@@ -122,8 +133,16 @@ def parse(page: str) -> Node:
             node = closed(node, ("p",))
         if tag in CLOSES:
             node = closed(node, CLOSES[tag])
-        child = Node(tag, node, node.drop or is_furniture(tag, attributes, node))
+        furniture, named = is_furniture(tag, attributes, node)
+        child = Node(tag, node, node.drop or furniture, named)
         node.children.append(child)
+        if named:
+            by_name.append(child)
+        elif tag in ("article", "main", "h1") and not child.drop:
+            up = node  # what holds the article is not furniture, whatever its name
+            while up is not None:
+                up.named = 0 if up.named == 1 else up.named
+                up = up.parent
         if tag in RAW:
             stop = re.compile(rf"</{tag}\s*>", re.I).search(page, at_char)
             if tag not in ("noscript", "template"):
@@ -132,6 +151,8 @@ def parse(page: str) -> Node:
                 continue
         if tag not in VOID and not attributes.endswith("/"):
             node = child
+    for named in by_name:
+        named.drop = named.drop or named.named > 0
     return root
 
 

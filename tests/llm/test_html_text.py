@@ -16,6 +16,8 @@ END = '<div class="comments"><p>A reader says a rather long thing about the text
         f"<body>{NOISE}<main><div class=\"cookie-notice\">We use cookies</div>{BODY}</main>{END}",
         f"<body>{NOISE}<article>{BODY}",
         f"{NOISE}<div>{BODY}</div>{END}",
+        f"<body><div class='page with-sidebar'><div class='site-header'>Site name</div><div class='wrap'>{BODY}</div><div class='sidebar'><p>See also this and that</p></div></div></body>",
+        f"<div id='side main'><article><div class='post-header'></div>{BODY}<div class='share-buttons'><a href='#'>Share</a></div></article><div class='comments'><article><p>First of all, I have to say that I do not agree with any word of this.</p></article></div></div>",
         f"<BODY>{NOISE}<ARTICLE>{BODY.replace('</p>', '')}</ARTICLE>{END}",
         f"<body><div class='ad'>Buy</div><div><div role=\"navigation\"><p>one two</p></div>{BODY}</div><!-- <p>gone</p> --></body>",
     ],
