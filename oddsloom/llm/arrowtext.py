@@ -13,7 +13,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 3 << 20
+#: For steps that hold several numbers for each byte.
+BYTE_SLICE = 1 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -26,6 +28,13 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
     edges = np.flatnonzero(np.diff(block)) + 1
     for start, end in zip([0, *edges], [*edges, batch.num_rows]):
         yield batch.slice(int(start), int(end - start))
+    pa.default_memory_pool().release_unused()
+
+
+def with_text(batch: pa.RecordBatch, column: str, inside: str | None = None) -> pa.RecordBatch:
+    """The batch with a last column ``_text``: that column as strings, or that field of the struct ``inside``; nothing is copied."""
+    text = pc.struct_field(batch.column(inside), column) if inside else batch.column(column)
+    return pa.RecordBatch.from_arrays([*batch.columns, text.cast(pa.string())], names=[*batch.schema.names, "_text"])
 
 
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:

@@ -265,12 +265,12 @@ def without_leaks(documents: DataFrame, items: DataFrame, text_column: str = "te
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in at.slices(batch, "_text"):
+                for part in at.slices(at.with_text(batch, text_column), "_text"):
                     leaks = {hit[0] for hit in search_batch(part.column("_text"), shared.value)}
                     keep = pa.array([i not in leaks for i in range(part.num_rows)], pa.bool_())
                     yield part.select(part.schema.names[:-1]).filter(keep)
 
-        kept = kept.withColumn("_text", F.col(text_column).cast("string")).mapInArrow(run, documents.schema)
+        kept = kept.mapInArrow(run, documents.schema)
     return kept
 
 

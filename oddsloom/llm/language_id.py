@@ -52,7 +52,7 @@ _TAGS = r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]*>|&[a-z0-9
 
 
 def trigram_buckets(data: np.ndarray) -> np.ndarray:
-    b = data.astype(np.int64)
+    b = data.astype(np.int32)
     return ((b[:-2] * 31 + b[1:-1]) * 131 + b[2:] * 7919) & (BUCKETS - 1)
 
 
@@ -86,7 +86,7 @@ def learn_languages(documents: DataFrame, id_column: str = "doc_id", text_column
         total: dict[str, np.ndarray] = {}
         texts_of: dict[str, int] = {}
         for batch in batches:
-            for part in at.slices(batch, "text"):
+            for part in at.slices(batch, "text", at.BYTE_SLICE):
                 langs = part.column("lang").to_pylist()
                 data, offsets = text_bytes(part.column("text"), False)
                 for lang, a, b in zip(langs, offsets[:-1], offsets[1:]):
@@ -112,7 +112,7 @@ def learn_languages(documents: DataFrame, id_column: str = "doc_id", text_column
     return langs, np.log((1 - NOISE) * known + NOISE * np.exp(UNKNOWN_LOG))
 
 
-def with_evidence(frame: DataFrame, text_column: str, model: np.ndarray, markup: bool = False, keep_text: bool = True) -> DataFrame:
+def with_evidence(frame: DataFrame, text_column: str, model: np.ndarray, markup: bool = False, keep_text: bool = True, inside: str | None = None) -> DataFrame:
     """``frame`` with ``_evidence``: weighed log likelihoods of the languages and of ``und``, or null for a text that is too short."""
     shared = frame.sparkSession.sparkContext.broadcast(model.astype(np.float32))
     kept = [f for f in frame.schema if keep_text or f.name != text_column]
@@ -121,7 +121,7 @@ def with_evidence(frame: DataFrame, text_column: str, model: np.ndarray, markup:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for batch in batches:
-            for part in at.slices(batch, "_text"):
+            for part in at.slices(at.with_text(batch, text_column, inside), "_text", at.BYTE_SLICE):
                 data, offsets = text_bytes(part.column("_text"), markup)
                 n = np.maximum(np.diff(offsets) - 2, 0)
                 rows = np.zeros((len(n), table.shape[1] + 1))
@@ -135,7 +135,7 @@ def with_evidence(frame: DataFrame, text_column: str, model: np.ndarray, markup:
                 evidence = pa.array([r if c else None for r, c in zip(rows.tolist(), n)], pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), evidence], names=[*(f.name for f in kept), "_evidence"])
 
-    return frame.withColumn("_text", F.col(text_column).cast("string")).mapInArrow(run, kind)
+    return frame.mapInArrow(run, kind)
 
 
 def best_of(values: Column, names: list[str]) -> Column:
@@ -223,16 +223,16 @@ def in_known_language(documents: DataFrame, langs: list[str], model: np.ndarray,
     if not langs:  # nothing to tell languages by
         return documents
     # The given row stays whole in one column, whatever its columns are called.
-    own = documents.select(
-        F.struct(*[F.col(f"`{n}`") for n in documents.columns]).alias("_given"),
-        F.col(text_column).cast("string").alias("body"),
+    sides = [
         F.lower(F.substring(F.trim(F.col(declared_column).cast("string")), 1, 16)).alias("declared"),
         F.col(host_column).cast("string").alias("host"),
         F.lit(None).cast("string").alias("domain"),
         F.lit(None).cast("string").alias("suffix"),
-    )
-    fusion = Fusion(with_evidence(own.drop("_given"), "body", model, keep_text=False), langs)
-    rows = fusion.posterior(with_evidence(own, "body", model, keep_text=False))
+    ]
+    texts = documents.select(F.col(text_column).alias("body"), *sides)
+    fusion = Fusion(with_evidence(texts, "body", model, keep_text=False), langs)
+    own = documents.select(F.struct(*[F.col(f"`{n}`") for n in documents.columns]).alias("_given"), *sides)
+    rows = fusion.posterior(with_evidence(own, text_column, model, inside="_given"))
     return rows.where(F.col("lang") != UNKNOWN).select("_given.*")
 
 
