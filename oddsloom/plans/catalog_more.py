@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddsloom.operators import movement, pricing, quotes, review, scores
+from oddsloom.operators import lookups, movement, pricing, quotes, review, scores
 from oddsloom.plans.adapters import quotes_long, rates, table, tickets, with_views
 from oddsloom.plans.catalog import _MATRIX, query
 from oddsloom.sources import readers
+from oddsloom.streaming import normalise
 
 
 @query(with_views("rates") + _MATRIX + """, w AS (SELECT match_id, h, a, p*exp(0.6*CASE WHEN h > a THEN 0.2 WHEN h = a THEN -0.1 ELSE -0.1 END::DOUBLE) AS w FROM matrix), n AS (SELECT *, w/sum(w) OVER (PARTITION BY match_id) AS p FROM w)
@@ -108,3 +109,55 @@ def price_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 def latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "custkey")
     return movement.survivors(rows, "custkey", [F.col("o_orderdate"), F.col("o_orderkey")], ["o_orderkey", "o_totalprice"]).drop("rows")
+
+
+@query("""SELECT DISTINCT o_orderkey, c_custkey FROM orders JOIN customer ON o_custkey = c_custkey OR o_orderkey = c_custkey""")
+def or_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookups.or_join(table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer"), [("o_custkey", "c_custkey"), ("o_orderkey", "c_custkey")], "o_orderkey", "c_custkey")
+
+
+@query("""WITH a AS (SELECT o_orderkey AS id, s_suppkey AS v, 0 AS r FROM orders JOIN supplier ON o_custkey = s_suppkey WHERE s_acctbal > 0), b AS (SELECT o_orderkey, min(l_suppkey), 1 FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_returnflag = 'R' GROUP BY 1), c AS (SELECT o_orderkey, min(l_suppkey), 2 FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1),
+ u AS (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c), m AS (SELECT id, arg_min(v, (r, v)) AS supplier, min(r) AS source_rank FROM u GROUP BY 1) SELECT o_orderkey AS id, supplier, CAST(source_rank AS BIGINT) AS source_rank FROM orders LEFT JOIN m ON o_orderkey = m.id""")
+def id_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey")
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_suppkey").alias("supplier"), "l_returnflag")
+    good = table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("o_custkey"), F.col("s_suppkey").alias("supplier"))
+    return lookups.cascade(orders, "id", [orders.join(good, "o_custkey"), items.where("l_returnflag = 'R'"), items], "supplier")
+
+
+@query(with_views("quotes") + """, d AS (SELECT match_id, provider, min(event_id) AS definition FROM quotes WHERE outcome = 'draw' GROUP BY ALL), own AS (SELECT * FROM d WHERE match_id <> 0), g AS (SELECT * FROM d WHERE match_id = 0)
+ SELECT event_id, coalesce(own.definition, g.definition) AS definition FROM quotes q LEFT JOIN own ON q.match_id = own.match_id AND q.provider = own.provider LEFT JOIN g ON q.provider = g.provider""")
+def quote_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quotes_long(spark, sf_dir)
+    definitions = rows.where("outcome = 'draw'").groupBy("match_id", "provider").agg(F.min("event_id").alias("definition"))
+    return lookups.with_definition(rows, definitions, "match_id", "provider", "definition").select("event_id", "definition")
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_totalprice > 250000 THEN 'too_large' WHEN o_orderstatus = 'P' THEN 'not_https' WHEN o_orderpriority = '5-LOW' THEN 'unknown_source' WHEN o_orderkey % 11 = 0 THEN 'bad_time' WHEN o_custkey % 13 = 0 THEN 'empty' END AS reason FROM orders""")
+def event_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders")
+    event = {
+        "size": F.col("o_totalprice") * 6, "url": F.when(F.col("o_orderstatus") == "P", "http://x").otherwise("https://x"), "kind": F.when(F.col("o_orderpriority") == "5-LOW", "mail").otherwise("page"),
+        "at": F.when(F.col("o_orderkey") % 11 == 0, "soon").otherwise("2024-01-01T00:00:00Z"), "payload": F.when(F.col("o_custkey") % 13 == 0, " ").otherwise("{}"),
+    }
+    return rows.select(F.col("o_orderkey").alias("id"), lookups.reject_reason(event).alias("reason"))
+
+
+@query("""WITH e AS (SELECT l_orderkey AS match_id, CASE WHEN l_linenumber % 2 = 0 THEN 'home' ELSE 'away' END AS side, 1 + l_partkey % 110 AS m, 1 + l_suppkey % 9 AS kind FROM lineitem)
+ SELECT match_id, count(*) FILTER (kind IN (1, 7, 8) AND side = 'home' AND m <= 90) AS home_90, count(*) FILTER (kind IN (1, 7, 8) AND side = 'away' AND m <= 90) AS away_90, count(*) FILTER (kind IN (1, 7, 8) AND side = 'home' AND m > 90) AS home_extra, count(*) FILTER (kind IN (1, 7, 8) AND side = 'away' AND m > 90) AS away_extra FROM e GROUP BY 1""")
+def regulation_goals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("match_id"), F.when(F.col("l_linenumber") % 2 == 0, "home").otherwise("away").alias("side"), F.concat((1 + F.col("l_partkey") % 110).cast("string"), F.lit("+2")).alias("minute"), (1 + F.col("l_suppkey") % 9).alias("kind"),
+    )
+    return lookups.regulation_goals(events, "match_id")
+
+
+@query("""WITH e AS (SELECT event_id, user_id::VARCHAR AS match_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k, value FROM events)
+ SELECT event_id, match_id, 'm' || (k % 5)::VARCHAR AS code, CASE WHEN k % 4 = 0 THEN (k % 3)::VARCHAR || '-1' ELSE '2.5' END AS line, round(round(value * 1000 + 100000) / 100000, 5) AS odds, k % 10 <> 0 AS active FROM e""")
+def event_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a nested payload, read back as quote rows."""
+    k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
+    selection = F.struct(F.lit("1").alias("id"), F.when(k % 4 == 0, F.concat((k % 3).cast("string"), F.lit(":1"))).otherwise("over").alias("name"), F.round(F.col("value") * 1000 + 100000).cast("long").alias("odds"), F.lit(1.0).alias("display"), F.lit(1).alias("status"))
+    market = F.struct(F.concat(F.lit("m"), (k % 5).cast("string")).alias("code"), F.lit("n").alias("name"), F.when(k % 10 == 0, 1).otherwise(0).alias("status"), F.when(k % 4 == 0, "").otherwise("2.5").alias("line"), F.array(selection).alias("selections"))
+    events = table(spark, sf_dir, "events").select("event_id", "ts", F.to_json(F.struct(F.col("user_id").cast("string").alias("match_id"), F.array(market).alias("markets"))).alias("payload"))
+    return normalise.quote_rows(events).select("event_id", "match_id", "code", "line", "odds", "active")

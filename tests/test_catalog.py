@@ -4,6 +4,7 @@ import math
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -25,7 +26,7 @@ def rows(frame: pd.DataFrame) -> list:
     def one(v):
         if v is None or v is pd.NaT or v is pd.NA or isinstance(v, float) and math.isnan(v):
             return ""
-        return f"{float(v) + 0.0:.6f}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+        return f"{float(v) + 0.0:.6f}" if isinstance(v, (int, float, np.integer, np.floating)) and not isinstance(v, (bool, np.bool_)) else str(v)
 
     return sorted(tuple(one(v) for v in r) for r in frame[sorted(frame.columns)].itertuples(index=False, name=None))
 
