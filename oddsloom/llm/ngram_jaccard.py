@@ -35,7 +35,7 @@ SKETCH_SLICES = 64
 SUBSETS_UP_TO = 24
 #: Counters in a set's profile, from which an upper bound of an intersection is read.
 PROFILE = 256
-#: Up to so many ids (16 bytes each) a list of wanted documents is broadcast; beyond that it is joined by a shuffle.
+#: Up to so many ids (16 to 32 bytes each) a list of wanted documents is broadcast; beyond that it is joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
 
@@ -188,33 +188,26 @@ def possible(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
 
 
 def with_sets(documents: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """The sorted shingle hashes, as bytes, of the documents in ``pairs``."""
+    """The distinct shingle hashes of the documents in ``pairs``."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in at.slices(batch, "text"):
                 values, offsets = text_sets(part, width)
-                yield pa.record_batch({"id": part.column("id"), "items": pa.array([values[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])], pa.binary())})
+                yield pa.record_batch({"id": part.column("id"), "items": at.list_array(at.as_long(values), offsets, pa.int64())})
 
     wanted = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    return documents.join(wanted, "id", "left_semi").mapInArrow(sets, "id long, items binary")
+    return documents.join(wanted, "id", "left_semi").mapInArrow(sets, "id long, items array<long>")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` whose sets are similar enough, counted on the whole sets."""
     left, right = sets.select(F.col("id").alias("a"), F.col("items").alias("x")), sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+    common = F.size(F.array_intersect("x", "y"))
+    close = 100 * common >= percent * (F.size("x") + F.size("y") - common)
+    return pairs.join(left, "a").join(right, "b").where(close).select("a", "b")
 
 
 def jaccard_components(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
@@ -232,10 +225,11 @@ def jaccard_components(documents: DataFrame, id_column: str = "doc_id", text_col
     sketch, small = sketch_of(docs, width, percent)
     boundary = cheapest_boundary(small, sketch, percent)
     table = written(keyed_sets(docs, width, percent, sketch, boundary), "jaccard-keys")
-    # One row for each distinct set: that of its smallest id.
-    sets = table.where("n > 0").groupBy("digest").agg(F.min_by(F.struct("id", "n", "profile", "keys", "places"), "id").alias("rep"))
-    reps = sets.select("rep.*")
-    members = table.where("n > 0").select("id", "digest").join(sets.select("digest", F.col("rep.id").alias("rep")), "digest").select("id", "rep")
+    # Equal sets are one class; its smallest id stands for it.
+    classes = checkpointed(table.where("n > 0").groupBy("digest").agg(F.min("id").alias("id")))
+    members = table.where("n > 0").select("id", "digest").join(classes.withColumnRenamed("id", "rep"), "digest").select("id", "rep")
+    chosen = F.broadcast(classes) if classes.count() <= BROADCAST_IDS else classes
+    reps = table.where("n > 0").join(chosen, ["id", "digest"], "left_semi")
 
     entry = reps.select("id", "n", F.explode(F.arrays_zip("keys", "places")).alias("e")).select(F.col("e.keys").alias("key"), "id", "n", F.col("e.places").alias("place"))
     heads = entry.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("k")).where("k > 1")
