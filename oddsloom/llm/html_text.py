@@ -1,12 +1,15 @@
 """HTML extraction by composite text density.
 
 A page's nodes get a density: characters per tag, adjusted for the part of
-them that are links. A node's density sum adds up those of its children. The
-node with the largest density sum is the anchor; the smallest density on its
-path up to the body is the threshold; the anchor's subtree, with other subtrees
-at or above the threshold whose density sum is not far less, is the text. What elements and their names declare
-as furniture (menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles, comments of readers) is taken out first.
+them that are links. A node's density sum adds up those of its blocks, the text
+that stands in it directly being one more. The node with the largest density
+sum is the anchor; the smallest density on its path up to the body is the
+threshold. From the body down, wherever a node is at or above the threshold,
+the node with the largest density sum under it is text. Of nodes with equal
+sums an ``article`` or ``main`` comes first; these names decide nothing else
+here. What elements and their names declare as furniture (menus, headers,
+footers, sidebars, notices, adverts, scripts, styles, comments of readers, and
+forms but for one that holds most of the page's text) is taken out first.
 
 Edge cases: a null or empty page, and one without text, give an empty text;
 broken markup (tags that don't end, stray ends, a cut page) is read as
@@ -31,7 +34,7 @@ from oddsloom.llm import arrowtext as at
 #: Elements by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea iframe xmp noembed noframes title".split())
-FURNITURE = frozenset("nav footer aside form script style noscript template iframe svg canvas button select option input textarea dialog menu head title object embed audio video map".split())
+FURNITURE = frozenset("nav footer aside script style noscript template iframe svg canvas button select option input textarea dialog menu head title object embed audio video map".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul details".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("thead", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
@@ -45,21 +48,19 @@ OUTER_NAMES = re.compile(r"(?:^|[\s_-])(?<!with[_-])(?<!has[_-])(?<!no[_-])(?:he
 FIRM_NAMES = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|respond|replies|reply|disqus|related|recommend\w*)(?:$|[\s_-])")
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog menu menubar alert".split())
 
-#: Part of the largest density sum that another piece of the text must have.
-LEAST_SHARE = 0.2
-
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "drop", "named")
+    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "block", "drop", "named")
 
     def __init__(self, tag: str, parent: Node | None, drop: bool, named: int = 0):
         self.tag, self.parent, self.children, self.drop, self.named = tag, parent, [], drop, named
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
+        self.block = tag not in INLINE
 
 
 def in_article(node: Node | None) -> bool:
@@ -100,6 +101,7 @@ def parse(page: str) -> Node:
     """The tree of a page; children are nodes and strings."""
     root = Node("html", None, False)
     by_name: list[Node] = []
+    forms: list[Node] = []
     node, at_char, end = root, 0, len(page)
     while at_char < end:
         m = _TOKEN.search(page, at_char)
@@ -136,6 +138,8 @@ def parse(page: str) -> Node:
         furniture, named = is_furniture(tag, attributes, node)
         child = Node(tag, node, node.drop or furniture, named)
         node.children.append(child)
+        if tag == "form":
+            forms.append(child)
         if named:
             by_name.append(child)
         elif tag in ("article", "main", "h1") and not child.drop:
@@ -153,9 +157,25 @@ def parse(page: str) -> Node:
             node = child
     for named in by_name:
         named.drop = named.drop or named.named > 0
+    if forms:
+        whole = plain_chars(root)
+        for form in forms:
+            form.drop = form.drop or 2 * plain_chars(form) <= whole
     return root
 
 
+def plain_chars(node: Node) -> int:
+    """Characters under a node that are neither in links nor in furniture."""
+    n, stack = 0, [node]
+    while stack:
+        for child in stack.pop().children:
+            if isinstance(child, str):
+                n += len(_SPACE.sub("", child))
+            elif not child.drop and child.tag != "a":
+                stack.append(child)
+    return n
+
+
 def closed(node: Node, tags: tuple[str, ...]) -> Node:
     """Where to go on after open elements of these names have ended by themselves."""
     up = node
@@ -190,38 +210,67 @@ def measure(root: Node) -> list[Node]:
                 node.tags += child.tags
                 node.link_chars += child.link_chars
                 node.link_tags += child.link_tags
+                node.block = node.block or child.block and child.chars > 0
     body = next((n for n in order if n.tag == "body"), root)
     share = body.link_chars / max(1, body.chars)
     for node in order:
-        if node.chars:
-            plain, links, link_tags = max(1, node.chars - node.link_chars), max(1, node.link_chars), max(1, node.link_tags)
-            base = math.log(node.chars / plain * node.link_chars + share * node.chars + math.e)
-            node.density = node.chars / node.tags * math.log(node.chars / links * node.tags / link_tags + 1) / base
-        if node.parent is not None:
-            node.parent.total += node.density
-        # Text that stands in a node itself counts as a child's.
-        own = sum(len(_SPACE.sub("", c)) for c in node.children if isinstance(c, str))
-        node.total += own * math.log(own + 1) if own else 0.0
+        node.density = density(node.chars, node.tags, node.link_chars, node.link_tags, share)
+    for node in order:
+        blocks = [c for c in node.children if not isinstance(c, str) and not c.drop and c.block and c.chars]
+        if not blocks:
+            node.total = node.density
+            continue
+        # What stands in the node itself, with the inline elements there, is one block more.
+        chars, tags, link_chars, link_tags = (getattr(node, x) - sum(getattr(c, x) for c in blocks) for x in ("chars", "tags", "link_chars", "link_tags"))
+        node.total = sum(c.density for c in blocks) + density(chars, tags, link_chars, link_tags, share)
     return order
 
 
+def density(chars: int, tags: int, link_chars: int, link_tags: int, share: float) -> float:
+    """Composite text density; ``share`` is the part of the body's characters that are in links."""
+    if not chars:
+        return 0.0
+    plain = max(1, chars - link_chars)
+    base = math.log(chars / plain * link_chars + share * chars + math.e)
+    return chars / tags * math.log(chars / max(1, link_chars) * tags / max(1, link_tags) + 1) / base
+
+
 def main_nodes(root: Node) -> list[Node]:
     """The nodes that hold the article, in page order, none inside another."""
     order = measure(root)
-    marked = [n for n in order if n.tag in ("article", "main") and n.chars]
-    if marked:
-        outer = [n for n in marked if not any(p.tag in ("article", "main") for p in path(n))]
-        return outer
     body = next((n for n in order if n.tag == "body"), root)
-    blocks = [n for n in order if n.chars and n.tag not in INLINE and (n is not root or body is root)] or [body]
-    anchor = max(blocks, key=lambda n: n.total)
+    rank = lambda n: (n.total, n.tag in ("article", "main"))
+    # For each block, the first of those with the largest density sum under it.
+    best: dict[Node, Node] = {}
+    for node in reversed(order):
+        if not node.chars or not node.block:
+            continue
+        own = best.get(node)
+        best[node] = own = node if own is None or rank(node) >= rank(own) else own
+        up = node.parent
+        if up is not None and (up not in best or rank(own) >= rank(best[up])):
+            best[up] = own
+    if root not in best:
+        return [body]
+    anchor = best[root]
     above = path(anchor)
-    threshold = min([anchor.density, *(n.density for n in above if n.density)])
+    above = above[: above.index(body) + 1] if body in above else above
+    threshold = min([anchor.density, *(n.density for n in above)])
+    marked: set[Node] = set()
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        if node is root or node in best and node.density >= threshold:
+            marked.add(best[node])
+            stack += [c for c in node.children if not isinstance(c, str) and not c.drop]
     found: list[Node] = []
-    for node in blocks:
-        whole = node is anchor or node.density >= threshold and node.total >= LEAST_SHARE * anchor.total and node not in above
-        if whole and not any(p in found for p in path(node)):
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        if node in marked:
             found.append(node)
+        else:
+            stack += [c for c in reversed(node.children) if not isinstance(c, str) and not c.drop]
     return found
 
 

@@ -26,6 +26,34 @@ def test_article_only(page):
     assert main_text(page) == TEXT
 
 
+def paragraphs(first: int, n: int) -> str:
+    return "".join(f"<p>Paragraph {i} of the long text goes on about rivers, bridges and the boats of town {i}, and it does not stop before line {i * 7}.</p>" for i in range(first, first + n))
+
+
+TEASER = '<article><h3><a href="/x">Another story</a></h3><p>In short.</p></article>'
+AD = '<div class="ad"><a href="/buy">Buy this</a></div>'
+
+
+@pytest.mark.parametrize("tag", ["div", "section", "article", "main"])
+def test_density_chooses_whatever_the_element(tag):
+    for page in (f"<body>{NOISE}<{tag}>{paragraphs(0, 12)}</{tag}>{TEASER}{END}</body>", f"<body>{NOISE}{TEASER}<div><{tag}>{paragraphs(0, 12)}</{tag}></div>{TEASER}{END}</body>"):
+        assert main_text(page) == main_text(f"<p>{paragraphs(0, 12)}")
+
+
+def test_small_parts_of_a_split_text_stay():
+    page = f"<body>{NOISE}<div>{paragraphs(0, 1)}</div>{AD}<div>{paragraphs(1, 20)}</div>{AD}<div>{paragraphs(21, 2)}</div>{TEASER}{END}</body>"
+    assert main_text(page) == main_text(f"<p>{paragraphs(0, 23)}")
+
+
+def test_a_form_around_the_page_stays():
+    page = f"<body><form action='/page.aspx'>{NOISE}<div>{paragraphs(0, 6)}</div></form><form><label>Name</label><p>Write to us.</p></form></body>"
+    assert main_text(page) == main_text(f"<p>{paragraphs(0, 6)}")
+
+
+def test_text_after_the_body_is_read():
+    assert main_text(f"<body></body><div>{paragraphs(0, 4)}</div>") == main_text(f"<p>{paragraphs(0, 4)}")
+
+
 def test_edges(spark):
     assert main_text(None) == main_text("") == main_text("<p></p>") == main_text("<script>x</script>") == ""
     assert main_text("just text &lt;b&gt;") == "just text <b>"
