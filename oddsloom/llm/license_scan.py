@@ -1,8 +1,10 @@
 """License scan: an exact set-similarity join of text blocks with license templates.
 
-DataFrame functions only. A block is a line of a document, or, where a line is
-longer than ``BLOCK_WORDS`` words, each window of that many words at half that
-step. A block matches a template when it holds at least ``THRESHOLD`` of the
+DataFrame functions only. A block is a line of a document, and, as notices are
+wrapped, also the whole document read across its line ends; where one of these
+is longer than ``BLOCK_WORDS`` words, each window of that many words at half
+that step. So every run of words as long as half a window and one (the longest
+template has fewer) stands whole in some block. A block matches a template when it holds at least ``THRESHOLD`` of the
 template's distinct words. Template words are ordered by their frequency in
 the corpus; prefix, length and positional filters leave few candidates, and
 each is checked on its whole sets.
@@ -105,7 +107,9 @@ def scan_licenses(documents: DataFrame, id_column: str = "doc_id", text_column:
     base = kept.select("k", words_of(F.col("text")).alias("words")).select("k", base_places("words").alias("places")).where("size(places) > 0")
     base = base.dropDuplicates(["k"]).select("k", F.size("places").cast("long").alias("n_base"), F.array_min(F.expr("places.start")).alias("first_word"), F.array_max(F.expr("places.start")).alias("last_word"), F.array_distinct(F.expr("places.label")).alias("base_labels"))
 
-    lines = kept.select("k", F.posexplode(F.split("text", "\n")).alias("line", "part"))
+    # Before the lines of a document of several, number 0, stands the whole of it.
+    parts = F.split("text", "\n")
+    lines = kept.select("k", F.posexplode(F.concat(F.array(F.when(F.size(parts) > 1, F.col("text"))), parts)).alias("line", "part"))
     lines = lines.select("k", "line", words_of(F.col("part")).alias("w")).where("size(w) > 0")
     windows = F.expr(f"if(size(w) <= {BLOCK_WORDS}, array(w), transform(sequence(0, size(w) - 1, {BLOCK_WORDS // 2}), i -> slice(w, i + 1, {BLOCK_WORDS})))")
     blocks = lines.select("k", "line", F.posexplode(windows).alias("window", "w"))
@@ -124,8 +128,13 @@ def scan_licenses(documents: DataFrame, id_column: str = "doc_id", text_column:
     met = entries.join(F.broadcast(prefixes), "word").where("size(held) >= c and j <= size(held) - c and 1 + least(size - 1 - i, size(held) - 1 - j) >= c")
     met = met.withColumn("part", F.size(F.array_intersect("held", "wanted")) / F.col("size")).where(f"part * 100 >= {percent} - 1e-9")
     # Of the templates that a block meets, the nearest name it; a set of at most as many as there are templates.
-    best = met.groupBy("k", "line", "window").agg(F.max("part").alias("score"), F.collect_set(F.struct("part", "label")).alias("all"))
+    best = met.where("line > 0").groupBy("k", "line", "window").agg(F.max("part").alias("score"), F.collect_set(F.struct("part", "label")).alias("all"))
     best = best.select("k", "score", F.explode(F.expr("filter(all, x -> x.part = score)")).alias("x"))
+    # A window's end can cut a notice that stands whole in the next or last one: no template is met by words that are all of a nearer one there.
+    across = met.where("line = 0").select("k", F.explode(F.expr("array(window - 1, window, window + 1)")).alias("spot"), F.struct("window", "part", "label", F.array_intersect("held", "wanted").alias("own"), "wanted").alias("x"))
+    across = across.groupBy("k", "spot").agg(F.collect_set("x").alias("all")).withColumn("score", F.expr("array_max(transform(filter(all, x -> x.window = spot), x -> x.part))"))
+    across = across.select("k", "score", F.explode(F.expr("filter(all, x -> x.window = spot and x.part = score and not exists(all, y -> y.part > x.part and size(array_except(x.own, y.wanted)) = 0))")).alias("x"))
+    best = best.unionByName(across.select("k", "score", F.expr("named_struct('part', x.part, 'label', x.label)").alias("x")))
     matched = best.groupBy("k").agg(F.collect_set("x.label").alias("added"), F.max("score").alias("score"))
 
     joined = table.select("id", "k", "n_words").join(checkpointed(base), "k", "left").join(matched, "k", "left")

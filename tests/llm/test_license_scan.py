@@ -1,4 +1,5 @@
 import re
+import textwrap
 
 from oddsloom.llm import license_scan as ls
 
@@ -39,6 +40,25 @@ def test_against_every_block(spark, prose):
         assert tuple(r)[1:] == brute(text), text and text[:60]
 
 
+def test_wrapped_notices(spark, prose):
+    assert max(len(t.split()) for _, t in ls.TEMPLATES) <= ls.BLOCK_WORDS // 2 + 1
+    rows, wanted = [], {}
+    for number, (label, t) in enumerate(ls.TEMPLATES):
+        for at, (width, mark, before) in enumerate(((72, "", 0), (80, "# ", 40), (30, " * ", 95), (24, "// ", 501))):
+            lines = textwrap.wrap(t, width)
+            text = "\n".join([*textwrap.wrap(prose(number, before), 80), *(mark + line for line in lines), *textwrap.wrap(prose(at, 300), 80)])
+            wanted[len(rows)] = label
+            rows.append((len(rows), text))
+    found = ls.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert [(r["id"], r["labels"]) for r in found if wanted[r["id"]] not in r["labels"].split(",") or r["score"] < 1] == []
+
+
+def test_a_notice_cut_by_a_window_is_not_another(spark, prose):
+    rows = [(n, prose(n, n) + "\n" + ls.TEMPLATES[4][1] + "\n" + prose(1, 200)) for n in range(40, 100)]
+    found = ls.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r["labels"] for r in found} == {"gpl"}
+
+
 def test_no_python_in_the_plan(spark, capsys):
     out = ls.scan_licenses(spark.createDataFrame([(1, "mit license")], "doc_id long, text string").coalesce(1))
     out.explain("formatted")
