@@ -8,9 +8,11 @@ text alone speaks for. Host priors are counted in the same way by grouped
 aggregation and smoothed in steps: a host towards its domain, the domain
 towards all rows.
 
-The trigram models are learned from at most ``TRAIN_ROWS`` labelled texts
-(those with the smallest hash of their id). One class more, ``und``, stands
-for text that no known language explains: every trigram equally likely.
+Known are all languages that at least ``LEAST_TEXTS`` of all labelled texts
+have, however many there are. The trigram model of each is learned from all
+its texts or, if these are more, from about its share of ``TRAIN_ROWS`` (at
+least ``LANGUAGE_ROWS``), chosen by hash. One class more, ``und``, stands for
+text that no known language explains: every trigram equally likely.
 
 Edge cases: a text without three bytes has no likelihood, so the other sources
 decide, and without any of them the answer is ``und``; null texts, addresses
@@ -33,8 +35,10 @@ from oddsloom.llm import arrowtext as at
 from oddsloom.llm.cluster import written
 
 TRAIN_ROWS = 20_000
+LANGUAGE_ROWS = 1_000
 LEAST_TEXTS = 5
-MOST_LANGUAGES = 64
+#: Languages whose counts a task or the driver holds at once.
+HELD_LANGUAGES = 64
 BUCKETS = 1 << 16
 UNKNOWN = "und"
 #: Log probability of a trigram that belongs to no language.
@@ -76,37 +80,44 @@ def text_bytes(texts: pa.Array, markup: bool) -> tuple[np.ndarray, np.ndarray]:
 
 def learn_languages(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages, and log probabilities of trigram buckets under each."""
-    labelled = documents.where(F.col(lang_column).isNotNull() & F.col(text_column).isNotNull() & F.col(id_column).isNotNull())
-    sample = labelled.select(F.col(id_column).alias("id")).orderBy(F.xxhash64(id_column), id_column).limit(rows)
-    # The broadcast side has at most ``rows`` ids.
-    texts = labelled.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"), F.lower(F.substring(F.trim(F.col(lang_column).cast("string")), 1, 16)).alias("lang"))
-    texts = texts.join(F.broadcast(sample), "id", "left_semi")
+    given = [F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"), F.lower(F.substring(F.trim(F.col(lang_column).cast("string")), 1, 16)).alias("lang")]
+    labelled = documents.select(*given).where("lang is not null and text is not null")
+    # One row a language, each of ``LEAST_TEXTS`` texts or more.
+    numbers = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).where(f"n >= {LEAST_TEXTS}").collect()}
+    langs = sorted(numbers)
+    quota = max(LANGUAGE_ROWS, rows // max(1, len(langs)))
+    shares = documents.sparkSession.createDataFrame([(lang, min(1.0, quota / n)) for lang, n in numbers.items()], "lang string, share double")
+    texts = labelled.join(F.broadcast(shares), "lang").where(f"share >= 1 or pmod(xxhash64(id, text), {1 << 30}) < share * {1 << 30}").select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        texts_of: dict[str, int] = {}
+
+        def flush():
+            for lang, counts in total.items():
+                seen = np.flatnonzero(counts)
+                yield pa.record_batch({"lang": pa.array([lang] * len(seen)), "bucket": pa.array(seen, pa.int32()), "n": pa.array(counts[seen], pa.int64())})
+            total.clear()
+
         for batch in batches:
             for part in at.slices(batch, "text", at.BYTE_SLICE):
                 langs = part.column("lang").to_pylist()
                 data, offsets = text_bytes(part.column("text"), False)
                 for lang, a, b in zip(langs, offsets[:-1], offsets[1:]):
-                    texts_of[lang] = texts_of.get(lang, 0) + 1
                     if b - a >= 3:
+                        if lang not in total and len(total) >= HELD_LANGUAGES:
+                            yield from flush()
                         total.setdefault(lang, np.zeros(BUCKETS, dtype=np.int64))
                         total[lang] += np.bincount(trigram_buckets(data[a:b]), minlength=BUCKETS)
-        for lang, n in texts_of.items():
-            counts = total.get(lang, np.zeros(BUCKETS, dtype=np.int64))
-            seen = np.flatnonzero(counts)
-            yield pa.record_batch({"lang": pa.array([lang] * (len(seen) + 1)), "bucket": pa.array([-1, *seen], pa.int32()), "n": pa.array([n, *counts[seen]], pa.int64())})
+        yield from flush()
 
     counted = texts.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     counted = written(counted, "language-trigrams")
-    known = counted.where(f"bucket = -1 and n >= {LEAST_TEXTS}").orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
-    langs = sorted(r["lang"] for r in known)
     table = np.zeros((BUCKETS, len(langs)))
     place = {lang: k for k, lang in enumerate(langs)}
-    for r in counted.where(F.col("bucket") >= 0).where(F.col("lang").isin(langs)).toLocalIterator():  # at most BUCKETS rows a language
-        table[r["bucket"], place[r["lang"]]] = r["n"]
+    for first in range(0, len(langs), HELD_LANGUAGES):
+        found = counted.where(F.col("lang").isin(langs[first : first + HELD_LANGUAGES])).toArrow()  # at most BUCKETS rows a language
+        columns = np.array([place[x] for x in found.column("lang").to_pylist()], dtype=np.int64)
+        table[found.column("bucket").to_numpy(), columns] = found.column("n").to_numpy()
     # A part of every text may be of no language (names, codes), so no such part can outweigh the rest.
     known = (table + 0.05) / (table.sum(axis=0, keepdims=True) + 0.05 * BUCKETS)
     return langs, np.log((1 - NOISE) * known + NOISE * np.exp(UNKNOWN_LOG))
@@ -219,7 +230,7 @@ def identify_pages(pages: DataFrame, langs: list[str], model: np.ndarray) -> Dat
 
 
 def in_known_language(documents: DataFrame, langs: list[str], model: np.ndarray, text_column: str = "text", declared_column: str = "lang", host_column: str = "source") -> DataFrame:
-    """The rows of ``documents`` whose language is one of ``langs``; rejected are those that answer ``und``."""
+    """The rows of ``documents`` whose language is one of ``langs``; rejected are those that answer ``und`` and declare none of ``langs``."""
     if not langs:  # nothing to tell languages by
         return documents
     # The given row stays whole in one column, whatever its columns are called.
@@ -233,7 +244,7 @@ def in_known_language(documents: DataFrame, langs: list[str], model: np.ndarray,
     fusion = Fusion(with_evidence(texts, "body", model, keep_text=False), langs)
     own = documents.select(F.struct(*[F.col(f"`{n}`") for n in documents.columns]).alias("_given"), *sides)
     rows = fusion.posterior(with_evidence(own, text_column, model, inside="_given"))
-    return rows.where(F.col("lang") != UNKNOWN).select("_given.*")
+    return rows.where((F.col("lang") != UNKNOWN) | F.coalesce(F.col("declared").isin(langs), F.lit(False))).select("_given.*")
 
 
 def op5_language_id(spark, sf_dir: str) -> DataFrame:

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from oddsloom.llm import language_id as li
 
 EN, DE = "the house and the garden with this and that of the ", "der garten und das haus mit dem und nicht von der "
@@ -34,6 +36,34 @@ def test_stage_keeps_clean_rows_and_columns(spark):
     assert kept.where("doc_id = 5").first() == docs.where("doc_id = 5").first()
 
 
+def own_words(k):
+    """A text in signs of its own."""
+    return "".join(chr(0x1000 + 40 * k + i % 30) + (" " if i % 7 == 0 else "") for i in range(120))
+
+
+def test_rare_languages_are_known_at_every_size(spark):
+    rows = [(i, EN * 2, "en", "s1", "h") for i in range(3000)] + [(10_000 + i, own_words(1), "xa", "s1", "h") for i in range(6)]
+    docs = spark.createDataFrame(rows, DOCS)
+    for most in (20, 20_000):
+        langs, model = li.learn_languages(docs, rows=most)
+        assert langs == ["en", "xa"]
+        assert li.in_known_language(docs, langs, model).count() == len(rows)
+
+
+def test_more_than_64_languages(spark):
+    rows = [(10 * k + i, own_words(k), f"l{k}", "s1", "h") for k in range(70) for i in range(6)]
+    docs = spark.createDataFrame(rows, DOCS)
+    langs, model = li.learn_languages(docs)
+    assert langs == sorted(f"l{k}" for k in range(70)) and model.shape[1] == 70
+    assert li.in_known_language(docs.withColumn("lang", F.lit(None).cast("string")), langs, model).count() == len(rows)
+
+
+def test_declared_known_language_is_never_rejected(spark):
+    langs, model = li.learn_languages(labelled(spark))
+    extra = spark.createDataFrame([(200, "xqzjkv wqxzkj " * 40, "en", None, None), (201, "xqzjkv wqxzkj " * 40, "zz", None, None)], DOCS)
+    assert [r["doc_id"] for r in li.in_known_language(labelled(spark).union(extra), langs, model).where("doc_id >= 200").collect()] == [200]
+
+
 def test_empty_and_unlabelled(spark):
     none = spark.createDataFrame([], DOCS)
     langs, model = li.learn_languages(none)
