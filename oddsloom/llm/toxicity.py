@@ -48,10 +48,12 @@ EDGES = ".,;:?\"'()[]{}<>|#%&*~`^-_=+/\\…“”‘’«»¿¡"
 
 LETTERS = 32  # classes of the character model: 0 white space, 1 to 26 a to z, 27 a byte beyond ASCII, 28 a digit, 29 other
 LOG_READ, LOG_GAP, LOG_MERGE = math.log(0.2), math.log(0.3), math.log(0.001)
-_SUSPECT = r"[0-9@$!|+€]|[^\W\d_][^\w\s]+\w|[^\W\d_]_+\w|aaa|bbb|ccc|ddd|eee|fff|ggg|hhh|iii|jjj|kkk|lll|mmm|nnn|ooo|ppp|qqq|rrr|sss|ttt|uuu|vvv|www|xxx|yyy|zzz"
-_TAIL = re.compile(r"(?:!|([$@|+])\1+)+$")
+_SUSPECT = r"[0-9@$!|+€]|[^\W\d_][^\w\s]+\w|[^\W\d_]_+\w|" + "|".join(c * 2 for c in "abcdefghijklmnopqrstuvwxyz")
+#: A letter written twice, for words beyond ASCII.
+_DOUBLED = re.compile(r"([^\W\d_])\1")
 _RUN = re.compile(r"(.)\1*", re.S)
-CACHE = 60_000
+#: Words that are remembered, and the longest of them.
+CACHE, CACHED_LENGTH = 60_000, 4_096
 
 
 def byte_classes() -> np.ndarray:
@@ -107,9 +109,8 @@ class Restorer:
         self.model = model.tolist()
         self.seen: OrderedDict[str, str] = OrderedDict()
 
-    def lattice(self, word: str) -> list[list[tuple[str, float]]]:
+    def lattice(self, word: str) -> Iterator[list[tuple[str, float]]]:
         """For each run of one character, the strings it can stand for and their costs."""
-        steps = []
         for m in _RUN.finditer(word):
             char, n = m[1], len(m[0])
             options = [(char * min(n, 2), 0.0)]
@@ -121,16 +122,16 @@ class Restorer:
                     options.append((letter * 2, LOG_READ))
             if char in GAPS:
                 options.append(("", LOG_GAP))
-            steps.append(options)
-        return steps
+            yield options
 
     def decode(self, word: str) -> str:
         """The likeliest reading: Viterbi over pairs of last classes."""
-        states = {(0, 0): (0.0, "")}
+        # A path is its last string and the path before it, so each step costs the same however long the word is.
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         model = self.model
         for options in self.lattice(word):
-            after: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (score, text) in states.items():
+            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (score, way) in states.items():
                 for string, cost in options:
                     x, y, s = a, b, score + cost
                     for char in string:
@@ -138,26 +139,54 @@ class Restorer:
                         s += model[x][y][c]
                         x, y = y, c
                     if (x, y) not in after or s > after[x, y][0]:
-                        after[x, y] = (s, text + string)
+                        after[x, y] = (s, (string, way))
             states = after
-        return max((s + model[a][b][0], text) for (a, b), (s, text) in states.items())[1]
+        ends = [(s + model[a][b][0], way) for (a, b), (s, way) in states.items()]
+        best = max(s for s, _ in ends)
+        return max(text_of(way) for s, way in ends if s == best)
 
     def read(self, word: str) -> str:
         if word in self.seen:
             return self.seen[word]
-        found = self.decode(_TAIL.sub("", word)[:4096]) if len(word) <= 4096 else word
+        found = self.decode(without_tail(word))
+        if len(word) > CACHED_LENGTH:
+            return found
         if len(self.seen) >= CACHE:
             self.seen.popitem(last=False)
         self.seen[word] = found
         return found
 
 
+def text_of(way: tuple | None) -> str:
+    parts = []
+    while way is not None:
+        string, way = way
+        parts.append(string)
+    return "".join(reversed(parts))
+
+
+def without_tail(word: str) -> str:
+    """``word`` without exclamation marks, and other signs written at least twice, at its end."""
+    end = len(word)
+    while end:
+        char, start = word[end - 1], end
+        while start and word[start - 1] == char:
+            start -= 1
+        if char != "!" and not (char in "$@|+" and end - start >= 2):
+            break
+        end = start
+    return word[:end]
+
+
 def restored(texts: pa.Array, restorer: Restorer) -> tuple[list[str], np.ndarray, np.ndarray, list[tuple[int, str]]]:
     """Restored forms of the distinct words, word codes, row offsets, and joined runs of single characters by row."""
     words, codes, offsets = at.split_words(texts)
     words = pc.utf8_trim(pc.utf8_lower(words), characters=EDGES)
-    suspect = pc.match_substring_regex(words, _SUSPECT).to_numpy(zero_copy_only=False)
+    suspect = pc.match_substring_regex(words, _SUSPECT).to_numpy(zero_copy_only=False).copy()
     plain = words.to_pylist()
+    beyond = ~suspect & ~pc.string_is_ascii(words).to_numpy(zero_copy_only=False)
+    for i in np.flatnonzero(beyond):
+        suspect[i] = _DOUBLED.search(plain[i]) is not None
     forms = list(plain)
     for i in np.flatnonzero(suspect):
         forms[i] = restorer.read(plain[i])

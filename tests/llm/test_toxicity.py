@@ -32,6 +32,27 @@ def test_disguises_are_read(prose):
     assert any("moron" in t for _, t in tx.restored(pa.array(["oh m o r o n you"]), r)[3])
 
 
+def test_doubled_letters_are_read(prose):
+    r = restorer(" ".join(prose(i, 200) for i in range(20)) + " you idiot and moron are pathetic scum or worse, köter" * 20)
+    for word, wanted in {"idiiot": "idiot", "morron": "moron", "pathhetic": "pathetic", "willow": "willow", "copper": "copper"}.items():
+        assert tx.restored(pa.array([word]), r)[0] == [wanted]
+    assert tx.restored(pa.array(["kööter"]), r)[0] == [r.decode("kööter")]
+
+
+def test_long_words_and_runs_are_decoded(prose):
+    r = restorer(" ".join(prose(i, 200) for i in range(20)) + " you idiot and moron are pathetic scum or worse" * 20)
+    many = 3_000
+    for sign in "_.":
+        assert tx.restored(pa.array([sign.join("m0r0n" * many)]), r)[0] == ["moron" * many]
+    runs = tx.restored(pa.array(["oh " + " ".join("river" * many + "1d10t" + "stone" * many)]), r)[3]
+    assert len(runs) == 1 and "idiot" in runs[0][1]
+
+
+def test_tails(prose):
+    for word, wanted in {"a!": "a", "a$": "a$", "a$$!": "a", "a$@@": "a$", "!!": "", "": "", "a@!b": "a@!b", "$" * 5000 + "x": "$" * 5000 + "x"}.items():
+        assert tx.without_tail(word) == wanted
+
+
 def test_scores(spark, labelled, prose):
     docs, labels = labelled
     new = [(1000, "Such an 1D10T wrote " + prose(7, 40)), (1001, prose(8, 40)), (1002, None), (1003, ""), (1004, "m 0 r o n " + prose(9, 30)), (1004, "m 0 r o n " + prose(9, 30)), (None, "scum " + prose(4, 9)), (1005, prose(3, 30_000) + " path3tic"), (1006, "a b c d e f g h"), (1007, "$$$ %%% ### !!!")]
