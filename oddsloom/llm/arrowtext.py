@@ -6,19 +6,62 @@ function keeps more than one slice of text in memory.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
 
-SLICE_BYTES = 3 << 20
+#: Bytes that Spark hands to a Python worker at once, unless the session says otherwise.
+BATCH_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: For steps that hold several numbers for each byte.
 BYTE_SLICE = 1 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, not rows only; a session that has set its own bound keeps it."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+@cache
+def _trim() -> Callable[[int], int]:
+    """The C library's call that gives freed memory back, where it has one."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def release() -> None:
+    """Give memory that Python no longer uses back to the machine: workers stay alive between tasks, side by side with the JVM."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
+def text_udf(make: Callable[[], Callable[[pa.Array], pa.Array]], kind: str, limit: int = SLICE_BYTES) -> Callable[[Column], Column]:
+    """A function on a text column: only the text travels to Python and only the answer back.
+
+    ``make`` is called once in a task and gives the function of a slice of texts.
+    """
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        answer = make()
+        for texts in batches:
+            parts = [answer(part.column("text")) for part in slices(pa.record_batch({"text": texts.cast(pa.string())}), "text", limit)]
+            if parts:
+                yield pa.concat_arrays(parts)
+            else:
+                yield answer(pa.array([], pa.string()))
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, kind)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows whose text takes about ``limit`` bytes; a longer text is a run of its own."""
     if batch.num_rows == 0:
@@ -28,13 +71,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
     edges = np.flatnonzero(np.diff(block)) + 1
     for start, end in zip([0, *edges], [*edges, batch.num_rows]):
         yield batch.slice(int(start), int(end - start))
-    pa.default_memory_pool().release_unused()
-
-
-def with_text(batch: pa.RecordBatch, column: str, inside: str | None = None) -> pa.RecordBatch:
-    """The batch with a last column ``_text``: that column as strings, or that field of the struct ``inside``; nothing is copied."""
-    text = pc.struct_field(batch.column(inside), column) if inside else batch.column(column)
-    return pa.RecordBatch.from_arrays([*batch.columns, text.cast(pa.string())], names=[*batch.schema.names, "_text"])
+    release()
 
 
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:

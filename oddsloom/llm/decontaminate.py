@@ -18,14 +18,15 @@ broadcast is bounded; more shards mean more passes over the documents.
 Edge cases: null and blank items match nothing; null and blank texts hold
 nothing; items of fewer than five words must be found as a whole; equal items
 are all reported; repeated rows give repeated results; empty tables give empty
-results; other columns are ignored.
+results; other columns are ignored by the search and kept by the filter.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oddsloom.llm import arrowtext as at
+from oddsloom.llm.cluster import written
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5
@@ -43,6 +45,8 @@ ITEM_OVERLAP = 0.8
 PART_OVERLAP = 0.5
 #: Words of the items in one shard, about.
 SHARD_WORDS = 200_000
+#: Shards that are searched in one pass over the documents; each takes under 100 MB in a task.
+SHARDS_A_PASS = 4
 #: Items up to these lengths are searched with passages of twice the length; longer ones by powers of eight.
 LENGTHS = (64, 512, 4096, 32768)
 EDGES = ".,;:!?\"'()[]{}<>|#$%&*@~`^-_=+/\\…“”‘’«»¿¡–—"
@@ -193,9 +197,10 @@ class ItemIndex:
 
 
 def item_shards(items: DataFrame, shard_words: int = SHARD_WORDS):
-    """One index after another, each of about ``shard_words`` words of items of like length.
+    """One index's content after another, each of about ``shard_words`` words of items of like length.
 
-    Document frequencies and the mean length are those of all items.
+    Document frequencies and the mean length are those of all items; they are
+    counted once.
     """
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +209,8 @@ def item_shards(items: DataFrame, shard_words: int = SHARD_WORDS):
             size = [next((k for k, most in enumerate(LENGTHS) if len(w) <= most), int(math.log(max(2, len(w)), 8)) + 8) for w in words]
             yield pa.record_batch({"item": batch.column("item"), "text": batch.column("text"), "words": pa.array(words, pa.list_(pa.string())), "size": pa.array(size, pa.int32()), "n": pa.array(map(len, words), pa.int64())})
 
-    found = items.mapInArrow(describe, "item long, text string, words array<string>, size int, n long").where("n > 0")
+    found = written(items.mapInArrow(describe, "item long, text string, words array<string>, size int, n long").where("n > 0"), "leak-items")
+    every = written(found.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("n")), "leak-words")
     totals = found.groupBy("size").agg(F.sum("n").alias("words"), F.count("*").alias("items"), F.max("n").alias("longest")).collect()
     total, mean = sum(r["items"] for r in totals), sum(r["words"] for r in totals) / max(1, sum(r["items"] for r in totals))
     for r in sorted(totals, key=lambda r: r["size"]):
@@ -214,17 +220,18 @@ def item_shards(items: DataFrame, shard_words: int = SHARD_WORDS):
         for k in range(shards):
             rows = own.where(F.col("shard") == k)
             words = rows.select(F.explode("words").alias("word")).distinct()
-            every = found.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
             frequency = {x["word"]: x["n"] for x in every.join(words, "word", "left_semi").collect()}
             listed = [(x["item"], x["text"], x["words"]) for x in rows.select("item", "text", "words").collect()]
             if listed:
                 yield listed, frequency, total, mean, stride
 
 
-def indexes(spark, items: DataFrame, id_column: str, text_column: str, threshold: float):
+def indexes(spark, items: DataFrame, id_column: str, text_column: str, threshold: float) -> Iterator[list]:
+    """Broadcast indexes, ``SHARDS_A_PASS`` at a time: so many are searched in one pass over the documents."""
     wanted = items.select(F.col(id_column).cast("long").alias("item"), F.col(text_column).cast("string").alias("text")).where("item is not null and text is not null")
-    for listed, frequency, total, mean, stride in item_shards(wanted):
-        yield spark.sparkContext.broadcast(ItemIndex(listed, frequency, total, mean, stride, threshold))
+    shards = (spark.sparkContext.broadcast(ItemIndex(listed, frequency, total, mean, stride, threshold)) for listed, frequency, total, mean, stride in item_shards(wanted))
+    while some := list(islice(shards, SHARDS_A_PASS)):
+        yield some
 
 
 def search_batch(texts: pa.Array, index: ItemIndex) -> list[tuple]:
@@ -238,6 +245,7 @@ MATCH = "id long, item_id long, score double, item_overlap double, question_over
 
 def find_leaks(documents: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row for each document and item found in it: the best passage's score and overlaps, and its place in words."""
+    at.small_batches(documents.sparkSession)
     docs = documents.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
     found = None
     for shared in indexes(docs.sparkSession, items, item_column, item_text, threshold):
@@ -246,9 +254,10 @@ def find_leaks(documents: DataFrame, items: DataFrame, id_column: str = "doc_id"
             for batch in batches:
                 for part in at.slices(batch, "text"):
                     best: dict[tuple[int, int], tuple] = {}
-                    for hit in search_batch(part.column("text"), shared.value):
-                        if hit[:2] not in best or hit[3:6] > best[hit[:2]][3:6]:
-                            best[hit[:2]] = hit
+                    for index in shared:
+                        for hit in search_batch(part.column("text"), index.value):
+                            if hit[:2] not in best or hit[3:6] > best[hit[:2]][3:6]:
+                                best[hit[:2]] = hit
                     if best:
                         rows, *columns = zip(*best.values())
                         yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(rows)), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), *[pa.float64()] * 4, pa.int64())))], names=[x.split()[0] for x in MATCH.split(", ")])
@@ -259,18 +268,16 @@ def find_leaks(documents: DataFrame, items: DataFrame, id_column: str = "doc_id"
 
 
 def without_leaks(documents: DataFrame, items: DataFrame, text_column: str = "text", item_column: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``documents`` that hold no item."""
+    """The rows of ``documents`` that hold no item; all their columns stay, whatever they are called."""
+    at.small_batches(documents.sparkSession)
     kept = documents
     for shared in indexes(documents.sparkSession, items, item_column, item_text, threshold):
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in at.slices(at.with_text(batch, text_column), "_text"):
-                    leaks = {hit[0] for hit in search_batch(part.column("_text"), shared.value)}
-                    keep = pa.array([i not in leaks for i in range(part.num_rows)], pa.bool_())
-                    yield part.select(part.schema.names[:-1]).filter(keep)
+        def leaky(texts: pa.Array, shared=shared) -> pa.Array:
+            leaks = {hit[0] for index in shared for hit in search_batch(texts, index.value)}
+            return pa.array([i in leaks for i in range(len(texts))], pa.bool_())
 
-        kept = kept.mapInArrow(run, documents.schema)
+        kept = kept.where(~at.text_udf(lambda leaky=leaky: leaky, "boolean")(F.col(text_column).cast("string")))
     return kept
 
 

@@ -23,12 +23,12 @@ or ignored as each function says.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oddsloom.llm import arrowtext as at
@@ -78,9 +78,14 @@ def text_bytes(texts: pa.Array, markup: bool) -> tuple[np.ndarray, np.ndarray]:
     return data[keep], np.concatenate([[0], np.cumsum(keep)])[offsets]
 
 
+def label_of(column: str) -> Column:
+    """A declared language as it is compared: trimmed and in lower case."""
+    return F.lower(F.trim(F.col(column).cast("string")))
+
+
 def learn_languages(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages, and log probabilities of trigram buckets under each."""
-    given = [F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"), F.lower(F.substring(F.trim(F.col(lang_column).cast("string")), 1, 16)).alias("lang")]
+    given = [F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"), label_of(lang_column).alias("lang")]
     labelled = documents.select(*given).where("lang is not null and text is not null")
     # One row a language, each of ``LEAST_TEXTS`` texts or more.
     numbers = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).where(f"n >= {LEAST_TEXTS}").collect()}
@@ -123,30 +128,26 @@ def learn_languages(documents: DataFrame, id_column: str = "doc_id", text_column
     return langs, np.log((1 - NOISE) * known + NOISE * np.exp(UNKNOWN_LOG))
 
 
-def with_evidence(frame: DataFrame, text_column: str, model: np.ndarray, markup: bool = False, keep_text: bool = True, inside: str | None = None) -> DataFrame:
-    """``frame`` with ``_evidence``: weighed log likelihoods of the languages and of ``und``, or null for a text that is too short."""
-    shared = frame.sparkSession.sparkContext.broadcast(model.astype(np.float32))
-    kept = [f for f in frame.schema if keep_text or f.name != text_column]
-    kind = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "_evidence array<double>"])
+def evidence_of(spark: SparkSession, model: np.ndarray, markup: bool = False) -> Callable[[Column], Column]:
+    """Turns a text column into weighed log likelihoods of the languages and of ``und``, or null for a text that is too short."""
+    at.small_batches(spark)
+    shared = spark.sparkContext.broadcast(model.astype(np.float32))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def evidence(texts: pa.Array) -> pa.Array:
         table = shared.value
-        for batch in batches:
-            for part in at.slices(at.with_text(batch, text_column, inside), "_text", at.BYTE_SLICE):
-                data, offsets = text_bytes(part.column("_text"), markup)
-                n = np.maximum(np.diff(offsets) - 2, 0)
-                rows = np.zeros((len(n), table.shape[1] + 1))
-                if len(data) >= 3:
-                    buckets = trigram_buckets(data)
-                    for k in range(table.shape[1]):
-                        sums = np.concatenate([[0.0], np.cumsum(table[buckets, k], dtype=np.float64)])
-                        rows[:, k] = sums[np.minimum(offsets[:-1] + n, len(buckets))] - sums[np.minimum(offsets[:-1], len(buckets))]
-                rows[:, -1] = n * UNKNOWN_LOG
-                rows *= (np.minimum(n, WEIGHT) / np.maximum(n, 1))[:, None]
-                evidence = pa.array([r if c else None for r, c in zip(rows.tolist(), n)], pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), evidence], names=[*(f.name for f in kept), "_evidence"])
-
-    return frame.mapInArrow(run, kind)
+        data, offsets = text_bytes(texts, markup)
+        n = np.maximum(np.diff(offsets) - 2, 0)
+        rows = np.zeros((len(n), table.shape[1] + 1))
+        if len(data) >= 3:
+            buckets = trigram_buckets(data)
+            for k in range(table.shape[1]):
+                sums = np.concatenate([[0.0], np.cumsum(table[buckets, k], dtype=np.float64)])
+                rows[:, k] = sums[np.minimum(offsets[:-1] + n, len(buckets))] - sums[np.minimum(offsets[:-1], len(buckets))]
+        rows[:, -1] = n * UNKNOWN_LOG
+        rows *= (np.minimum(n, WEIGHT) / np.maximum(n, 1))[:, None]
+        return pa.array([r if c else None for r, c in zip(rows.tolist(), n)], pa.list_(pa.float64()))
+
+    return at.text_udf(lambda: evidence, "array<double>", at.BYTE_SLICE)
 
 
 def best_of(values: Column, names: list[str]) -> Column:
@@ -224,7 +225,8 @@ def identify_pages(pages: DataFrame, langs: list[str], model: np.ndarray) -> Dat
     host, domain, suffix = address_parts(F.col("url").cast("string"))
     declared = F.lower(F.regexp_extract(F.col("html").cast("string"), r"(?i)<html[^>]*?\slang\s*=\s*[\"']?([a-z]{2,3})\b", 1))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"), domain.alias("domain"), suffix.alias("suffix"), F.when(declared != "", declared).alias("declared"))
-    rows = written(with_evidence(rows, "html", model, markup=True, keep_text=False), "language-pages")
+    evidence = evidence_of(pages.sparkSession, model, markup=True)
+    rows = written(rows.withColumn("_evidence", evidence(F.col("html"))).drop("html"), "language-pages")
     found = Fusion(rows, langs).posterior(rows)
     return found.select("page_id", "url", "host", "declared", "text_lang", "lang", "posterior")
 
@@ -234,16 +236,16 @@ def in_known_language(documents: DataFrame, langs: list[str], model: np.ndarray,
     if not langs:  # nothing to tell languages by
         return documents
     # The given row stays whole in one column, whatever its columns are called.
-    sides = [
-        F.lower(F.substring(F.trim(F.col(declared_column).cast("string")), 1, 16)).alias("declared"),
+    evidence = evidence_of(documents.sparkSession, model)
+    rows = documents.select(
+        F.struct(*[F.col(f"`{n}`") for n in documents.columns]).alias("_given"),
+        label_of(declared_column).alias("declared"),
         F.col(host_column).cast("string").alias("host"),
         F.lit(None).cast("string").alias("domain"),
         F.lit(None).cast("string").alias("suffix"),
-    ]
-    texts = documents.select(F.col(text_column).alias("body"), *sides)
-    fusion = Fusion(with_evidence(texts, "body", model, keep_text=False), langs)
-    own = documents.select(F.struct(*[F.col(f"`{n}`") for n in documents.columns]).alias("_given"), *sides)
-    rows = fusion.posterior(with_evidence(own, text_column, model, inside="_given"))
+        evidence(F.col(text_column).cast("string")).alias("_evidence"),
+    )
+    rows = Fusion(rows.drop("_given"), langs).posterior(rows)
     return rows.where((F.col("lang") != UNKNOWN) | F.coalesce(F.col("declared").isin(langs), F.lit(False))).select("_given.*")
 
 

@@ -10,8 +10,9 @@ Edge cases: a null or blank text has no shingles, is linked with nothing and
 is its own component; a text with fewer words than a shingle has its whole
 word sequence as its only shingle; repeated rows and equal texts are one class
 and so linked; an empty table gives an empty result; other columns are
-ignored. Rows with a null id are left out, as they can't be named in a pair; an
-id that stands on different texts takes the smallest of their components.
+ignored by the join and kept by the filter. Rows with a null id are left out,
+as they can't be named in a pair; an id that stands on different texts takes
+the smallest of their components, without joining them.
 """
 
 from __future__ import annotations
@@ -147,7 +148,7 @@ def keyed_sets(documents: DataFrame, width: int, percent: int, sketch: np.ndarra
                 digests, keys, places, profiles = [], [], [], []
                 for start, end in zip(offsets[:-1], offsets[1:]):
                     own = values[start:end]
-                    digests.append(xxhash.xxh3_128_digest(own.tobytes()) if end > start else None)
+                    digests.append(digest_of(own))
                     profiles.append(np.minimum(np.bincount((own >> np.uint64(40)).astype(np.int64) % PROFILE, minlength=PROFILE), 255).astype(np.uint8).tobytes())
                     k, p = keys_of(own)
                     keys.append(k)
@@ -171,7 +172,7 @@ def possible(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
     Two sets share at most the smaller of their counts in each counter; a full
     counter (255) bounds nothing, so the other one counts.
     """
-    left, right = (profiles.select(F.col("id").alias(i), F.col("n").alias(n), F.col("profile").alias(p)) for i, n, p in (("a", "n", "x"), ("b", "m", "y")))
+    left, right = (profiles.select(F.col("class").alias(i), F.col("n").alias(n), F.col("profile").alias(p)) for i, n, p in (("a", "n", "x"), ("b", "m", "y")))
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,97 +188,168 @@ def possible(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(bound, "a long, b long")
 
 
-def with_sets(documents: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """The distinct shingle hashes of the documents in ``pairs``."""
+def with_sets(documents: DataFrame, classes: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """The distinct shingle hashes, as ``(class, items)``, of the classes in ``pairs``, each read from one of its documents."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in at.slices(batch, "text"):
                 values, offsets = text_sets(part, width)
-                yield pa.record_batch({"id": part.column("id"), "items": at.list_array(at.as_long(values), offsets, pa.int64())})
+                # An id may stand on other texts too.
+                own = [digest_of(values[a:b]) == d for a, b, d in zip(offsets[:-1], offsets[1:], part.column("digest").to_pylist())]
+                yield pa.record_batch({"class": part.column("class"), "items": at.list_array(at.as_long(values), offsets, pa.int64())}).filter(pa.array(own, pa.bool_()))
 
-    wanted = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    return documents.join(wanted, "id", "left_semi").mapInArrow(sets, "id long, items array<long>")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    wanted = listed(classes.join(wanted, "class", "left_semi"))
+    return documents.join(wanted, "id").select("text", "class", "digest").mapInArrow(sets, "class long, items array<long>")
+
+
+def digest_of(values: np.ndarray) -> bytes | None:
+    return xxhash.xxh3_128_digest(values.tobytes()) if len(values) else None
+
+
+def listed(rows: DataFrame) -> DataFrame:
+    """A list of ids, broadcast if it was counted to be short."""
+    rows = checkpointed(rows)
+    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` whose sets are similar enough, counted on the whole sets."""
-    left, right = sets.select(F.col("id").alias("a"), F.col("items").alias("x")), sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
+    left, right = sets.select(F.col("class").alias("a"), F.col("items").alias("x")), sets.select(F.col("class").alias("b"), F.col("items").alias("y"))
 
     common = F.size(F.array_intersect("x", "y"))
     close = 100 * common >= percent * (F.size("x") + F.size("y") - common)
-    return pairs.join(left, "a").join(right, "b").where(close).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").where(close).select("a", "b").distinct()
 
 
-def jaccard_components(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
-    """Components of the similarity join: ``(id, n_shingles, component_id)`` for every document.
+def classes_of(table: DataFrame) -> DataFrame:
+    """``(digest, id, class)`` of equal sets: their smallest id, which is the class's number too.
 
-    Two documents are linked when 100 * |A & B| >= percent * |A | B| for their
-    sets of ``width``-word shingles. Equal sets become one class at once. Every
-    key's list is then checked against its first member (a star), and
-    components are found; only lists that still hold members of different
-    components are scanned in full, and there only pairs from different
-    components. So a list of thousands of near copies costs a row a member,
-    and no link that could join two components is passed over.
+    Only where several classes have one smallest id (it stands on different
+    texts) is a class's number a hash of its digest.
     """
-    docs = documents.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text")).where("id is not null")
-    sketch, small = sketch_of(docs, width, percent)
-    boundary = cheapest_boundary(small, sketch, percent)
-    table = written(keyed_sets(docs, width, percent, sketch, boundary), "jaccard-keys")
-    # Equal sets are one class; its smallest id stands for it.
     classes = checkpointed(table.where("n > 0").groupBy("digest").agg(F.min("id").alias("id")))
-    members = table.where("n > 0").select("id", "digest").join(classes.withColumnRenamed("id", "rep"), "digest").select("id", "rep")
+    clashes = checkpointed(classes.groupBy("id").count().where("count > 1").select("id", F.lit(True).alias("clash")))
+    if clashes.isEmpty():
+        return classes.withColumn("class", F.col("id"))
+    return checkpointed(classes.join(clashes, "id", "left").select("digest", "id", F.when(F.col("clash"), F.xxhash64("digest")).otherwise(F.col("id")).alias("class")))
+
+
+def star_pairs(lists: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
+    """Candidates of every list's first class with its others."""
+    heads = profiles.select(F.col("class").alias("a"), F.col("n").alias("m"))
+    pairs = lists.where("class <> head").select(F.col("head").alias("a"), F.col("class").alias("b"), "n").distinct()
+    return possible(pairs.join(heads, "a").where(size_fits("n", "m", percent)).select("a", "b"), profiles, percent)
+
+
+def size_fits(n: str, m: str, percent: int):
+    return F.expr(f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m})")
+
+
+def open_pairs(lists: DataFrame, labels: DataFrame, tried: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
+    """Candidates from different components, of the lists that still hold more than one, but for those already ``tried``."""
+    labelled = lists.join(labels, "class", "left").select("key", "class", "n", "place", F.coalesce("component", "class").alias("label"))
+    several = labelled.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("k")).where("l < h and k > 2").select("key")
+    left = checkpointed(labelled.join(several, "key", "left_semi"))
+    right = left.select("key", F.col("class").alias("b"), F.col("n").alias("m"), F.col("place").alias("place_b"), F.col("label").alias("label_b"))
+    # Two sets that first meet at these places of their prefixes share at most what is left of them.
+    rest_fits = F.expr(f"place < 0 or least(n - place, m - place_b) * {100 + percent} >= {percent} * (n + m)")
+    apart = F.expr("class < b and label <> label_b")
+    pairs = left.join(right, "key").where(apart & size_fits("n", "m", percent) & rest_fits).select(F.col("class").alias("a"), "b").distinct()
+    return possible(pairs.join(tried, ["a", "b"], "left_anti"), profiles, percent)
+
+
+def over_components(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """``labels`` after further ``links``: the components that these join become one."""
+    of_a = labels.select(F.col("class").alias("a"), F.col("component").alias("la"))
+    of_b = labels.select(F.col("class").alias("b"), F.col("component").alias("lb"))
+    between = links.join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    above = connected_components(between).select(F.col("id").alias("component"), F.col("component").alias("top"))
+    # A class that had no link before is a component of its own.
+    new = links.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(labels, "class", "left_anti")
+    known = labels.union(new.select("class", F.col("class").alias("component")))
+    return known.join(above, "component", "left").select("class", F.coalesce("top", "component").alias("component"))
+
+
+def jaccard_classes(documents: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The join on ``documents (id, text)``: their table ``(id, n, digest, ...)``, and ``(id, digest, component)`` of those with shingles.
+
+    Equal sets become one class at once. Every key's list is then checked
+    against its first member (a star), and components are found; only lists
+    that still hold members of different components are scanned in full, and
+    there only pairs from different components. So a list of thousands of near
+    copies costs a row a member, and no link that could join two components is
+    passed over. A component's number is its smallest class.
+    """
+    at.small_batches(documents.sparkSession)
+    sketch, small = sketch_of(documents, width, percent)
+    boundary = cheapest_boundary(small, sketch, percent)
+    table = written(keyed_sets(documents, width, percent, sketch, boundary), "jaccard-keys")
+    classes = classes_of(table)
     chosen = F.broadcast(classes) if classes.count() <= BROADCAST_IDS else classes
-    reps = table.where("n > 0").join(chosen, ["id", "digest"], "left_semi")
+    reps = table.where("n > 0").join(chosen, ["id", "digest"])
+    profiles = reps.select("class", "n", "profile")
 
-    entry = reps.select("id", "n", F.explode(F.arrays_zip("keys", "places")).alias("e")).select(F.col("e.keys").alias("key"), "id", "n", F.col("e.places").alias("place"))
-    heads = entry.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("k")).where("k > 1")
+    entry = reps.select("class", "n", F.explode(F.arrays_zip("keys", "places")).alias("e")).select(F.col("e.keys").alias("key"), "class", "n", F.col("e.places").alias("place"))
+    heads = entry.groupBy("key").agg(F.min("class").alias("head"), F.count("*").alias("k")).where("k > 1")
     lists = checkpointed(entry.join(heads, "key"))
+    stars = checkpointed(star_pairs(lists, profiles, percent))
+    near = checkpointed(linked(stars, with_sets(documents, classes, stars, width), percent))
+    labels = checkpointed(connected_components(near).withColumnRenamed("id", "class"))
+    rest = checkpointed(open_pairs(lists, labels, stars, profiles, percent))
+    more = checkpointed(linked(rest, with_sets(documents, classes, rest, width), percent))
+    labels = over_components(more, labels)
+
+    of_class = classes.join(labels, "class", "left").select("digest", F.coalesce("component", "class").alias("component"))
+    return table, table.where("n > 0").select("id", "digest").join(of_class, "digest")
+
 
-    size_ok = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
-    profiles = reps.select("id", "n", "profile")
-    stars = lists.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"), "n").distinct()
-    stars = stars.join(profiles.select(F.col("id").alias("a"), F.col("n").alias("m")), "a").where(size_ok).select("a", "b")
-    stars = checkpointed(possible(stars, profiles, percent))
-    near = checkpointed(linked(stars, with_sets(docs, stars, width), percent))
-    labels = checkpointed(connected_components(near))
-
-    # Lists that still hold members of different components.
-    labelled = lists.join(labels, "id", "left").select("key", "id", "n", "place", F.coalesce("component", "id").alias("label"))
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("k")).where("l < h and k > 2").select("key")
-    open_lists = checkpointed(labelled.join(mixed, "key", "left_semi"))
-    right = open_lists.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("place").alias("place_b"), F.col("label").alias("label_b"))
-    could = F.expr(f"id < b and label <> label_b and 100 * least(n, m) >= {percent} * greatest(n, m) and (place < 0 or least(n - place, m - place_b) * {100 + percent} >= {percent} * (n + m))")
-    rest = open_lists.join(right, (open_lists["key"] == right["key"]) & could).select(F.col("id").alias("a"), "b").distinct()
-    rest = checkpointed(possible(rest.join(stars, ["a", "b"], "left_anti"), profiles, percent))
-    more = checkpointed(linked(rest, with_sets(docs, rest, width), percent))
-
-    # Links between components join them; a class takes its first id's component.
-    to = lambda side, name: labels.select(F.col("id").alias(side), F.col("component").alias(name))
-    joined = more.join(to("a", "la"), "a", "left").join(to("b", "lb"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
-    above = connected_components(joined).select(F.col("id").alias("label"), F.col("component").alias("top"))
-    known = labels.select("id", F.col("component").alias("label")).union(more.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(labels, "id", "left_anti").select("id", F.col("id").alias("label")))
-    tops = known.join(above, "label", "left").select(F.col("id").alias("rep"), F.coalesce("top", "label").alias("component"))
-    found = members.join(tops, "rep", "left").select("id", F.coalesce("component", "rep").alias("component")).groupBy("id").agg(F.min("component").alias("component"))
+def jaccard_components(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
+    """Components of the similarity join: ``(id, n_shingles, component_id)`` for every document.
+
+    Two documents are linked when 100 * |A & B| >= percent * |A | B| for their
+    sets of ``width``-word shingles; ``component_id`` is the smallest id that
+    can be reached.
+    """
+    docs = documents.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text")).where("id is not null")
+    table, members = jaccard_classes(docs, width, percent)
+    members = checkpointed(members)
+    # A class's number is its smallest id, but where ids clash.
+    least = members.groupBy("component").agg(F.min("id").alias("least")).where("least <> component")
+    found = members.join(least, "component", "left").groupBy("id").agg(F.min(F.coalesce("least", "component")).alias("component"))
     return table.select("id", "n").join(found, "id", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
 def without_near_copies(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``documents`` but for near copies: of each component the row with the smallest id stays.
+    """The rows of ``documents`` but for near copies: of each component one row stays, that with the smallest id.
 
-    Rows without an id stay; of rows that share one id and stay, one does.
+    Rows without an id and rows without words stay. Where an id stands on
+    several rows, each text counts by itself: a row goes only if its own text
+    is a near copy of one that stays. Of rows with one id and equal sets, that
+    with the smallest hash of all its columns stays. All columns stay, whatever
+    they are called.
     """
-    found = jaccard_components(documents, id_column, text_column, width, percent)
-    gone = checkpointed(found.where("id <> component_id").select(F.col("id").alias("_gone")).distinct())
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    own = F.col(id_column).cast("long")
-    kept = documents.join(gone, own == F.col("_gone"), "left_anti")
-    repeated = checkpointed(documents.where(own.isNotNull()).groupBy(own.alias("_again")).agg(F.count("*").alias("k")).where("k > 1").select("_again"))
+    given = documents.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"), F.struct(*[F.col(f"`{n}`") for n in documents.columns]).alias("row"))
+    table, members = jaccard_classes(given.select("id", "text").where("id is not null"), width, percent)
+    members = checkpointed(members)
+    repeated = checkpointed(table.groupBy("id").count().where("count > 1").select("id"))
     if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, own == F.col("_again"), "left_anti")
-    return once.unionByName(kept.join(repeated, own == F.col("_again"), "left_semi").dropDuplicates([id_column]))
+        gone = listed(members.where("id <> component").select("id"))
+        return given.join(gone, "id", "left_anti").select("row.*")
+    first = members.groupBy("component").agg(F.min(F.struct("id", "digest")).alias("first"))
+    gone = checkpointed(members.join(first, "component").where(F.struct("id", "digest") != F.col("first")).select("id", "digest").distinct())
+    repeated = listed(repeated)
+    once = given.join(repeated, "id", "left_anti").join(listed(gone.select("id").distinct()), "id", "left_anti")
+
+    def digests(texts: pa.Array) -> pa.Array:
+        values, offsets = text_sets(pa.record_batch({"text": texts}), width)
+        return pa.array([digest_of(values[a:b]) for a, b in zip(offsets[:-1], offsets[1:])], pa.binary())
+
+    several = given.join(repeated, "id", "left_semi").withColumn("digest", at.text_udf(lambda: digests, "binary")(F.col("text")))
+    several = several.join(listed(gone), ["id", "digest"], "left_anti")
+    single = several.where("digest is not null").groupBy("id", "digest").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    return once.select("row.*").union(several.where("digest is null").select("row.*")).union(single.select("row.*"))
 
 
 def op2_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -34,9 +34,10 @@ from pyspark.sql import functions as F
 from oddsloom.llm import arrowtext as at
 
 SPACE = "▁"
-CACHE = 500_000
+#: Words and pairs of tokens that a worker remembers.
+CACHE, PAIRS = 100_000, 500_000
 #: Ids of one step: what its arrays hold is bounded by it.
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 2 << 20
 
 
 class PieceModel:
@@ -140,7 +141,7 @@ class PieceModel:
                 until, right = born[right] + 1, self.parts[right][0]
             else:
                 break
-        if len(self.pairs) > 2_000_000:
+        if len(self.pairs) > PAIRS:
             self.pairs.clear()
         self.pairs[a << 32 | b] = fits
         return fits
@@ -343,6 +344,7 @@ def token_columns(documents: DataFrame, path: str, id_column: str = "doc_id", te
                     made["ids"] = at.list_array(ids, offsets, pa.int32())
                 yield pa.record_batch(made)
 
+    at.small_batches(documents.sparkSession)
     kind = f"`{id_column}` long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
     return documents.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text")).mapInArrow(run, kind)
 

@@ -22,12 +22,12 @@ from __future__ import annotations
 import math
 import re
 from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oddsloom.llm import arrowtext as at
@@ -53,7 +53,7 @@ _SUSPECT = r"[0-9@$!|+€]|[^\W\d_][^\w\s]+\w|[^\W\d_]_+\w|" + "|".join(c * 2 fo
 _DOUBLED = re.compile(r"([^\W\d_])\1")
 _RUN = re.compile(r"(.)\1*", re.S)
 #: Words that are remembered, and the longest of them.
-CACHE, CACHED_LENGTH = 60_000, 4_096
+CACHE, CACHED_LENGTH = 30_000, 256
 
 
 def byte_classes() -> np.ndarray:
@@ -279,49 +279,41 @@ def hash_of(words: set[str]) -> int:
     return xxhash.xxh3_64_intdigest("\n".join(sorted(words)).encode()) - (1 << 63)
 
 
-def score_toxicity(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", keep: bool = False, rows: int = TRAIN_ROWS) -> DataFrame:
-    """``(id, held_out, score, predicted)`` for every document, or, with ``keep``, the rows themselves with a ``_score``.
-
-    ``labels`` has the id column and the label column.
-    """
+def toxicity_scorer(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", rows: int = TRAIN_ROWS) -> Callable[[Column], Column]:
+    """Learn from ``documents`` and ``labels``; what comes back turns a text column into its score (0 to 1)."""
+    at.small_batches(documents.sparkSession)
     docs = documents.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
     model = character_model(character_counts(docs))
     weights, base = learn(docs, labels, model, id_column, label_column, rows)
     shared = docs.sparkSession.sparkContext.broadcast((model, weights, base))
 
-    def scores(texts: pa.Array, restorer: Restorer) -> list[float]:
-        _, weights, base = shared.value
-        forms, codes, offsets, runs = restored(texts, restorer)
-        known = {w: i for i, w in enumerate(weights)}
-        value = list(weights.values())
-        of_word = np.fromiter((known.get(f, -1) for f in forms), dtype=np.int64, count=len(forms))
-        rows = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-        feature = of_word[codes] if len(codes) else codes
-        hits = set(zip(rows[feature >= 0].tolist(), feature[feature >= 0].tolist())) if len(codes) else set()
-        hits |= {(row, known[w]) for row, text in runs for w in known if w in text}
-        total = [base] * len(texts)
-        for row, f in hits:
-            total[row] += value[f]
-        return [1 / (1 + math.exp(-max(-500.0, min(500.0, z)))) for z in total]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(shared.value[0])
-        for batch in batches:
-            for part in at.slices(at.with_text(batch, text_column), "_text"):
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(scores(part.column("_text"), restorer), pa.float64())], names=[*part.schema.names[:-1], "_score"])
-
-    if keep:
-        kind = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema), "_score double"])
-        return documents.mapInArrow(run, kind)
-
-    def run_short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(shared.value[0])
-        for batch in batches:
-            for part in at.slices(batch, "text"):
-                yield pa.record_batch({"id": part.column("id"), "_score": pa.array(scores(part.column("text"), restorer), pa.float64())})
-
-    scored = docs.mapInArrow(run_short, "id long, _score double")
-    return scored.select("id", F.coalesce(F.expr(f"crc32(cast(id as string)) % {FOLDS} = 0"), F.lit(False)).alias("held_out"), F.col("_score").alias("score"), F.expr("cast(_score >= 0.5 as int)").alias("predicted"))
+    def make() -> Callable[[pa.Array], pa.Array]:
+        model, weights, base = shared.value
+        restorer = Restorer(model)
+        known, value = {w: i for i, w in enumerate(weights)}, list(weights.values())
+
+        def scores(texts: pa.Array) -> pa.Array:
+            forms, codes, offsets, runs = restored(texts, restorer)
+            of_word = np.fromiter((known.get(f, -1) for f in forms), dtype=np.int64, count=len(forms))
+            rows = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+            feature = of_word[codes] if len(codes) else codes
+            hits = set(zip(rows[feature >= 0].tolist(), feature[feature >= 0].tolist())) if len(codes) else set()
+            hits |= {(row, known[w]) for row, text in runs for w in known if w in text}
+            total = [base] * len(texts)
+            for row, f in hits:
+                total[row] += value[f]
+            return pa.array([1 / (1 + math.exp(-max(-500.0, min(500.0, z)))) for z in total], pa.float64())
+
+        return scores
+
+    return at.text_udf(make, "double")
+
+
+def score_toxicity(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", rows: int = TRAIN_ROWS) -> DataFrame:
+    """``(id, held_out, score, predicted)`` for every document; ``labels`` has the id column and the label column."""
+    score = toxicity_scorer(documents, labels, id_column, text_column, label_column, rows)
+    scored = documents.select(F.col(id_column).cast("long").alias("id"), score(F.col(text_column).cast("string")).alias("score"))
+    return scored.select("id", F.coalesce(F.expr(f"crc32(cast(id as string)) % {FOLDS} = 0"), F.lit(False)).alias("held_out"), "score", F.expr("cast(score >= 0.5 as int)").alias("predicted"))
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -44,30 +44,43 @@ def test_shards_give_the_same(spark, prose, monkeypatch):
     assert {(x["id"], x["item_id"]) for x in dc.find_leaks(docs, items).collect()} == one == {(k, k % 70) for k in range(140) if k % 70 < 60}
 
 
-def test_bounds_lose_nothing(prose):
-    """The search finds every item that scores at or above the threshold in a passage."""
-    import numpy as np
+def test_search_against_plain_bm25(prose):
+    """Every passage against every item, with BM25 and overlaps written out anew; both directions."""
+    import math
     from collections import Counter
 
-    texts = [prose(k, 25) for k in range(80)]
-    items = [(k, t, t.split()) for k, t in enumerate(texts)]
-    frequency = Counter(w for _, _, ws in items for w in set(ws))
-    index = dc.ItemIndex(items, frequency, len(items), 25.0, 25, 0.5)
-    term = {w: i for i, w in enumerate(index.vocabulary)}
+    import numpy as np
+
+    texts = [prose(k, 25 - k % 7) for k in range(80)]
+    items = {k: t.split() for k, t in enumerate(texts)}
+    frequency = Counter(w for ws in items.values() for w in set(ws))
+    mean = sum(map(len, items.values())) / len(items)
+    index = dc.ItemIndex([(k, texts[k], ws) for k, ws in items.items()], frequency, len(items), mean, 25, 0.5)
+    number = {w: i for i, w in enumerate(index.vocabulary)}
+
+    def weight(w, k):
+        n, f = items[k].count(w), frequency[w]
+        return math.log(1 + (len(items) - f + 0.5) / (f + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(items[k]) / mean))
+
+    def share(part, passage):
+        own = {tuple(part[i : i + 5]) for i in range(len(part) - 4)} or {tuple(part)}
+        n = len(next(iter(own)))
+        return len(own & {tuple(passage[i : i + n]) for i in range(len(passage) - n + 1)}) / len(own)
+
     r = random.Random(1)
     for _ in range(60):
-        k = r.randrange(80)
-        words = texts[k].split()
-        keep = [w for w in words if r.random() < 0.9] + prose(r.randrange(10**6), 20).split()
-        terms = np.array([term.get(w, -1) for w in keep])
-        hits = {h[1] for h in index.search(terms, np.array([0, len(terms)]))}
-        held = set(terms.tolist())
-        for i in range(len(items)):
-            score = sum(w for t, w in index.weights[i].items() if t in held)
-            item = next(j for j in range(len(items)) if index.ids[j] == index.ids[i])
-            overlap = index.overlaps(item, terms[:50].tolist())
-            if score >= 0.5 and overlap[0] >= dc.ITEM_OVERLAP and min(overlap[1:]) >= dc.PART_OVERLAP and len(terms) <= 50:
-                assert index.ids[i] in hits
+        words = items[r.randrange(80)]
+        passage = ([w for w in words if r.random() < 0.97] + prose(r.randrange(10**6), 20).split())[:50]
+        terms = np.array([number.get(w, -1) for w in passage])
+        hits = {h[1]: h[2:6] for h in index.search(terms, np.array([0, len(terms)]))}
+        wanted = {}
+        for k, own in items.items():
+            score = sum(weight(w, k) for w in set(own) & set(passage)) / sum(weight(w, k) for w in set(own))
+            overlap = share(own, passage), share(own[: len(own) // 2], passage), share(own[len(own) // 2 :], passage)
+            if score >= 0.5 and overlap[0] >= 0.8 and min(overlap[1:]) >= 0.5:
+                wanted[k] = (score, *overlap)
+        assert hits.keys() == wanted.keys()
+        assert all(hits[k] == pytest.approx(wanted[k]) for k in wanted)
 
 
 @pytest.mark.parametrize(("docs", "items"), [([], [(1, "a b c d e f")]), ([(1, "a b c d e f")], [])])

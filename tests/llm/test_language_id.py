@@ -79,3 +79,47 @@ def test_held_out_accuracy(spark):
     rows = docs.where("doc_id % 2 = 1 and n_chars >= 200").selectExpr("doc_id as page_id", "cast(null as string) as url", "text as html", "lang as given")
     found = li.identify_pages(rows, langs, model).join(rows.select("page_id", "given"), "page_id")
     assert found.where("lang = given").count() >= 0.98 * rows.count()
+
+
+def test_fusion_against_plain_counts(spark):
+    """Posteriors from texts' own languages, written out with dictionaries."""
+    import math
+    import random
+    from collections import Counter
+
+    import pytest
+
+    langs, model = li.learn_languages(labelled(spark))
+    r = random.Random(8)
+    rows = []
+    for i in range(120):
+        k = r.randrange(2)
+        rows.append((i, f"http://{r.choice('abc')}.{r.choice(['one', 'two'])}.{r.choice(['de', 'com'])}/p", (f"<html lang='{r.choice(['de', 'en'])}'>" if r.random() < 0.7 else "") + f"<p>{r.choice(['', (EN, DE)[k] * r.randrange(1, 3), 'xqzjkv wqxzkj ' * 9])}</p>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {x["page_id"]: x for x in li.identify_pages(pages, langs, model).collect()}
+    evidence = {x["page_id"]: x["e"] for x in pages.select("page_id", li.evidence_of(spark, model, markup=True)("html").alias("e")).collect()}
+    names = [*langs, li.UNKNOWN]
+    label = {i: names[max(range(3), key=lambda k: e[k])] for i, e in evidence.items() if e is not None}
+    totals = Counter(label.values())
+
+    def prior(counts, parent):
+        return [(counts[n] + li.KAPPA * p) / (sum(counts.values()) + li.KAPPA) for n, p in zip(names, parent)]
+
+    def of(key, i):
+        seen = Counter(label[j] for j in label if found[j][key] == found[i][key]) if key != "suffix" else Counter(label[j] for j in label if suffix(j) == suffix(i))
+        if not seen:
+            return [0.0] * 3
+        part = (sum(seen.values()) + 1) / (len(label) + 1)
+        return [math.log((seen[n] + li.KAPPA * part) / (totals[n] + li.KAPPA)) for n in names]
+
+    suffix = lambda i: found[i]["host"].rsplit(".", 1)[1]
+    domain = lambda i: found[i]["host"].split(".", 1)[1]
+    top = [(totals[n] + 1) / (len(label) + 3) for n in names]
+    for i, x in found.items():
+        by_domain = prior(Counter(label[j] for j in label if domain(j) == domain(i)), top)
+        by_host = prior(Counter(label[j] for j in label if found[j]["host"] == x["host"]), by_domain)
+        parts = [[math.log(p) for p in by_host], evidence[i] or [0.0] * 3, of("declared", i) if x["declared"] else [0.0] * 3, of("suffix", i)]
+        log = [sum(p) for p in zip(*parts)]
+        best = max(range(3), key=lambda k: log[k])
+        assert x["lang"] == names[best]
+        assert x["posterior"] == pytest.approx(1 / sum(math.exp(v - log[best]) for v in log))

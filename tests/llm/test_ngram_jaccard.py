@@ -94,3 +94,19 @@ def test_empty_and_filter(spark, prose):
     kept = nj.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string, extra int"))
     assert kept.columns == ["doc_id", "text", "extra"]
     assert sorted((x["doc_id"] or -1, x["extra"]) for x in kept.collect()) == [(-1, 4), (1, 1), (3, 3)]
+
+
+def test_rows_that_share_an_id(spark, prose):
+    """Each text counts by itself; given columns may have any name."""
+    a, b, c = prose(1, 60), prose(2, 60), prose(3, 60)
+    near = a.split()
+    near[30] = "other"
+    rows = [(5, a, 1, "x", "k"), (5, b, 2, "x", "k"), (9, c, 3, None, None), (7, " ".join(near), 4, "x", "k"), (5, a, 1, "x", "k"), (8, None, 5, "x", "k"), (8, None, 6, "x", "k"), (None, a, 7, "x", "k")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _gone int, _again string, `a.class` string")
+    kept = nj.without_near_copies(frame)
+    assert kept.columns == frame.columns
+    assert sorted(x["_gone"] for x in kept.collect()) == [1, 2, 3, 5, 6, 7]
+    found = {x["id"]: x["component_id"] for x in nj.jaccard_components(frame).collect()}
+    assert found == {5: 5, 7: 5, 8: 8, 9: 9}  # 55 of 61 shingles
+    found = {x["id"]: x["component_id"] for x in nj.jaccard_components(frame, width=5, percent=80).collect()}
+    assert found == {5: 5, 7: 5, 8: 8, 9: 9}

@@ -11,6 +11,20 @@ def test_stages_take_effect(spark):
     assert out.where("size(ids) <> n_tokens").count() == 0
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    """Names that an operator could use itself, and nulls in them, change nothing."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    names = ["_text", "_score", "_gone", "_again", "id", "row", "digest", "class", "label", "host", "declared", "_evidence", "_given", "a.b"]
+    wide = docs.select("*", *[(F.lit(None).cast("string") if k % 2 else F.col("doc_id")).alias(n) for k, n in enumerate(names)])
+    for name, stage in corpus_pipeline.STAGES:
+        plain, kept = stage(spark, docs, "/root/testdata/sf0.001"), stage(spark, wide, "/root/testdata/sf0.001")
+        if name != "sentencepiece":
+            assert kept.columns == wide.columns
+        assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == sorted(r["doc_id"] for r in plain.select("doc_id").collect())
+
+
 def test_each_stage_returns_the_columns_of_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:

@@ -62,8 +62,8 @@ def test_scores(spark, labelled, prose):
     by_id = {r["id"]: r for r in found}
     assert all(by_id[i]["predicted"] == (i % 4 == 0) for i in range(400))
     assert [by_id[i]["predicted"] for i in (1000, 1001, 1002, 1003, 1004, None, 1005, 1006, 1007)] == [1, 0, 0, 0, 1, 1, 1, 0, 0]
-    kept = tx.score_toxicity(frame, labels, keep=True)
-    assert kept.columns == [*docs.columns, "_score"] and kept.where("_score >= .5").count() == sum(r["predicted"] for r in found)
+    score = tx.toxicity_scorer(frame, labels)
+    assert frame.where(score("text") >= 0.5).count() == sum(r["predicted"] for r in found)
 
 
 def test_labels_of_the_held_out_fold_are_not_read(spark, labelled):
@@ -85,3 +85,27 @@ def test_held_out_on_given_tables(spark):
     found = tx.score_toxicity(docs, labels).where("held_out").join(labels.withColumnRenamed("doc_id", "id"), "id")
     counts = {(r["toxic"], r["predicted"]): r["count"] for r in found.groupBy("toxic", "predicted").count().collect()}
     assert counts.get((0, 1), 0) <= 0.01 * counts[0, 0] and counts[1, 1] > counts.get((1, 0), 0)
+
+
+def test_viterbi_against_all_readings():
+    """Decoding by enumerating every path of the lattice."""
+    import itertools
+    import random
+
+    r = random.Random(3)
+    counts = np.array([[[r.choice([0, 0, 1, 3, 50]) for _ in range(tx.LETTERS)] for _ in range(tx.LETTERS)] for _ in range(tx.LETTERS)], dtype=float)
+    restorer = tx.Restorer(tx.character_model(counts))
+    words = ["".join(r.choice("abcil0134@$!.-_é7") * r.choice([1, 1, 2, 3]) for _ in range(r.randrange(1, 7))) for _ in range(300)]
+    for word in words:
+        best = []
+        for path in itertools.product(*restorer.lattice(word)):
+            text = "".join(s for s, _ in path)
+            score, a, b = 0.0, 0, 0
+            for string, cost in path:
+                score += cost
+                for char in string:
+                    c = tx.class_of(char)
+                    score, a, b = score + restorer.model[a][b][c], b, c
+            best.append((score + restorer.model[a][b][0], text))
+        top = max(s for s, _ in best)
+        assert restorer.decode(word) in {t for s, t in best if s >= top - 1e-9}
