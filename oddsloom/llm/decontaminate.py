@@ -264,7 +264,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, id_column: str = "doc_id"
 
         one = docs.mapInArrow(run, MATCH)
         found = one if found is None else found.union(one)
-    return docs.sparkSession.createDataFrame([], MATCH) if found is None else found
+    return docs.mapInArrow(lambda batches: iter(()), MATCH) if found is None else found
 
 
 def without_leaks(documents: DataFrame, items: DataFrame, text_column: str = "text", item_column: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

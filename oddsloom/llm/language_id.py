@@ -91,8 +91,10 @@ def learn_languages(documents: DataFrame, id_column: str = "doc_id", text_column
     numbers = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).where(f"n >= {LEAST_TEXTS}").collect()}
     langs = sorted(numbers)
     quota = max(LANGUAGE_ROWS, rows // max(1, len(langs)))
-    shares = documents.sparkSession.createDataFrame([(lang, min(1.0, quota / n)) for lang, n in numbers.items()], "lang string, share double")
-    texts = labelled.join(F.broadcast(shares), "lang").where(f"share >= 1 or pmod(xxhash64(id, text), {1 << 30}) < share * {1 << 30}").select("text", "lang")
+    if not langs:
+        return [], np.zeros((BUCKETS, 0))
+    share = F.element_at(F.create_map(*[F.lit(x) for lang, n in numbers.items() for x in (lang, min(1.0, quota / n))]), F.col("lang"))
+    texts = labelled.withColumn("share", share).where(f"share >= 1 or pmod(xxhash64(id, text), {1 << 30}) < share * {1 << 30}").select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}

@@ -36,8 +36,8 @@ SKETCH_SLICES = 64
 SUBSETS_UP_TO = 24
 #: Counters in a set's profile, from which an upper bound of an intersection is read.
 PROFILE = 256
-#: Up to so many ids (16 to 32 bytes each) a list of wanted documents is broadcast; beyond that it is joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Up to so many ids (8 to 64 bytes each) a list of documents is broadcast; beyond that it is joined by a shuffle.
+BROADCAST_IDS = 250_000
 
 
 def need(n: int, m: int, percent: int) -> int:
@@ -223,17 +223,19 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(close).select("a", "b").distinct()
 
 
-def classes_of(table: DataFrame) -> DataFrame:
-    """``(digest, id, class)`` of equal sets: their smallest id, which is the class's number too.
+def representatives(table: DataFrame) -> DataFrame:
+    """One row for each distinct set: ``(digest, id, class, n, profile, keys, places)`` of its document with the smallest id.
 
-    Only where several classes have one smallest id (it stands on different
-    texts) is a class's number a hash of its digest.
+    Copies meet in a partial aggregate before anything is shuffled. A class's
+    number is its smallest id; only where several classes have one smallest id
+    (it stands on different texts) is it a hash of the digest.
     """
-    classes = checkpointed(table.where("n > 0").groupBy("digest").agg(F.min("id").alias("id")))
-    clashes = checkpointed(classes.groupBy("id").count().where("count > 1").select("id", F.lit(True).alias("clash")))
+    first = F.min_by(F.struct("n", "profile", "keys", "places"), "id")
+    reps = written(table.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"), first.alias("own")).select("digest", "id", "own.*"), "jaccard-classes")
+    clashes = checkpointed(reps.groupBy("id").count().where("count > 1").select("id", F.lit(True).alias("clash")))
     if clashes.isEmpty():
-        return classes.withColumn("class", F.col("id"))
-    return checkpointed(classes.join(clashes, "id", "left").select("digest", "id", F.when(F.col("clash"), F.xxhash64("digest")).otherwise(F.col("id")).alias("class")))
+        return reps.withColumn("class", F.col("id"))
+    return written(reps.join(clashes, "id", "left").withColumn("class", F.when(F.col("clash"), F.xxhash64("digest")).otherwise(F.col("id"))).drop("clash"), "jaccard-classes")
 
 
 def star_pairs(lists: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
@@ -286,10 +288,8 @@ def jaccard_classes(documents: DataFrame, width: int, percent: int) -> tuple[Dat
     sketch, small = sketch_of(documents, width, percent)
     boundary = cheapest_boundary(small, sketch, percent)
     table = written(keyed_sets(documents, width, percent, sketch, boundary), "jaccard-keys")
-    classes = classes_of(table)
-    chosen = F.broadcast(classes) if classes.count() <= BROADCAST_IDS else classes
-    reps = table.where("n > 0").join(chosen, ["id", "digest"])
-    profiles = reps.select("class", "n", "profile")
+    reps = representatives(table)
+    classes, profiles = reps.select("digest", "id", "class"), reps.select("class", "n", "profile")
 
     entry = reps.select("class", "n", F.explode(F.arrays_zip("keys", "places")).alias("e")).select(F.col("e.keys").alias("key"), "class", "n", F.col("e.places").alias("place"))
     heads = entry.groupBy("key").agg(F.min("class").alias("head"), F.count("*").alias("k")).where("k > 1")

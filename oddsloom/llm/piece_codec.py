@@ -35,7 +35,7 @@ from oddsloom.llm import arrowtext as at
 
 SPACE = "▁"
 #: Words and pairs of tokens that a worker remembers.
-CACHE, PAIRS = 100_000, 500_000
+CACHE, PAIRS = 60_000, 300_000
 #: Ids of one step: what its arrays hold is bounded by it.
 SLICE_BYTES = 2 << 20
 
