@@ -28,12 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from oddsloom.llm.arrowtext import small_batches
 from oddsloom.llm.cluster import connected_components, written
 
 THRESHOLD = 0.9
 RECALL = 0.97
-BUCKET_SIZE = 16
-BLOCK = 512
+BUCKET_SIZE = 256
+BLOCK = 1024
+#: So close to the threshold a cosine is computed again.
+BORDER = 1e-9
 SEED = 20_011
 
 
@@ -72,9 +75,10 @@ def hashed(vectors: DataFrame, planes: int, tables: int) -> DataFrame:
                 signs = (np.stack([rows[i] for i in which]) @ made[length] >= 0).reshape(len(which), tables, planes)
                 buckets[which] = signs @ (1 << np.arange(planes, dtype=np.int64))
             offsets = np.arange(len(rows) + 1, dtype=np.int32) * tables
-            yield pa.record_batch({"id": batch.column("id"), "vector": batch.column("vector"), "length": pa.array([len(r) for r in rows], pa.int32()), "buckets": pa.ListArray.from_arrays(pa.array(offsets), pa.array(buckets.reshape(-1)))})
+            yield pa.record_batch({"id": batch.column("id"), "vector": batch.column("vector"), "copies": batch.column("copies"), "length": pa.array([len(r) for r in rows], pa.int32()), "buckets": pa.ListArray.from_arrays(pa.array(offsets), pa.array(buckets.reshape(-1)))})
 
-    return vectors.select("id", "vector").mapInArrow(run, "id long, vector array<double>, length int, buckets array<long>")
+    kind = vectors.schema["vector"].dataType.simpleString()
+    return vectors.select("id", "vector", "copies").mapInArrow(run, f"id long, vector {kind}, copies long, length int, buckets array<long>")
 
 
 def by_length(rows: list[np.ndarray]) -> dict[int, list[int]]:
@@ -84,46 +88,80 @@ def by_length(rows: list[np.ndarray]) -> dict[int, list[int]]:
     return found
 
 
-def near_pairs(vectors: DataFrame, planes: int, tables: int, threshold: float) -> DataFrame:
-    """The pairs ``(a, b)``, a < b, of ids that share a bucket and reach the threshold, each once.
+def close(left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether each row of ``left`` and each of ``right`` have a cosine of at least ``threshold``.
 
-    Buckets of up to ``BLOCK`` vectors are one group. A larger one is cut into
-    blocks, by the hash of the id, and each pair of blocks is a group, so a
-    group never holds more than about two blocks. A pair counts in the first
-    table in which it shares a bucket.
+    One matrix product of unit vectors decides, but for pairs next to the
+    threshold: their cosine is the product over the root of both squares, taken
+    of the vectors as they are (scaled by powers of two, which changes no digit).
+    """
+    x, y = (v / np.exp2(np.frexp(np.abs(v).max(axis=1))[1])[:, None] for v in (left, right))
+    xx, yy = (x * x).sum(axis=1), (y * y).sum(axis=1)
+    cosine = (x / np.sqrt(xx)[:, None]) @ (y / np.sqrt(yy)[:, None]).T
+    found = cosine >= threshold
+    i, j = np.nonzero(np.abs(cosine - threshold) < BORDER)
+    for k in range(0, len(i), BLOCK * BLOCK // 8):
+        a, b = i[k : k + BLOCK * BLOCK // 8], j[k : k + BLOCK * BLOCK // 8]
+        found[a, b] = (x[a] * y[b]).sum(axis=1) / np.sqrt(xx[a] * yy[b]) >= threshold
+    return found
+
+
+def smallest_reached(links: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Labels of a bipartite graph's rows and columns: the smallest of the given ones that can be reached."""
+    while True:
+        low = np.minimum(right, np.where(links, left[:, None], np.iinfo(np.int64).max).min(axis=0, initial=np.iinfo(np.int64).max))
+        up = np.minimum(left, np.where(links, low[None, :], np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max))
+        if np.array_equal(low, right) and np.array_equal(up, left):
+            return left, right
+        left, right = up, low
+
+
+def links_and_edges(vectors: DataFrame, planes: int, tables: int, threshold: float) -> DataFrame:
+    """Rows ``(class, links, root)`` that add up to each class's links, and whose edges have the graph's components.
+
+    ``vectors`` has ``id`` (the class), ``vector`` and ``copies``. Buckets of up
+    to ``BLOCK`` vectors are one group. A larger one is cut into blocks, by the
+    hash of the class, and each pair of blocks is a group, so a group never
+    holds more than about two blocks. A group sends one row for each of its
+    vectors, however many links it has: the copies it is linked with for the
+    first time (a pair counts in the first table in which it shares a bucket),
+    and the smallest class it reaches in the group.
     """
     made = hashed(vectors, planes, tables)
-    entries = made.select("*", F.posexplode("buckets").alias("table", "bucket"))
+    entries = made.select("id", "vector", "copies", "length", F.posexplode("buckets").alias("table", "bucket"), "buckets")
+    # Only what earlier tables say is asked for.
+    entries = entries.withColumn("buckets", F.expr("slice(buckets, 1, table)"))
     key = ["table", "length", "bucket"]
-    sizes = entries.groupBy(*key).agg(F.count("*").alias("k")).where("k > 1")
+    sizes = made.select("length", F.posexplode("buckets").alias("table", "bucket")).groupBy(*key).agg(F.count("*").alias("k")).where("k > 1")
     sizes = sizes.select(*key, F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
     entries = entries.join(sizes, key).withColumn("own", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
     groups = F.expr("transform(sequence(0, blocks - 1), x -> named_struct('lo', least(x, own), 'hi', greatest(x, own)))")
     entries = entries.select("*", F.explode(groups).alias("g"))
-    entries = entries.select(F.xxhash64("table", "length", "bucket", "g.lo", "g.hi").alias("group"), "table", "bucket", "id", "vector", "buckets", F.expr("if(own = g.lo, 0, 1)").alias("side"), F.expr("g.lo = g.hi").alias("one"))
+    entries = entries.select("table", "length", "bucket", F.expr("g.lo").alias("lo"), F.expr("g.hi").alias("hi"), "id", "copies", "vector", "buckets", F.expr("if(own = g.lo, 0, 1)").alias("side"))
 
     def compare(group: pa.Table) -> pa.Table:
-        ids, side, one = (group.column(c).to_numpy() for c in ("id", "side", "one"))
-        table, bucket = group.column("table").to_numpy(), group.column("bucket").to_numpy()
-        rows = rows_of(group.column("vector").combine_chunks())
-        shared = group.column("buckets").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-        out_a, out_b = [], []
-        for which in by_length(rows).values():
-            index = np.array(which)
-            data = np.stack([rows[i] for i in which])
-            data = data / np.abs(data).max(axis=1, keepdims=True)
-            data = data / np.sqrt((data * data).sum(axis=1, keepdims=True))
-            x, y = np.nonzero(np.triu(data @ data.T >= threshold, 1))
-            x, y = index[x], index[y]
-            fits = (one[x] | (side[x] != side[y])) & (table[x] == table[y]) & (bucket[x] == bucket[y])
-            x, y = x[fits], y[fits]
-            first = np.argmax(shared[x] == shared[y], axis=1) if len(x) else x
-            a, b = ids[x[first == table[x]]], ids[y[first == table[x]]]
-            out_a.append(np.minimum(a, b))
-            out_b.append(np.maximum(a, b))
-        return pa.table({"a": pa.array(np.concatenate(out_a), pa.int64()), "b": pa.array(np.concatenate(out_b), pa.int64())})
-
-    return entries.groupBy("group").applyInArrow(compare, "a long, b long")
+        ids, side, copies = (group.column(c).to_numpy() for c in ("id", "side", "copies"))
+        table, one = group.column("table")[0].as_py(), group.column("lo")[0] == group.column("hi")[0]
+        data = np.stack(rows_of(group.column("vector").combine_chunks()))
+        shared = group.column("buckets").combine_chunks().flatten().to_numpy().reshape(len(ids), table)
+        x = np.flatnonzero(side == 0)
+        y = x if one else np.flatnonzero(side == 1)
+        found = close(data[x], data[y], threshold)
+        if one:
+            found &= ~np.eye(len(x), dtype=bool)
+        roots = smallest_reached(found, ids[x], ids[y])
+        for t in range(table):
+            found &= shared[x, t][:, None] != shared[y, t][None, :]
+        sums = [found @ copies[y].astype(np.float64), copies[x].astype(np.float64) @ found]
+        if one:
+            parts = [(ids[x], sums[0], np.minimum(*roots))]
+        else:
+            parts = [(ids[x], sums[0], roots[0]), (ids[y], sums[1], roots[1])]
+        own, links, root = (np.concatenate(c) for c in zip(*parts))
+        keep = (links > 0) | (root != own)
+        return pa.table({"class": pa.array(own[keep], pa.int64()), "links": pa.array(np.rint(links[keep]).astype(np.int64)), "root": pa.array(root[keep], pa.int64())})
+
+    return entries.groupBy("table", "length", "bucket", "lo", "hi").applyInArrow(compare, "class long, links long, root long")
 
 
 def embedding_components(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
@@ -133,21 +171,28 @@ def embedding_components(vectors: DataFrame, id_column: str = "vec_id", vector_c
     ``threshold`` that were found, copies included; ``component_id`` is the
     smallest id that can be reached; ``kept`` marks it.
     """
-    rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("vector")).where("id is not null")
+    small_batches(vectors.sparkSession)
+    kind = vectors.select(F.col(vector_column).alias("v")).schema["v"].dataType.simpleString()
+    kind = kind if kind == "array<float>" else "array<double>"  # floats travel as floats
+    rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast(kind).alias("vector")).where("id is not null")
     finite = F.expr("vector is not null and size(vector) > 0 and forall(vector, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(vector, x -> x <> 0)")
     keyed = rows.withColumn("digest", F.when(finite, F.expr("sha2(cast(array_join(transform(vector, x -> hex(cast(x as string))), ',') as binary), 256)")))
     table = written(keyed, "embedding-rows")
-    classes = written(table.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "embedding-classes")
+    # Copies meet in a partial aggregate before anything is shuffled.
+    classes = written(table.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.min_by("vector", "id").alias("vector")), "embedding-classes")
+    # A class's number is its smallest id, or, where several have the same (it stands on different vectors), a hash.
+    clashes = written(classes.groupBy("rep").count().where("count > 1").select("rep", F.lit(True).alias("clash")), "embedding-clashes")
+    classes = classes.join(clashes, "rep", "left").withColumn("class", F.when(F.col("clash"), F.xxhash64("digest")).otherwise(F.col("rep")))
     planes, tables = table_plan(classes.count(), threshold)
-    reps = table.where("digest is not null").join(classes.select(F.col("rep").alias("id"), "digest"), ["id", "digest"], "left_semi").dropDuplicates(["id"]).select("id", "vector")
-    pairs = written(near_pairs(reps, planes, tables, threshold), "embedding-pairs")
-
-    weights = classes.select(F.col("rep").alias("b"), "copies")
-    both = pairs.union(pairs.select("b", "a"))
-    links = both.join(weights, "b").groupBy("a").agg(F.sum("copies").alias("others")).select(F.col("a").alias("rep"), "others")
-    labels = connected_components(pairs).select(F.col("id").alias("rep"), "component")
-    per_class = classes.join(links, "rep", "left").join(labels, "rep", "left").select("digest", F.expr("copies - 1 + coalesce(others, 0)").alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    found = table.select("id", "digest").join(per_class, "digest", "left")
+    found = written(links_and_edges(classes.select(F.col("class").alias("id"), "vector", "copies"), planes, tables, threshold), "embedding-links")
+
+    links = found.groupBy("class").agg(F.sum("links").alias("others"))
+    labels = connected_components(found.select(F.col("class").alias("a"), F.col("root").alias("b"))).select(F.col("id").alias("class"), "component")
+    per_class = classes.join(links, "class", "left").join(labels, "class", "left").select("digest", "rep", F.expr("copies - 1 + coalesce(others, 0)").alias("n_links"), F.coalesce("component", "class").alias("label"))
+    if not clashes.isEmpty():
+        least = per_class.groupBy("label").agg(F.min("rep").alias("least"))
+        per_class = per_class.join(least, "label").drop("label").withColumnRenamed("least", "label")
+    found = table.select("id", "digest").join(per_class.select("digest", "n_links", F.col("label").alias("component_id")), "digest", "left")
     found = found.select("id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     return found.withColumn("kept", F.col("id") == F.col("component_id"))
 

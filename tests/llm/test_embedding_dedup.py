@@ -53,3 +53,30 @@ def test_empty_and_one(spark):
     kind = "vec_id long, embedding array<float>"
     assert ed.embedding_components(spark.createDataFrame([], kind)).count() == 0
     assert ed.embedding_components(spark.createDataFrame([(1, [1.0])], kind)).first()["kept"]
+
+
+def test_pairs_at_the_threshold_and_next_to_it(spark):
+    """Cosines of 0.9 exactly, a hair below, and of scaled vectors."""
+    one = [1.0] + [0.0] * 7
+    at = [9.0, 3.0, 3.0, 1.0, 0.0, 0.0, 0.0, 0.0]
+    below = [9.0, 3.0, 3.0, 1.0 + 1e-12, 0.0, 0.0, 0.0, 0.0]
+    rows = [(0, one)] + [(1 + k, [v * s for v in at]) for k, s in enumerate((1.0, 3.0, 2.0**-40, 1e150))] + [(9, below)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = {r["id"]: r["n_links"] for r in ed.embedding_components(frame).collect()}
+    links, _ = brute([(i, v if max(v) < 1e100 else at) for i, v in rows])
+    assert found == {i: len(x) for i, x in links.items()} and 9 not in links[0] and {1, 2, 3, 4} <= links[0]
+
+
+def test_an_id_on_different_vectors(spark):
+    rows = [(5, [1.0, 0.0]), (5, [0.0, 1.0]), (7, [1.0, 0.01]), (8, [0.01, 1.0]), (8, [0.01, 1.0])]
+    found = sorted((r["id"], r["n_links"], r["component_id"]) for r in ed.embedding_components(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect())
+    assert found == [(5, 1, 5), (5, 2, 5), (7, 1, 5), (8, 2, 5), (8, 2, 5)]
+
+
+def test_a_dense_group_sends_a_row_a_vector(spark, monkeypatch):
+    monkeypatch.setattr(ed, "BLOCK", 64)
+    r = np.random.default_rng(3)
+    base = r.standard_normal(16)
+    frame = spark.createDataFrame([(i, (base + 0.01 * r.standard_normal(16)).tolist(), 1) for i in range(300)], "id long, vector array<double>, copies long")
+    sent = ed.links_and_edges(frame, 1, 3, 0.9).collect()
+    assert len(sent) <= 3 * 300 * 5 and sum(x["links"] for x in sent) == 300 * 299
