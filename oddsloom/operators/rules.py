@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Minutes before kickoff of each checkpoint.
-CHECKPOINTS = {"T-480M": 480, "T-360M": 360, "T-180M": 180, "T-120M": 120, "T-90M": 90, "T-60M": 60, "T-30M": 30, "T-10M": 10}
+CHECKPOINTS = {"T-480M": 480, "T-360M": 360, "T-240M": 240, "T-120M": 120, "T-90M": 90, "T-60M": 60, "T-30M": 30, "T-10M": 10}
 
 
 def core_selection(rows: DataFrame) -> DataFrame:

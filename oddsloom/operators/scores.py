@@ -19,13 +19,23 @@ def poisson(rate: Column, goals: Column) -> Column:
 
 
 def score_matrix(rates: DataFrame, goals: int = GOALS) -> DataFrame:
-    """Score probabilities of each match: two Poisson rates, corrected in the four low scores, cut at zero, adding up to one."""
-    grid = rates.select("match_id", "lh", "la", "rho", F.explode(F.sequence(F.lit(0), F.lit(goals))).alias("h"))
-    grid = grid.select("*", F.explode(F.sequence(F.lit(0), F.lit(goals))).alias("a"))
+    """Score probabilities of each match: two Poisson rates, corrected in the four low scores, cut at zero, adding up to one.
+
+    The sum of a match's grid is known in its row before the grid is made, so
+    nothing is shuffled.
+    """
     h, a, lh, la, rho = (F.col(c) for c in ("h", "a", "lh", "la", "rho"))
-    tau = F.when((h == 0) & (a == 0), 1 - lh * la * rho).when((h == 0) & (a == 1), 1 + lh * rho).when((h == 1) & (a == 0), 1 + la * rho).when((h == 1) & (a == 1), 1 - rho).otherwise(1.0)
-    raw = grid.select("match_id", "h", "a", F.greatest(F.lit(0.0), poisson(lh, h) * poisson(la, a) * tau).alias("raw"))
-    return raw.withColumn("p", F.col("raw") / F.sum("raw").over(Window.partitionBy("match_id"))).drop("raw")
+    low = {(0, 0): 1 - lh * la * rho, (0, 1): 1 + lh * rho, (1, 0): 1 + la * rho, (1, 1): 1 - rho}
+    mass = lambda rate: F.aggregate(F.sequence(F.lit(0), F.lit(goals)), F.lit(0.0), lambda s, g: s + poisson(rate, g))
+    total = mass(lh) * mass(la)
+    for (x, y), t in low.items():
+        total = total + poisson(lh, F.lit(x)) * poisson(la, F.lit(y)) * (F.greatest(F.lit(0.0), t) - 1)
+    grid = rates.select("match_id", "lh", "la", "rho", total.alias("total"), F.explode(F.sequence(F.lit(0), F.lit(goals))).alias("h"))
+    grid = grid.select("*", F.explode(F.sequence(F.lit(0), F.lit(goals))).alias("a"))
+    tau = F.lit(1.0)
+    for (x, y), t in low.items():
+        tau = F.when((h == x) & (a == y), t).otherwise(tau)
+    return grid.select("match_id", "h", "a", (F.greatest(F.lit(0.0), poisson(lh, h) * poisson(la, a) * tau) / F.col("total")).alias("p"))
 
 
 def score_marginals(matrix: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oddsloom.functions import text as fx
-from oddsloom.operators import ledger, movement, quotes, resolve, review, rules, scores
+from oddsloom.operators import ledger, model, movement, quotes, resolve, review, rules, scores
 from oddsloom.plans.adapters import line_quotes, quotes_long, rates, table, tickets, with_views
 from oddsloom.streaming import live
 
@@ -228,7 +228,7 @@ def score_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
  round(sum(p) FILTER (h + a > 2), 6) AS p_over25, round(sum(p) FILTER (h + a IN (1, 3)), 6) AS p_total_1_or_3 FROM matrix GROUP BY 1"""
 )
 def score_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scores.score_marginals(scores.score_matrix(rates(spark, sf_dir)))
+    return model.score_marginals(rates(spark, sf_dir))
 
 
 @query(
@@ -498,7 +498,7 @@ def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH m AS (SELECT o_orderkey AS match_id, o_orderdate + to_minutes(o_orderkey % 1440) AS kickoff FROM orders), c AS (SELECT m.*, stage, minutes FROM m, (VALUES ('T-480M',480),('T-360M',360),('T-180M',180),('T-120M',120),('T-90M',90),('T-60M',60),('T-30M',30),('T-10M',10)) v(stage, minutes)),
+    """WITH m AS (SELECT o_orderkey AS match_id, o_orderdate + to_minutes(o_orderkey % 1440) AS kickoff FROM orders), c AS (SELECT m.*, stage, minutes FROM m, (VALUES ('T-480M',480),('T-360M',360),('T-240M',240),('T-120M',120),('T-90M',90),('T-60M',60),('T-30M',30),('T-10M',10)) v(stage, minutes)),
  p AS (SELECT match_id, stage, kickoff, kickoff - to_minutes(minutes) AS planned, TIMESTAMP '1995-06-15 12:00:00' AS now FROM c), l AS (SELECT *, CAST(trunc((epoch_us(now)-epoch_us(planned))/60000000) AS BIGINT) AS minutes_late FROM p)
  SELECT match_id, stage, minutes_late, CASE WHEN planned > now THEN 'planned' WHEN kickoff + INTERVAL 6 HOUR < now THEN 'permanently_missing' WHEN minutes_late <= 5 THEN 'on_time' ELSE 'late' END AS status FROM l"""
 )
