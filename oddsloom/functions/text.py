@@ -28,10 +28,17 @@ def canonical_match_id(stamp: Column, home: Column, away: Column) -> Column:
 
 
 def canonical_line(text: Column) -> Column:
-    """A line as a number: "2.5/3" is 2.75, plain numbers are themselves, all else null."""
-    parts = F.split(F.trim(text), "/")
-    low, high = F.get(parts, F.lit(0)).try_cast("double"), F.get(parts, F.lit(1)).try_cast("double")
-    return F.when(F.size(parts) == 1, low).when((F.size(parts) == 2) & high.isNotNull(), (low + F.when(low < 0, -F.abs(high)).otherwise(high)) / 2)
+    """A line in one notation, as text: "2.5/3" and "2.750" are "2.75"; what is no number is its folded words.
+
+    Numbers are decimals throughout, so no digit is lost; an empty line is "".
+    """
+    folded = F.regexp_replace(F.trim(text), "／", "/")
+    parts = F.split(folded, "/")
+    number = lambda k: F.trim(F.get(parts, F.lit(k))).try_cast("decimal(18,6)")
+    value = F.when(F.size(parts) == 2, ((number(0) + number(1)) / 2).cast("decimal(18,7)")).when(F.size(parts) == 1, number(0).cast("decimal(18,7)"))
+    plain = F.regexp_replace(F.regexp_replace(value.cast("string"), r"0+$", ""), r"\.$", "")
+    plain = F.when(plain.isin("-0", ""), "0").otherwise(plain)
+    return F.when(folded == "", "").otherwise(F.coalesce(plain, F.lower(F.regexp_replace(folded, r"\s+", " "))))
 
 
 def parse_score(text: Column) -> Column:

@@ -42,15 +42,27 @@ def publishable(home: Column, draw: Column, away: Column, rate: Column) -> Colum
 
 
 def frozen_window(kickoff: Column, analysed: Column) -> Column:
-    """Whether an analysis falls in the 90 to 60 minutes before kickoff; a missing time counts as in."""
-    minutes = (F.unix_seconds(kickoff.cast("timestamp")) - F.unix_seconds(analysed.cast("timestamp"))) / 60
-    return F.coalesce((minutes > 60) & (minutes <= 90), F.lit(True))
+    """Whether an analysis falls in the 90 to 60 minutes before kickoff; a missing time counts as in, an unreadable one as out."""
+    missing = (F.coalesce(F.trim(kickoff.cast("string")), F.lit("")) == "") | (F.coalesce(F.trim(analysed.cast("string")), F.lit("")) == "")
+    minutes = (F.unix_seconds(kickoff.cast("string").try_cast("timestamp")) - F.unix_seconds(analysed.cast("string").try_cast("timestamp"))) / 60
+    return F.when(missing, True).otherwise(F.coalesce((minutes > 60) & (minutes <= 90), F.lit(False)))
+
+
+def before_kickoff(kickoff: Column, analysed: Column) -> Column:
+    """Whether an analysis is not later than kickoff; a missing or unreadable time counts as so."""
+    return F.coalesce(analysed.cast("string").try_cast("timestamp") <= kickoff.cast("string").try_cast("timestamp"), F.lit(True))
+
+
+#: Words of two-legged and of single knockout rounds.
+TWO_LEGS = ("首回合", "次回合", "两回合", "second leg", "first leg", "2nd leg", "1st leg")
+KNOCKOUT = ("单回合", "淘汰赛", "决赛", "半决赛", "四分之一决赛", "八分之一决赛", "附加赛", "knockout", "final", "semi-final", "semifinal", "quarter-final", "quarterfinal", "round of 16", "play-off", "playoff")
 
 
 def knockout(text: Column) -> Column:
     """Whether a competition's text names a knockout round; two-legged ties are none."""
     low = F.lower(text)
-    return ~low.rlike("first leg|second leg|two legs") & low.rlike("final|knockout|play-?off|round of 16")
+    holds = lambda words: reduce(lambda x, y: x | y, [F.contains(low, F.lit(w)) for w in words])
+    return ~holds(TWO_LEGS) & holds(KNOCKOUT)
 
 
 def reject_reason(event: dict[str, Column]) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oddsloom.operators.scores import GOALS
+from oddsloom.operators.scores import GOALS, held
 
 #: Shocks of the sensitivity scenarios, to the home and the away rate.
 SCENARIOS = {"base": (0.0, 0.0), "fewer_goals": (-0.10, -0.10), "more_goals": (0.10, 0.10), "home_up": (0.15, 0.0), "away_up": (0.0, 0.15)}
@@ -25,7 +25,7 @@ def pmf(rate: str, goals: int = GOALS) -> str:
 
 def with_grid(rates: DataFrame, goals: int = GOALS) -> DataFrame:
     """``rates`` with arrays ``ph`` and ``pa``, the four corrections ``k00, k01, k10, k11``, and the grid's ``mass``."""
-    rows = rates.withColumns({"ph": F.expr(pmf("lh", goals)), "pa": F.expr(pmf("la", goals))})
+    rows = held(rates, {"ph": F.expr(pmf("lh", goals)), "pa": F.expr(pmf("la", goals))})
     tau = {"00": "1 - lh * la * rho", "01": "1 + lh * rho", "10": "1 + la * rho", "11": "1 - rho"}
     # A cell is cut at zero; what it gains or loses against the plain product is its correction.
     rows = rows.withColumns({f"k{h}{a}": F.expr(f"ph[{h}] * pa[{a}] * (greatest(0D, {t}) - 1)") for (h, a), t in tau.items()})
@@ -40,7 +40,7 @@ def cell(h: int, a: int) -> str:
 def outcome_sums(rows: DataFrame) -> DataFrame:
     """``p_home, p_draw, p_away, p_btts, p_over25, p_total_1_or_3`` of rows with a grid."""
     sums = "aggregate(sequence(0, size(ph) - 1), named_struct('w', 0D, 'd', 0D, 'b', 0D), (s, g) -> named_struct('w', s.w + ph[g] * s.b, 'd', s.d + ph[g] * pa[g], 'b', s.b + pa[g]))"
-    rows = rows.withColumn("s", F.expr(sums))
+    rows = held(rows, {"s": F.expr(sums)})
     low = " + ".join(cell(h, a) for h in range(3) for a in range(3 - h))
     odd = " + ".join(cell(h, n - h) for n in (1, 3) for h in range(n + 1))
     found = {
@@ -94,7 +94,7 @@ def parts(line: str) -> list[str]:
 def total_line_pricing(rows: DataFrame, key: str) -> DataFrame:
     """Win, loss and push equivalents and fair odds of over and under at ``line`` for a Poisson total with mean ``expected``."""
     low = f"aggregate(sequence(0, {TOTAL_GOALS}), 0D, (s, g) -> s + exp(-expected) * pow(expected, g) / factorial(g))"
-    rows = rows.withColumn("d", F.expr(f"concat({pmf('expected', TOTAL_GOALS)}, array(greatest(0D, 1 - {low})))"))
+    rows = held(rows, {"d": F.expr(f"concat({pmf('expected', TOTAL_GOALS)}, array(greatest(0D, 1 - {low})))")})
     rows = rows.withColumns({f"c{k}": F.expr(p) for k, p in enumerate(parts("line"))})
     share = lambda sign: F.expr(f"aggregate(transform(d, (p, g) -> p * (if(g {sign} c0, 0.5D, 0D) + if(g {sign} c1, 0.5D, 0D))), 0D, (s, x) -> s + x)")
     rows = rows.withColumns({"up": share(">"), "down": share("<")})
@@ -107,7 +107,7 @@ def with_differences(rows: DataFrame) -> DataFrame:
     """Arrays of the probabilities of each goal difference (-GOALS to GOALS) and each total (0 to 2 GOALS) of rows with a grid."""
     difference = f"transform(sequence(-{GOALS}, {GOALS}), m -> (aggregate(sequence(greatest(0, m), least({GOALS}, {GOALS} + m)), 0D, (s, h) -> s + ph[h] * pa[h - m]) + case m when 0 then k00 + k11 when -1 then k01 when 1 then k10 else 0D end) / mass)"
     total = f"transform(sequence(0, {2 * GOALS}), n -> (aggregate(sequence(greatest(0, n - {GOALS}), least({GOALS}, n)), 0D, (s, h) -> s + ph[h] * pa[n - h]) + case n when 0 then k00 when 1 then k01 + k10 when 2 then k11 else 0D end) / mass)"
-    return rows.withColumns({"difference": F.expr(difference), "total": F.expr(total)})
+    return held(rows, {"difference": F.expr(difference), "total": F.expr(total)})
 
 
 def settled(values: str, offset: int, margin: str, line: str) -> dict[str, Column]:

@@ -85,7 +85,27 @@ def upsert(old: DataFrame, new: DataFrame, key: str, columns: list[str], final:
     return joined.select(F.coalesce(f"o.{key}", f"n.{key}").alias(key), *[F.when(keep, F.col(f"o.{c}")).otherwise(F.coalesce(f"n.{c}", f"o.{c}")).alias(c) for c in columns], F.when(F.col(f"o.{key}").isNull(), "created").when(keep, "kept").otherwise("updated").alias("change"))
 
 
-def error_tags(rank: Column, overridden: Column, hit: Column) -> Column:
-    """Tags of a review: where the real score stood among the predicted ones, and whether a choice overrode the model."""
-    place = F.when(rank <= 5, "score_near").when(rank <= 10, "score_outer").otherwise("score_tail")
-    return F.array_compact(F.array(F.when(~hit, place), F.when(~hit & overridden, "selector_override"), F.when(hit, "hit")))
+def error_tags(given: Column, hits: dict[str, Column], rank: Column, overridden: Column, actual: Column, checkpoints: Column) -> Column:
+    """Tags of a review, without repeats.
+
+    Where the score was missed and the real one has a rank, one tag says why: a
+    choice that overrode the model (up to rank 5), or how far down it stood.
+    Only without any tag the misses of ``hits`` (``primary, score, total,
+    btts``) are named, and missing checkpoints.
+    """
+    missed = {k: F.coalesce(~v, F.lit(False)) for k, v in hits.items()}
+    ranked = missed["score"] & rank.isNotNull()
+    place = F.when((rank <= 5) & F.coalesce(overridden, F.lit(False)), "selector_override_error").when(rank <= 5, "score_matrix_top5_miss").when(rank <= 10, "score_matrix_rank_error").otherwise("score_matrix_tail_error")
+    given = F.coalesce(given, F.array().cast("array<string>"))
+    first = F.when(ranked, F.concat(F.array_remove(given, "score_selector_error"), F.array(place))).otherwise(given)
+    chain = F.array_compact(
+        F.array(
+            F.when(missed["primary"], "direction_error"),
+            F.when(missed["primary"] & (actual == "draw"), "draw_underestimated").when(missed["primary"] & (actual == "away"), "away_tail_missed"),
+            F.when(missed["score"], "score_selector_error"),
+            F.when(missed["total"], "goal_total_error"),
+            F.when(missed["btts"], "btts_error"),
+            F.when(F.coalesce(checkpoints, F.lit(0)) == 0, "insufficient_snapshots"),
+        )
+    )
+    return F.array_distinct(F.when(F.size(first) > 0, first).otherwise(chain))

@@ -126,14 +126,64 @@ def dri_band(quotes: DataFrame, league_median: float | None = None) -> DataFrame
     return wide.where("home is not null and draw is not null and away is not null").select("match_id", F.round(raw, 6).alias("raw"), band.alias("risk_band"))
 
 
-def water_flow(lines: DataFrame, least: float = 0.0) -> DataFrame:
-    """Direction of the water of providers whose line did not change, by match."""
+def water_flow(lines: DataFrame) -> DataFrame:
+    """Direction of the water of providers whose line did not change, by match.
+
+    Money is taken to come in on the home side where its water falls or the
+    away side's rises, and to go out where it is the other way round.
+    """
     order = F.struct("ts", "event_id")
-    ends = lines.where("family = 'asian'").groupBy("match_id", "provider").agg(F.min_by("line", order).alias("l0"), F.max_by("line", order).alias("l1"), F.min_by("water", order).alias("w0"), F.max_by("water", order).alias("w1"), F.count("*").alias("n"))
-    same = ends.where("n > 1 and l0 = l1").withColumn("d", F.col("w1") - F.col("w0"))
-    out = same.groupBy("match_id").agg(F.count("*").alias("sources"), F.count_if(F.col("d") < -least).alias("down"), F.count_if(F.col("d") > least).alias("up"))
-    ratio = F.abs(F.col("down") - F.col("up")) / F.col("sources")
-    return out.select("match_id", "sources", "down", "up", F.round(ratio, 6).alias("flow_ratio"), F.when(F.col("down") > F.col("up"), "home").when(F.col("down") < F.col("up"), "away").otherwise("neutral").alias("direction"))
+    ends = lines.where("family = 'asian'").groupBy("match_id", "provider").agg(*[f(c, order).alias(f"{c}_{n}") for c in ("line", "water", "water_away") for n, f in (("open", F.min_by), ("current", F.max_by))])
+    same = ends.where("line_open = line_current and water_open is not null and water_current is not null and water_away_open is not null and water_away_current is not null")
+    same = same.withColumns({"home": F.col("water_current") - F.col("water_open"), "away": F.col("water_away_current") - F.col("water_away_open")})
+    in_ = F.expr("home < 0 or away > 0")
+    out = same.groupBy("match_id").agg(F.count("*").alias("sources"), F.count_if(in_).alias("home_in"), F.count_if(~in_ & F.expr("home > 0 or away < 0")).alias("home_out"), F.count_if(F.expr("home = 0 and away = 0")).alias("neutral"))
+    ratio = F.abs(F.col("home_in") - F.col("home_out")) / F.col("sources")
+    return out.select("match_id", "sources", "home_in", "home_out", "neutral", F.round(ratio, 6).alias("flow_ratio"), F.when(F.col("home_in") > F.col("home_out"), "home").when(F.col("home_out") > F.col("home_in"), "away").otherwise("neutral").alias("direction"))
+
+
+def kelly_panel(quotes: DataFrame) -> DataFrame:
+    """Providers and mean current Kelly index of each outcome by match and tier; an index of prices, not a stake."""
+    latest = quotes.groupBy("match_id", "provider", "outcome").agg(F.max_by("kelly", F.struct("ts", "event_id")).alias("kelly"))
+    rows = with_tier(latest).where("tier is not null")
+    return rows.groupBy("match_id", "tier").agg(F.countDistinct("provider").alias("companies"), *[F.round(F.avg(F.when(F.col("outcome") == o, F.col("kelly"))), 6).alias(f"kelly_{o}") for o in OUTCOMES])
+
+
+def genuine_timeline(quotes: DataFrame, least: int = 3) -> DataFrame:
+    """Mean prices at each snapshot that has all three outcomes, of matches with at least ``least`` such snapshots."""
+    points = quotes.groupBy("match_id", "snapshot").agg(*[F.round(F.avg(F.when(F.col("outcome") == o, F.col("price"))), 6).alias(o) for o in OUTCOMES]).where("home is not null and draw is not null and away is not null")
+    return points.withColumn("points", F.count("*").over(Window.partitionBy("match_id"))).where(F.col("points") >= least)
+
+
+def price_pressure(quotes: DataFrame) -> DataFrame:
+    """The outcome whose mean price fell most from opening to current, and how strongly (from 8 % strong, from 3 % moderate)."""
+    mean = open_and_current(quotes).groupBy("match_id", "outcome").agg(F.avg("open").alias("open"), F.avg("current").alias("current"))
+    rank = F.when(F.col("outcome") == "home", 2).when(F.col("outcome") == "draw", 1).otherwise(0)
+    change = (F.col("open") - F.col("current")) / F.col("open")
+    best = mean.groupBy("match_id").agg(F.max(F.struct(F.round(change, 6).alias("change"), rank.alias("rank"), "outcome")).alias("b"))
+    strength = F.when(F.col("b.change") >= 0.08, "strong").when(F.col("b.change") >= 0.03, "moderate").otherwise("weak")
+    return best.select("match_id", F.col("b.outcome").alias("direction"), F.col("b.change").alias("relative_change"), strength.alias("strength"))
+
+
+def page_average(quotes: DataFrame) -> DataFrame:
+    """Mean opening and current prices of a match's providers, to four places."""
+    return open_and_current(quotes).groupBy("match_id").agg(*[F.round(F.avg(F.when(F.col("outcome") == o, F.col(c))) + 1e-9, 4).alias(f"{c}_{o}") for o in OUTCOMES for c in ("open", "current")])
+
+
+def middle(bid: Column, ask: Column, first: Column) -> Column:
+    """Half way between bid and ask where they fit together, else the first listed price."""
+    return F.coalesce(F.when(ask >= bid, (bid + ask) / 2), first)
+
+
+def mid_consensus(books: DataFrame) -> DataFrame:
+    """Normalised middles of matches that have a positive one for all three outcomes; others say why not.
+
+    ``books`` has ``match_id, outcome, bid, ask, first``.
+    """
+    mids = books.groupBy("match_id").agg(*[F.avg(F.when(F.col("outcome") == o, middle(F.col("bid"), F.col("ask"), F.col("first")))).alias(o) for o in OUTCOMES])
+    total = F.col("home") + F.col("draw") + F.col("away")
+    complete = F.expr("home > 0 and draw > 0 and away > 0")
+    return mids.select("match_id", F.when(complete, "complete").otherwise("incomplete").alias("quality"), *[F.when(complete, F.round(F.col(o) / total, 6)).alias(f"p_{o}") for o in OUTCOMES])
 
 
 def trend_first_move(quotes: DataFrame, least: float = 0.01) -> DataFrame:
@@ -155,12 +205,13 @@ def exchange_growth(quotes: DataFrame, hours: int = 4) -> DataFrame:
 
 
 def market_metrics(quotes: DataFrame, lines: DataFrame) -> DataFrame:
-    """Exact medians of lines, spread and deviation of prices, and the change of a match's first provider."""
+    """Exact medians of absolute lines (between -5 and 5), spread and deviation of prices, and the change of a match's first provider."""
     order = F.struct("ts", "event_id")
     ends = lines.groupBy("match_id", "provider", "family").agg(F.min_by("line", order).alias("open"), F.max_by("line", order).alias("current"), F.max_by("water", order).alias("water"))
+    asian = lambda c: F.when((F.col("family") == "asian") & F.col(c).between(-5, 5), F.abs(c))
     by = ends.groupBy("match_id").agg(
-        F.round(F.median(F.when(F.col("family") == "asian", F.col("current"))), 6).alias("asian_line"),
-        F.round(F.median(F.when(F.col("family") == "asian", F.col("open"))), 6).alias("asian_open"),
+        F.round(F.median(asian("current")), 6).alias("asian_line"),
+        F.round(F.median(asian("open")), 6).alias("asian_open"),
         F.round(F.median(F.when((F.col("family") == "total") & F.col("current").between(1, 5), F.col("current"))), 6).alias("total_line"),
         F.round(F.stddev_pop(F.when(F.col("family") == "asian", F.col("water"))), 6).alias("water_sigma"),
     )

@@ -10,41 +10,95 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from oddsloom.operators.scores import held
+
+
+LEAST_RATIO = 0.86
+
 
 @F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratio of matching characters, as ``difflib`` finds them; Spark has no such function."""
-    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])
+    """Ratio of matching characters, as ``difflib`` finds them; Spark has no such function. Null where either is null."""
+    return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
+
+
+def signature(name: Column) -> Column:
+    """64 bits of a name: one for each character and how often it stood before."""
+    chars = F.split(name, "")
+    seen = F.transform(chars, lambda c, i: F.concat(c, F.size(F.filter(F.slice(chars, F.lit(1), i), lambda x: x == c)).cast("string")))
+    return F.aggregate(seen, F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(x), F.lit(64)).cast("int"))))
+
+
+def ratio_bound(a: Column, b: Column, bits_a: Column, bits_b: Column) -> Column:
+    """An upper bound of ``sequence_ratio``: each bit of one name that the other lacks is a character without a partner."""
+    lost_a, lost_b = F.bit_count(bits_a.bitwiseAND(F.bitwise_not(bits_b))), F.bit_count(bits_b.bitwiseAND(F.bitwise_not(bits_a)))
+    return 2 * F.least(F.length(a) - lost_a, F.length(b) - lost_b) / (F.length(a) + F.length(b))
 
 
-def name_similarity(a: Column, b: Column, ratio: Column) -> Column:
-    """1 for equal names, .88 for one inside the other (four characters or more), else .92 of a ratio of at least .86."""
-    inside = (F.length(a) >= 4) & (F.length(b) >= 4) & (F.contains(a, b) | F.contains(b, a))
-    return F.when(a == b, 1.0).when(inside, 0.88).when(ratio >= 0.86, 0.92 * ratio).otherwise(0.0)
+def plain_similarity(a: Column, b: Column) -> Column:
+    """1 for equal names; .92 for one that begins or ends the other (two characters or more, no Latin letters); .88 for one inside the other (four or more); else null."""
+    short, long = F.when(F.length(a) <= F.length(b), a).otherwise(b), F.when(F.length(a) <= F.length(b), b).otherwise(a)
+    safe = (F.length(short) >= 2) & ~short.rlike("[a-z]") & (F.startswith(long, short) | F.endswith(long, short))
+    inside = (F.length(short) >= 4) & F.contains(long, short)
+    return F.when(a == b, 1.0).when(safe, 0.92).when(inside, 0.88)
 
 
-def resolve(left: DataFrame, right: DataFrame, minutes: int = 180, least: float = 0.82, margin: float = 0.05) -> DataFrame:
+def resolve(left: DataFrame, right: DataFrame, minutes: int = 180, least: float = 0.82, margin: float = 0.05, aliases: DataFrame | None = None) -> DataFrame:
     """Best right match of each left row, judged by its margin.
 
-    Both sides have ``id, home, away, kickoff``. Candidates share a time slot
-    of ``minutes`` (each left row looks into its own and the two beside it), so
-    the join is an equi-join; confidence is .4 home + .4 away + .2 nearness.
+    Both sides have ``id, home, away, kickoff``; ``aliases`` may give names
+    their ``canonical`` one. Candidates share a time slot of ``minutes`` (each
+    left row looks into its own and the two beside it), so the join is an
+    equi-join. Pairs whose names can't be alike are dropped by bounds that
+    Spark computes itself; ratios are taken of what is left, and only where no
+    plain rule decides. Confidence is .4 home + .4 away + .2 nearness.
     """
     seconds = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
     slot = lambda c: F.floor(seconds(c) / (60 * minutes))
-    a = left.select(F.col("id").alias("left_id"), F.col("home").alias("h1"), F.col("away").alias("a1"), F.col("kickoff").alias("k1"))
-    a = a.withColumn("slot", F.explode(F.array(slot("k1") - 1, slot("k1"), slot("k1") + 1)))
-    b = right.select(F.col("id").alias("right_id"), F.col("home").alias("h2"), F.col("away").alias("a2"), F.col("kickoff").alias("k2")).withColumn("slot", slot("k2"))
+
+    def side(rows: DataFrame, k: int) -> DataFrame:
+        if aliases is not None:
+            for c in ("home", "away"):
+                named = aliases.select(F.col("name").alias(c), F.col("canonical").alias("_canonical"))
+                rows = rows.join(named, c, "left").withColumn(c, F.coalesce("_canonical", c)).drop("_canonical")
+        return held(rows.select(F.col("id").alias(f"id{k}"), F.col("home").alias(f"h{k}"), F.col("away").alias(f"a{k}"), F.col("kickoff").alias(f"k{k}")), {f"{x}b{k}": signature(F.col(f"{x}{k}")) for x in "ha"})
+
+    a = side(left, 1).withColumn("slot", F.explode(F.array(slot("k1") - 1, slot("k1"), slot("k1") + 1)))
+    b = side(right, 2).withColumn("slot", slot("k2"))
     apart = F.abs(seconds("k1") - seconds("k2")) / 60
-    pairs = a.join(b, "slot").where(apart <= minutes)
-    pairs = pairs.withColumns({"sh": name_similarity(F.col("h1"), F.col("h2"), sequence_ratio("h1", "h2")), "sa": name_similarity(F.col("a1"), F.col("a2"), sequence_ratio("a1", "a2"))})
+    could = [plain_similarity(F.col(f"{x}1"), F.col(f"{x}2")).isNotNull() | (ratio_bound(F.col(f"{x}1"), F.col(f"{x}2"), F.col(f"{x}b1"), F.col(f"{x}b2")) >= LEAST_RATIO) for x in "ha"]
+    pairs = a.join(b, "slot").where((apart <= minutes) & could[0] & could[1])
+    for x in "ha":
+        plain, one, two = plain_similarity(F.col(f"{x}1"), F.col(f"{x}2")), F.col(f"{x}1"), F.col(f"{x}2")
+        ratio = sequence_ratio(F.when(plain.isNull(), one), F.when(plain.isNull(), two))
+        pairs = pairs.withColumn(f"s{x}", ratio).withColumn(f"s{x}", F.coalesce(plain, F.when(F.col(f"s{x}") >= LEAST_RATIO, 0.92 * F.col(f"s{x}")), F.lit(0.0)))
     fit = pairs.where("sh >= 0.75 and sa >= 0.75").withColumn("confidence", F.round(0.4 * F.col("sh") + 0.4 * F.col("sa") + 0.2 * (1 - apart / minutes), 6))
-    order = Window.partitionBy("left_id").orderBy(F.desc("confidence"), "right_id")
+    order = Window.partitionBy("id1").orderBy(F.desc("confidence"), "id2")
     best = fit.withColumn("place", F.row_number().over(order)).withColumn("next", F.lead("confidence").over(order)).where("place = 1")
+    best = best.select(F.col("id1").alias("left_id"), F.col("id2").alias("right_id"), "confidence", "next")
     status = F.when(F.col("confidence").isNull(), "none").when(F.col("confidence") < least, "low").when(F.col("confidence") - F.coalesce("next", F.lit(0.0)) < margin, "ambiguous").otherwise("exact")
     return left.select(F.col("id").alias("left_id")).join(best, "left_id", "left").select("left_id", F.when(status == "exact", F.col("right_id")).alias("right_id"), "confidence", status.alias("status"))
 
 
+def verified(target_home: Column, target_away: Column, home: Column, away: Column, target_kickoff: Column, kickoff: Column, minutes: int = 180) -> Column:
+    """Why a page is not the wanted match: names that are too unlike, or times too far apart; an empty array where it is."""
+    def alike(a: Column, b: Column) -> Column:
+        ratio = sequence_ratio(a, b)
+        return F.coalesce(plain_similarity(a, b), F.when(ratio >= LEAST_RATIO, 0.92 * ratio), F.lit(0.0))
+
+    apart = F.abs(F.unix_seconds(target_kickoff.cast("timestamp")) - F.unix_seconds(kickoff.cast("timestamp"))) / 60
+    return F.array_compact(F.array(F.when(alike(target_home, home) < 0.75, "HOME_TEAM_MISMATCH"), F.when(alike(target_away, away) < 0.75, "AWAY_TEAM_MISMATCH"), F.when(apart > minutes, "KICKOFF_MISMATCH")))
+
+
+def pair_or_number(reports: DataFrame, fixtures: DataFrame) -> DataFrame:
+    """A report's fixture by exact name pair, else the newest one of its match number and business date."""
+    by_pair = fixtures.groupBy("pair").agg(F.max_by("fixture_id", F.struct("updated", "fixture_id")).alias("of_pair"))
+    by_number = fixtures.groupBy("match_num", "business_date").agg(F.max_by("fixture_id", F.struct("updated", "fixture_id")).alias("of_number"))
+    found = reports.join(by_pair, "pair", "left").join(by_number, ["match_num", "business_date"], "left")
+    basis = F.when(F.col("of_pair").isNotNull(), "pair").when(F.col("of_number").isNotNull(), "number")
+    return found.select("report_id", F.coalesce("of_pair", "of_number").alias("fixture_id"), basis.alias("basis"))
+
+
 def unique_or_null(pairs: DataFrame, key: str, value: str) -> DataFrame:
     """The value of each key if it has exactly one."""
     return pairs.groupBy(key).agg(F.countDistinct(value).alias("candidates"), F.min(value).alias("v")).select(key, "candidates", F.when(F.col("candidates") == 1, F.col("v")).alias(value))

@@ -14,6 +14,16 @@ GOALS = 12
 CATEGORIES = {2: "full_win", 1: "half_win", 0: "push", -1: "half_loss", -2: "full_loss"}
 
 
+def held(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``rows`` with more columns, computed once a row.
+
+    Spark would else put such a column's expression in place of its name, and
+    so evaluate it again for each step of a function over an array.
+    """
+    kept = rows.select("*", F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_held"))
+    return kept.select(*[F.col(f"`{n}`") for n in rows.columns], *[F.col(f"_held.{n}").alias(n) for n in columns])
+
+
 def poisson(rate: Column, goals: Column) -> Column:
     return F.exp(-rate) * F.pow(rate, goals) / F.factorial(goals)
 
@@ -97,22 +107,37 @@ def truncation_audit(rates: DataFrame, goals: int = GOALS) -> DataFrame:
     return rates.select("match_id", F.round(kept, 9).alias("retained"), (1 - kept <= 1e-6).alias("pricing_allowed"))
 
 
-def half_full_time(rates: DataFrame, first_half: float = 0.45, goals: int = 10) -> DataFrame:
-    """Nine outcomes of half-time and full-time from independent halves.
+def half_full_time(rates: DataFrame, goals: int = 10) -> DataFrame:
+    """Nine outcomes of half-time and full-time, from a rate of each side in each half: ``h1, a1, h2, a2``.
 
-    Each half's goal difference is summed first, so a match has 21 x 21 rows
-    rather than 11 ** 4.
+    Each half's goal differences are summed into an array first, so a match
+    takes two arrays of 2 * goals + 1 numbers in its row rather than a grid of
+    four, and nothing is shuffled. A missing or negative rate gives no rows:
+    halves are never inferred from whole matches.
     """
-    numbers = F.sequence(F.lit(0), F.lit(goals))
-
-    def differences(share: float, name: str) -> DataFrame:
-        rows = rates.select("match_id", (F.col("lh") * share).alias("x"), (F.col("la") * share).alias("y"), F.explode(numbers).alias("h")).select("*", F.explode(numbers).alias("a"))
-        return rows.groupBy("match_id", (F.col("h") - F.col("a")).alias(name)).agg(F.sum(poisson(F.col("x"), F.col("h")) * poisson(F.col("y"), F.col("a"))).alias(f"p_{name}"))
-
-    both = differences(first_half, "d1").join(differences(1 - first_half, "d2"), "match_id")
-    label = lambda c: F.when(c > 0, "H").when(c == 0, "D").otherwise("A")
-    out = both.groupBy("match_id", label(F.col("d1")).alias("half"), label(F.col("d1") + F.col("d2")).alias("full")).agg(F.sum(F.col("p_d1") * F.col("p_d2")).alias("p"))
-    return out.select("match_id", "half", "full", F.round(F.col("p") / F.sum("p").over(Window.partitionBy("match_id")), 6).alias("p"))
+    pmf = lambda c: f"transform(sequence(0, {goals}), g -> exp(-{c}) * pow({c}, g) / factorial(g))"
+    rows = rates.where("h1 >= 0 and a1 >= 0 and h2 >= 0 and a2 >= 0")
+    rows = held(rows, {f"p_{c}": F.expr(pmf(c)) for c in ("h1", "a1", "h2", "a2")})
+    differences = {}
+    for k in (1, 2):
+        differences[f"d{k}"] = (F.expr(f"transform(sequence(-{goals}, {goals}), m -> aggregate(sequence(greatest(0, m), least({goals}, {goals} + m)), 0D, (s, h) -> s + p_h{k}[h] * p_a{k}[h - m]))"))
+    # Running sums of the second half's differences: up to and including each.
+    rows = held(rows, differences)
+    rows = held(rows, {"up": F.expr("transform(d2, (x, i) -> aggregate(slice(d2, 1, i + 1), 0D, (s, y) -> s + y))")})
+    size = 2 * goals + 1
+    below = f"if({goals} - (i - {goals}) - 1 < 0, 0D, up[least({size - 1}, {goals} - (i - {goals}) - 1)])"
+    upto = f"up[least({size - 1}, {goals} - (i - {goals}))]"
+    final = {"A": below, "D": f"{upto} - {below}", "H": f"up[{size - 1}] - {upto}"}
+    half = {"A": f"i < {goals}", "D": f"i = {goals}", "H": f"i > {goals}"}
+    cells = [F.struct(F.lit(x).alias("half"), F.lit(y).alias("full"), F.expr(f"aggregate(transform(d1, (p, i) -> if({half[x]}, p * ({final[y]}), 0D)), 0D, (s, v) -> s + v)").alias("p")) for x in "HDA" for y in "HDA"]
+    rows = held(rows.select("match_id", "d1", "up"), {"cells": F.array(*cells)}).withColumn("total", F.expr("aggregate(cells, 0D, (s, x) -> s + x.p)"))
+    return rows.select("match_id", "total", F.explode("cells").alias("c")).select("match_id", "c.half", "c.full", F.round(F.col("c.p") / F.col("total"), 6).alias("p"))
+
+
+def half_time_marginals(joint: DataFrame) -> DataFrame:
+    """Half-time and full-time outcomes by themselves, and the chance of each final outcome given the one at half-time."""
+    by_half = joint.groupBy("match_id").agg(*[F.round(F.sum(F.when(F.col(c) == o, F.col("p")).otherwise(0.0)), 6).alias(f"{c}_{o.lower()}") for c in ("half", "full") for o in "HDA"], F.round(F.sum(F.when(F.expr("half = 'H' and full = 'H'"), F.col("p"))) / F.nullif(F.sum(F.when(F.expr("half = 'H'"), F.col("p"))), F.lit(0.0)), 4).alias("hold_lead"))
+    return by_half
 
 
 def share_search(rates: DataFrame, targets: DataFrame) -> DataFrame:

@@ -83,12 +83,12 @@ def dri_band(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    with_views("lines") + """, e AS (SELECT match_id, provider, arg_min(line, (ts, event_id)) AS l0, arg_max(line, (ts, event_id)) AS l1, arg_min(water, (ts, event_id)) AS w0, arg_max(water, (ts, event_id)) AS w1, count(*) AS n FROM lines WHERE family = 'asian' GROUP BY ALL),
- s AS (SELECT match_id, count(*) AS sources, count(*) FILTER (w1-w0 < 0) AS down, count(*) FILTER (w1-w0 > 0) AS up FROM e WHERE n > 1 AND l0 = l1 GROUP BY 1)
- SELECT *, round(abs(down-up)/sources, 6) AS flow_ratio, CASE WHEN down > up THEN 'home' WHEN down < up THEN 'away' ELSE 'neutral' END AS direction FROM s"""
+    with_views("lines") + """, x AS (SELECT *, 0.95 - (event_id % 40) / 100 AS away FROM lines WHERE family = 'asian'), e AS (SELECT match_id, provider, arg_min(line, (ts, event_id)) AS l0, arg_max(line, (ts, event_id)) AS l1, arg_max(water, (ts, event_id)) - arg_min(water, (ts, event_id)) AS h, arg_max(away, (ts, event_id)) - arg_min(away, (ts, event_id)) AS a FROM x GROUP BY ALL),
+ s AS (SELECT match_id, count(*) AS sources, count(*) FILTER (h < 0 OR a > 0) AS home_in, count(*) FILTER (NOT (h < 0 OR a > 0) AND (h > 0 OR a < 0)) AS home_out, count(*) FILTER (h = 0 AND a = 0) AS neutral FROM e WHERE l0 = l1 GROUP BY 1)
+ SELECT *, round(abs(home_in-home_out)/sources, 6) AS flow_ratio, CASE WHEN home_in > home_out THEN 'home' WHEN home_in < home_out THEN 'away' ELSE 'neutral' END AS direction FROM s"""
 )
 def water_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quotes.water_flow(line_quotes(spark, sf_dir))
+    return quotes.water_flow(line_quotes(spark, sf_dir).withColumn("water_away", 0.95 - (F.col("event_id") % 40) / 100))
 
 
 @query(
@@ -111,7 +111,7 @@ def exchange_growth_4h(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     with_views("quotes", "lines") + """, e AS (SELECT match_id, provider, family, arg_min(line, (ts, event_id)) AS o, arg_max(line, (ts, event_id)) AS c, arg_max(water, (ts, event_id)) AS w FROM lines GROUP BY ALL),
- b AS (SELECT match_id, round(median(c) FILTER (family='asian'), 6) AS asian_line, round(median(o) FILTER (family='asian'), 6) AS asian_open, round(median(c) FILTER (family='total' AND c BETWEEN 1 AND 5), 6) AS total_line, round(stddev_pop(w) FILTER (family='asian'), 6) AS water_sigma FROM e GROUP BY 1),
+ b AS (SELECT match_id, round(median(abs(c)) FILTER (family='asian' AND c BETWEEN -5 AND 5), 6) AS asian_line, round(median(abs(o)) FILTER (family='asian' AND o BETWEEN -5 AND 5), 6) AS asian_open, round(median(c) FILTER (family='total' AND c BETWEEN 1 AND 5), 6) AS total_line, round(stddev_pop(w) FILTER (family='asian'), 6) AS water_sigma FROM e GROUP BY 1),
  h AS (SELECT match_id, provider, arg_min(price, (ts, event_id)) AS o, arg_max(price, (ts, event_id)) AS c FROM quotes WHERE price > 1 AND outcome = 'home' GROUP BY ALL),
  p AS (SELECT match_id, round(max(c)-min(c), 6) AS home_spread, round(max(c/o-1) FILTER (provider=0), 6) AS lead_change FROM h GROUP BY 1)
  SELECT coalesce(b.match_id, p.match_id) AS match_id, asian_line, asian_open, total_line, water_sigma, home_spread, lead_change FROM b FULL JOIN p ON b.match_id = p.match_id"""
@@ -265,15 +265,23 @@ def fair_line_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.fair_line(scores.score_matrix(rates(spark, sf_dir)))
 
 
-_HALF = lambda s, n: f"""{n} AS (SELECT match_id, h-a AS {n}, sum(exp(-lh*{s})*pow(lh*{s},h)/factorial(CAST(h AS INT)) * exp(-la*{s})*pow(la*{s},a)/factorial(CAST(a AS INT))) AS p FROM rates, range(11) x(h), range(11) y(a) GROUP BY ALL)"""
+_HALF = lambda k: f"""d{k} AS (SELECT match_id, h-a AS d{k}, sum(exp(-h{k})*pow(h{k},h)/factorial(CAST(h AS INT)) * exp(-a{k})*pow(a{k},a)/factorial(CAST(a AS INT))) AS p FROM halves, range(11) x(h), range(11) y(a) GROUP BY ALL)"""
+_JOINT = with_views("rates") + f""", halves AS (SELECT match_id, lh*0.45::DOUBLE AS h1, la*0.42::DOUBLE AS a1, lh*0.55::DOUBLE AS h2, la*0.58::DOUBLE AS a2 FROM rates), {_HALF(1)}, {_HALF(2)}, j AS (SELECT match_id, CASE WHEN d1 > 0 THEN 'H' WHEN d1 = 0 THEN 'D' ELSE 'A' END AS half, CASE WHEN d1+d2 > 0 THEN 'H' WHEN d1+d2 = 0 THEN 'D' ELSE 'A' END AS "full", sum(d1.p*d2.p) AS p FROM d1 JOIN d2 USING (match_id) GROUP BY ALL),
+ joint AS (SELECT match_id, half, "full", round(p / sum(p) OVER (PARTITION BY match_id), 6) AS p FROM j)"""
 
 
-@query(
-    with_views("rates") + f""", {_HALF('0.45::DOUBLE', 'd1')}, {_HALF('0.55::DOUBLE', 'd2')}, j AS (SELECT match_id, CASE WHEN d1 > 0 THEN 'H' WHEN d1 = 0 THEN 'D' ELSE 'A' END AS half, CASE WHEN d1+d2 > 0 THEN 'H' WHEN d1+d2 = 0 THEN 'D' ELSE 'A' END AS "full", sum(d1.p*d2.p) AS p FROM d1 JOIN d2 USING (match_id) GROUP BY ALL)
- SELECT match_id, half, "full", round(p / sum(p) OVER (PARTITION BY match_id), 6) AS p FROM j"""
-)
+def _halves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rates(spark, sf_dir).select("match_id", *[(F.col(c) * share).alias(n) for c, share, n in (("lh", 0.45, "h1"), ("la", 0.42, "a1"), ("lh", 0.55, "h2"), ("la", 0.58, "a2"))])
+
+
+@query(_JOINT + """ SELECT match_id, round(sum(p) FILTER (half='H'), 6) AS half_h, round(sum(p) FILTER (half='D'), 6) AS half_d, round(sum(p) FILTER (half='A'), 6) AS half_a, round(sum(p) FILTER ("full"='H'), 6) AS full_h, round(sum(p) FILTER ("full"='D'), 6) AS full_d, round(sum(p) FILTER ("full"='A'), 6) AS full_a, round(sum(p) FILTER (half='H' AND "full"='H')/sum(p) FILTER (half='H'), 4) AS hold_lead FROM joint GROUP BY 1""")
+def htft_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores.half_time_marginals(scores.half_full_time(_halves(spark, sf_dir)))
+
+
+@query(_JOINT + " SELECT * FROM joint")
 def htft_joint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scores.half_full_time(rates(spark, sf_dir))
+    return scores.half_full_time(_halves(spark, sf_dir))
 
 
 @query(
@@ -446,8 +454,8 @@ def market_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.market_intent(rows, "id")
 
 
-_CALIBRATION = """WITH r AS (SELECT l_suppkey AS grp, l_orderkey * 10 + l_linenumber AS id, l_shipdate AS ts, (1 + l_partkey % 5)::DOUBLE AS x, (1 + l_linenumber % 3)::DOUBLE AS y, (1 + l_quantity % 4)::DOUBLE AS z, CASE l_orderkey % 3 WHEN 0 THEN 'home' WHEN 1 THEN 'draw' ELSE 'away' END AS actual, CASE l_returnflag WHEN 'A' THEN 1.0 WHEN 'R' THEN 0.7 ELSE 0.4 END::DOUBLE AS weight FROM lineitem),
- b AS (SELECT grp, id, ts, x/(x+y+z) AS p_home, y/(x+y+z) AS p_draw, z/(x+y+z) AS p_away, actual, weight FROM r)"""
+_CALIBRATION = """WITH r AS (SELECT l_suppkey AS grp, l_orderkey * 10 + l_linenumber AS id, l_shipdate AS ts, (1 + l_partkey % 5)::DOUBLE AS x, (1 + l_linenumber % 3)::DOUBLE AS y, (1 + l_quantity % 4)::DOUBLE AS z, CASE l_orderkey % 3 WHEN 0 THEN 'home' WHEN 1 THEN 'draw' ELSE 'away' END AS actual, CASE l_returnflag WHEN 'A' THEN 1.0 WHEN 'R' THEN 0.7 ELSE 0.4 END::DOUBLE AS weight, 1.5 + (l_partkey % 20) / 10 AS eg, (l_quantity::BIGINT % 6)::DOUBLE AS goals FROM lineitem),
+ b AS (SELECT grp, id, ts, x/(x+y+z) AS p_home, y/(x+y+z) AS p_draw, z/(x+y+z) AS p_away, actual, weight, eg, goals FROM r)"""
 
 
 def _reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -455,9 +463,10 @@ def _reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_suppkey").alias("grp"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_shipdate").alias("ts"),
         (1 + F.col("l_partkey") % 5).cast("double").alias("x"), (1 + F.col("l_linenumber") % 3).cast("double").alias("y"), (1 + F.col("l_quantity") % 4).cast("double").alias("z"),
         F.when(F.col("l_orderkey") % 3 == 0, "home").when(F.col("l_orderkey") % 3 == 1, "draw").otherwise("away").alias("actual"), F.when(F.col("l_returnflag") == "A", 1.0).when(F.col("l_returnflag") == "R", 0.7).otherwise(0.4).alias("weight"),
+        (1.5 + F.col("l_partkey") % 20 / 10).alias("expected_goals"), (F.col("l_quantity").cast("long") % 6).cast("double").alias("actual_total"),
     )
     total = F.col("x") + F.col("y") + F.col("z")
-    return rows.select("grp", "id", "ts", (F.col("x") / total).alias("p_home"), (F.col("y") / total).alias("p_draw"), (F.col("z") / total).alias("p_away"), "actual", "weight")
+    return rows.select("grp", "id", "ts", (F.col("x") / total).alias("p_home"), (F.col("y") / total).alias("p_draw"), (F.col("z") / total).alias("p_away"), "actual", "weight", "expected_goals", "actual_total")
 
 
 _BRIER = "pow(p_home-(actual='home')::INT,2)+pow(p_draw-(actual='draw')::INT,2)+pow(p_away-(actual='away')::INT,2)"
@@ -468,13 +477,17 @@ def brier_logloss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.brier_logloss(_reviews(spark, sf_dir), "grp")
 
 
+_MEAN = lambda x: f"sum(weight*({x}))/sum(weight)"
+
+
 @query(
-    _CALIBRATION + f""", n AS (SELECT *, count(*) OVER (PARTITION BY grp) AS n, row_number() OVER (PARTITION BY grp ORDER BY ts DESC, id DESC) AS back FROM b), t AS (SELECT *, back <= least(8, greatest(5, n // 3)) AS test FROM n),
- f AS (SELECT grp, ln((avg((actual='home')::INT)+0.03)/(avg(p_home)+0.03)) AS h, ln((avg((actual='draw')::INT)+0.03)/(avg(p_draw)+0.03)) AS d, ln((avg((actual='away')::INT)+0.03)/(avg(p_away)+0.03)) AS a FROM t WHERE NOT test GROUP BY 1),
- o AS (SELECT grp, round(greatest(-0.35, least(0.35, h-(h+d+a)/3)), 6) AS offset_home, round(greatest(-0.35, least(0.35, d-(h+d+a)/3)), 6) AS offset_draw, round(greatest(-0.35, least(0.35, a-(h+d+a)/3)), 6) AS offset_away FROM f),
- s AS (SELECT t.grp, n, actual, {_BRIER} AS b0, p_home*exp(0.3*offset_home) AS h, p_draw*exp(0.3*offset_draw) AS d, p_away*exp(0.3*offset_away) AS a, offset_home, offset_draw, offset_away FROM t JOIN o ON t.grp = o.grp WHERE test),
- g AS (SELECT grp, max(n) AS n, count(*) AS held_out, round(avg(b0), 6) AS "before", round(avg(pow(h/(h+d+a)-(actual='home')::INT,2)+pow(d/(h+d+a)-(actual='draw')::INT,2)+pow(a/(h+d+a)-(actual='away')::INT,2)), 6) AS "after", max(offset_home) AS offset_home, max(offset_draw) AS offset_draw, max(offset_away) AS offset_away FROM s GROUP BY 1)
- SELECT *, CASE WHEN n < 18 THEN 'observing' WHEN ("before"-"after")/"before" >= 0.01 THEN 'approved' ELSE 'rejected' END AS state FROM g"""
+    _CALIBRATION + f""", n AS (SELECT *, count(*) OVER (PARTITION BY grp) AS n, row_number() OVER (PARTITION BY grp ORDER BY ts DESC, id DESC) AS back FROM b), t AS (SELECT *, back <= least(8, greatest(5, n // 3)) AS test, CASE WHEN n < 40 THEN 0.3 ELSE 0.6 END::DOUBLE AS strength FROM n),
+ f AS (SELECT grp, {", ".join(f"ln(({_MEAN(f"(actual='{o}')::INT")}+0.03)/({_MEAN(f'p_{o}')}+0.03)) AS {o[0]}" for o in ("home", "draw", "away"))}, round(greatest(-0.5, least(0.5, {_MEAN('goals-eg')})), 6) AS total_shift, round(greatest(0.0, least(0.15, ({_MEAN('(goals-eg)*(goals-eg)')}-2.5)*0.03)), 6) AS tail_mix FROM t WHERE NOT test GROUP BY 1),
+ o AS (SELECT grp, total_shift, tail_mix, {", ".join(f"round(greatest(-0.35, least(0.35, {o[0]}-(h+d+a)/3)), 6) AS offset_{o}" for o in ("home", "draw", "away"))} FROM f),
+ s AS (SELECT t.grp, n, actual, weight, strength, goals - eg AS res, {_BRIER} AS b0, {", ".join(f"p_{o}*exp(strength*offset_{o}) AS {o[0]}" for o in ("home", "draw", "away"))}, o.* EXCLUDE grp FROM t JOIN o ON t.grp = o.grp WHERE test),
+ g AS (SELECT grp, max(n) AS n, count(*) AS held_out, max(strength) AS strength, round({_MEAN('b0')}, 6) AS "before", round({_MEAN("pow(h/(h+d+a)-(actual='home')::INT,2)+pow(d/(h+d+a)-(actual='draw')::INT,2)+pow(a/(h+d+a)-(actual='away')::INT,2)")}, 6) AS "after", round({_MEAN('abs(res)')}, 6) AS mae_before, round({_MEAN('abs(res-total_shift*strength)')}, 6) AS mae_after, max(offset_home) AS offset_home, max(offset_draw) AS offset_draw, max(offset_away) AS offset_away, max(total_shift) AS total_shift, max(tail_mix) AS tail_mix FROM s GROUP BY 1),
+ k AS (SELECT *, ("before"-"after")/"before" >= 0.01 AS direction_approved, (mae_before-mae_after)/mae_before >= 0.01 AS total_approved FROM g)
+ SELECT *, CASE WHEN n < 18 THEN 'observing' WHEN direction_approved OR total_approved THEN 'partial_active' ELSE 'shadow_only' END AS state FROM k"""
 )
 def walk_forward_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.walk_forward(_reviews(spark, sf_dir), "grp", ["ts", "id"])
@@ -483,7 +496,7 @@ def walk_forward_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
 _HITS = "WITH h AS (SELECT lang, source, doc_id, quality = 1 AS hit FROM documents JOIN labels USING (doc_id))"
 
 
-@query(_HITS + ", r AS (SELECT *, hit::INT AS x, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS n FROM h) SELECT source, count(*) AS n, round(avg(x), 6) AS all_time, round(avg(x) FILTER (n <= 5), 6) AS last_5, round(avg(x) FILTER (n <= 10), 6) AS last_10, round(avg(x) FILTER (n <= 20), 6) AS last_20 FROM r GROUP BY 1")
+@query(_HITS + ", r AS (SELECT *, hit::INT AS x, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS n FROM h) SELECT source, count(*) AS n, round(avg(x), 6) AS all_time, round(avg(x) FILTER (n <= 5), 6) AS last_5, round(avg(x) FILTER (n <= 10), 6) AS last_10, round(avg(x) FILTER (n <= 20), 6) AS last_20, round(avg(x) FILTER (n <= 40), 6) AS last_40 FROM r GROUP BY 1")
 def review_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.rolling(_hits(spark, sf_dir), "source", ["doc_id"])
 
@@ -517,13 +530,14 @@ def redact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH t AS (SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN (p_size % 4)::VARCHAR || '/' || (p_size % 4 + 0.5)::DOUBLE::VARCHAR WHEN 1 THEN (p_size / 4)::VARCHAR WHEN 2 THEN '-' || (p_size % 3)::VARCHAR || '/' || (p_size % 3 + 0.5)::DOUBLE::VARCHAR ELSE 'n/a' END AS x FROM part),
- s AS (SELECT id, try_cast(split_part(x, '/', 1) AS DOUBLE) AS a, try_cast(split_part(x, '/', 2) AS DOUBLE) AS b, contains(x, '/') AS two, x FROM t) SELECT id, CASE WHEN NOT two THEN a WHEN b IS NOT NULL THEN (a + CASE WHEN a < 0 THEN -abs(b) ELSE b END)/2 END AS line FROM s"""
+    """WITH t AS (SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN (p_size % 4)::VARCHAR || '/' || (p_size % 4 + 0.5)::DOUBLE::VARCHAR WHEN 1 THEN (p_size / 4)::VARCHAR WHEN 2 THEN '-' || (p_size % 3)::VARCHAR || '/' || '-' || (p_size % 3 + 0.5)::DOUBLE::VARCHAR ELSE 'Over  GOALS' END AS x FROM part),
+ s AS (SELECT id, try_cast(split_part(x, '/', 1) AS DECIMAL(18,6)) AS a, try_cast(split_part(x, '/', 2) AS DECIMAL(18,6)) AS b, contains(x, '/') AS two, x FROM t), v AS (SELECT id, x, CASE WHEN NOT two THEN a::DOUBLE ELSE (a + b)::DOUBLE / 2 END AS v FROM s)
+ SELECT id, coalesce(regexp_replace(CASE WHEN v = 0 THEN '0' ELSE v::VARCHAR END, '\\.0$', ''), lower(regexp_replace(x, '\\s+', ' ', 'g'))) AS line FROM v"""
 )
 def canonical_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, s = F.col("p_partkey") % 4, F.col("p_size")
     half = lambda m: (s % m + F.lit(0.5)).cast("double").cast("string")
-    text = F.when(k == 0, F.concat((s % 4).cast("string"), F.lit("/"), half(4))).when(k == 1, (s / 4).cast("string")).when(k == 2, F.concat(F.lit("-"), (s % 3).cast("string"), F.lit("/"), half(3))).otherwise("n/a")
+    text = F.when(k == 0, F.concat((s % 4).cast("string"), F.lit("/"), half(4))).when(k == 1, (s / 4).cast("string")).when(k == 2, F.concat(F.lit("-"), (s % 3).cast("string"), F.lit("/-"), half(3))).otherwise("Over  GOALS")
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), fx.canonical_line(text).alias("line"))
 
 

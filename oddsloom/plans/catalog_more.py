@@ -73,14 +73,20 @@ def schedule_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pricing.upsert(old, new, "id", ["status", "price"], F.col("o.status") == "F")
 
 
-@query("""WITH r AS (SELECT doc_id, doc_id % 14 + 1 AS rank, n_chars % 2 = 0 AS ov, quality = 1 AS hit FROM documents JOIN labels USING (doc_id))
- SELECT doc_id, CASE WHEN hit THEN 'hit' ELSE CASE WHEN rank <= 5 THEN 'score_near' WHEN rank <= 10 THEN 'score_outer' ELSE 'score_tail' END || CASE WHEN ov THEN ',selector_override' ELSE '' END END AS tags FROM r""")
+@query("""WITH r AS (SELECT doc_id, CASE WHEN doc_id % 5 > 0 THEN doc_id % 14 + 1 END AS rank, n_chars % 2 = 0 AS ov, quality = 1 AS hit, doc_id % 3 = 0 AS p, doc_id % 4 = 0 AS t, doc_id % 7 = 0 AS b, CASE doc_id % 6 WHEN 0 THEN 'home' WHEN 1 THEN 'draw' ELSE 'away' END AS actual, doc_id % 2 AS checks, CASE WHEN doc_id % 11 = 0 THEN ['score_selector_error', 'weather'] ELSE [] END AS given FROM documents JOIN labels USING (doc_id)),
+ f AS (SELECT *, CASE WHEN NOT hit AND rank IS NOT NULL THEN list_filter(given, lambda x: x <> 'score_selector_error') || [CASE WHEN rank <= 5 THEN CASE WHEN ov THEN 'selector_override_error' ELSE 'score_matrix_top5_miss' END WHEN rank <= 10 THEN 'score_matrix_rank_error' ELSE 'score_matrix_tail_error' END] ELSE given END AS first FROM r),
+ c AS (SELECT *, list_filter([CASE WHEN NOT p THEN 'direction_error' END, CASE WHEN NOT p AND actual = 'draw' THEN 'draw_underestimated' WHEN NOT p AND actual = 'away' THEN 'away_tail_missed' END, CASE WHEN NOT hit THEN 'score_selector_error' END, CASE WHEN NOT t THEN 'goal_total_error' END, CASE WHEN NOT b THEN 'btts_error' END, CASE WHEN checks = 0 THEN 'insufficient_snapshots' END], lambda x: x IS NOT NULL) AS chain FROM f)
+ SELECT doc_id, array_to_string(CASE WHEN len(first) > 0 THEN first ELSE chain END, ',') AS tags FROM c""")
 def error_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id")
-    return rows.select("doc_id", F.array_join(pricing.error_tags(F.col("doc_id") % 14 + 1, F.col("n_chars") % 2 == 0, F.col("quality") == 1), ",").alias("tags"))
+    rows, k = table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id"), F.col("doc_id")
+    actual = F.when(k % 6 == 0, "home").when(k % 6 == 1, "draw").otherwise("away")
+    given = F.when(k % 11 == 0, F.array(F.lit("score_selector_error"), F.lit("weather")))
+    hits = {"primary": k % 3 == 0, "score": F.col("quality") == 1, "total": k % 4 == 0, "btts": k % 7 == 0}
+    tags = pricing.error_tags(given, hits, F.when(k % 5 > 0, k % 14 + 1), F.col("n_chars") % 2 == 0, actual, k % 2)
+    return rows.select("doc_id", F.array_join(tags, ",").alias("tags"))
 
 
-@query("""WITH s AS (SELECT o_custkey AS id, count(*) FILTER (o_orderstatus = 'P') AS missing, count(*) FILTER (o_orderstatus <> 'P') AS checkpoints FROM orders GROUP BY 1), g AS (SELECT id, CASE WHEN missing = 0 AND checkpoints >= 2 THEN 'A' WHEN missing <= 2 AND checkpoints >= 1 THEN 'B' ELSE 'C' END AS grade FROM s)
+@query("""WITH s AS (SELECT o_custkey AS id, count(*) FILTER (o_orderstatus = 'P') AS missing, count(*) FILTER (o_orderstatus <> 'P') AS checkpoints FROM orders GROUP BY 1), g AS (SELECT id, CASE WHEN missing = 0 AND checkpoints >= 4 THEN 'A' WHEN missing <= 2 AND checkpoints >= 2 THEN 'B' ELSE 'C' END AS grade FROM s)
  SELECT id, grade, CASE grade WHEN 'A' THEN 1.0 WHEN 'B' THEN 0.7 ELSE 0.4 END::DOUBLE AS weight FROM g""")
 def evidence_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count_if(F.col("o_orderstatus") == "P").alias("missing"), F.count_if(F.col("o_orderstatus") != "P").alias("checkpoints"))

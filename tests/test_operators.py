@@ -63,12 +63,12 @@ def test_timers(spark):
 def test_scalar_functions(spark):
     rows = spark.createDataFrame([("2.5/3", "2-1", "90+3", "Bearer abc.def", "É B")], "line string, score string, minute string, secret string, name string")
     r = one(rows.select(fx.canonical_line(F.col("line")).alias("line"), fx.parse_score(F.col("score")).alias("score"), fx.event_minute(F.col("minute")).alias("minute"), fx.redact(F.col("secret")).alias("secret"), fx.fold("name").alias("name"), fx.scaled_odds(F.lit("180000")).alias("odds")))
-    assert r["line"] == 2.75 and tuple(r["score"]) == (2, 1) and r["minute"] == 90 and r["odds"] == 1.8
+    assert r["line"] == "2.75" and tuple(r["score"]) == (2, 1) and r["minute"] == 90 and r["odds"] == 1.8
     assert r["secret"] == "bearer [redacted]" and r["name"] == "e b"
 
 
 def test_stream_agrees_with_batch(spark, tmp_path):
-    quotes = spark.createDataFrame([(i, i % 2, 0, "home", 1.5 + (i // 4) * 0.1, datetime(2024, 1, 1, 0, i), i == 5) for i in range(12)], "event_id long, match_id long, provider long, outcome string, price double, ts timestamp, verified boolean")
+    quotes = spark.createDataFrame([(i, i % 2, 0, "1x2", "", "home", 1.5 + (i // 4) * 0.1, datetime(2024, 1, 1, 0, i), i == 5) for i in range(12)], "event_id long, match_id long, provider long, market string, line string, outcome string, price double, ts timestamp, verified boolean")
     quotes.coalesce(1).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(quotes.schema).parquet(f"{tmp_path}/in")
     q = live.latest_state(stream, ["match_id", "provider", "outcome"]).writeStream.outputMode("complete").format("memory").queryName("latest_live").trigger(availableNow=True).start()
@@ -95,3 +95,55 @@ def test_entry_survives_without_subpackage(spark, tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; assert 'consensus_devig' in e.queries() and not any(k.startswith('op') and k[2].isdigit() for k in e.queries()) and e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PYTHONPATH": str(tmp_path), "PATH": "/usr/bin:/bin"})
+
+
+def test_resolution_against_all_pairs(spark):
+    """Every pair scored in plain Python; bounds must lose none of them."""
+    import difflib
+    import random
+
+    r = random.Random(5)
+    names = ["northern rovers", "southern town", "上海申花", "上海申花队", "eastern city", "easten city", "western united", "western utd", "ab", "abc", "real", "real madrid"]
+    side = lambda k, n: [(k + i, r.choice(names), r.choice(names), datetime(2024, 1, 1, r.randrange(24), r.randrange(60))) for i in range(n)]
+    a, b, kind = side(0, 60), side(1000, 80), "id int, home string, away string, kickoff timestamp"
+
+    def alike(x, y):
+        short, long = sorted((x, y), key=len)
+        ratio = difflib.SequenceMatcher(None, x, y).ratio()
+        if x == y:
+            return 1.0
+        if len(short) >= 2 and not any("a" <= c <= "z" for c in short) and (long.startswith(short) or long.endswith(short)):
+            return 0.92
+        return 0.88 if len(short) >= 4 and short in long else 0.92 * ratio if ratio >= 0.86 else 0.0
+
+    wanted = {}
+    for i, h, w, k in a:
+        found = []
+        for j, h2, w2, k2 in b:
+            apart, sh, sa = abs((k - k2).total_seconds()) / 60, alike(h, h2), alike(w, w2)
+            if apart <= 180 and sh >= 0.75 and sa >= 0.75:
+                found.append((-round(0.4 * sh + 0.4 * sa + 0.2 * (1 - apart / 180), 6), j))
+        found.sort()
+        if not found:
+            wanted[i] = (None, "none")
+        else:
+            best, rest = -found[0][0], -found[1][0] if len(found) > 1 else 0.0
+            status = "low" if best < 0.82 else "ambiguous" if best - rest < 0.05 else "exact"
+            wanted[i] = (found[0][1] if status == "exact" else None, status)
+    got = {x["left_id"]: (x["right_id"], x["status"]) for x in resolve.resolve(spark.createDataFrame(a, kind), spark.createDataFrame(b, kind)).collect()}
+    assert got == wanted and len({s for _, s in wanted.values()}) >= 3
+
+
+def test_values_of_the_survey(spark):
+    """Known values: shares of a half, grades, windows of an attempt, lines, equivalents."""
+    from oddsloom.operators import model, monitor, review
+
+    rows = spark.createDataFrame([(0, 4), (2, 2), (3, 9), (0, 3)], "missing int, checks int")
+    assert [x["g"]["grade"] for x in rows.select(review.evidence_grade(F.col("missing"), F.col("checks")).alias("g")).collect()] == ["A", "B", "C", "B"]
+    late = spark.createDataFrame([(0.0,), (0.99,), (1.0,), (10.5,), (11.0,)], "x double")
+    assert [x["a"] for x in late.select(monitor.dispatch_attempt(F.col("x")).alias("a")).collect()] == ["primary", "primary", None, "bounded_retry", None]
+    assert list(rules.CHECKPOINTS.values()) == [480, 360, 240, 120, 90, 60, 30, 10]
+    lines = spark.createDataFrame([("2.5/3", "2.75"), ("2.750", "2.75"), ("-0", "0"), (" Over  2 ", "over 2"), ("", "")], "x string, y string")
+    assert all(x["x"] == x["y"] for x in lines.select(fx.canonical_line(F.col("x")).alias("x"), "y").collect())
+    priced = {x["side"]: x for x in model.total_line_pricing(spark.createDataFrame([(1, 2.5, 2.25)], "id int, expected double, line double"), "id").collect()}
+    assert abs(priced["over"]["win"] + priced["over"]["loss"] + priced["over"]["push"] - 1) < 3e-6 and priced["over"]["win"] == priced["under"]["loss"]
