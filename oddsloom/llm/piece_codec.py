@@ -23,7 +23,7 @@ import hashlib
 import heapq
 import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +34,10 @@ from pyspark.sql import functions as F
 from oddsloom.llm import arrowtext as at
 
 SPACE = "▁"
-#: Words and pairs of tokens that a worker remembers.
+#: Words and pairs of tokens that a task remembers.
 CACHE, PAIRS = 60_000, 300_000
 #: Ids of one step: what its arrays hold is bounded by it.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 class PieceModel:
@@ -289,64 +289,66 @@ class PieceModel:
         return b"".join(out)
 
 
-_MODELS: dict[str, PieceModel] = {}
+def with_model(path: str, step: Callable[[PieceModel, pa.RecordBatch], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task that reads the model once and gives its memory back at its end: a worker outlives its tasks."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = None
+        for batch in batches:
+            model = model or PieceModel(path)
+            yield from step(model, batch)
+        del model
+        at.release()
 
-def model_at(path: str) -> PieceModel:
-    """The model, read once in a Python worker."""
-    if path not in _MODELS:
-        _MODELS[path] = PieceModel(path)
-    return _MODELS[path]
+    return run
 
 
 def encode_texts(documents: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``(id, ids)``: the token ids of every text, the end id last."""
+    at.small_batches(documents.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in at.slices(batch, "text", SLICE_BYTES):
-                ids, offsets = model_at(path).encode(part.column("text"))
-                yield pa.record_batch({"id": part.column("id"), "ids": at.list_array(ids, offsets, pa.int32())})
+    def step(model: PieceModel, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for part in at.slices(batch, "text", SLICE_BYTES):
+            ids, offsets = model.encode(part.column("text"))
+            yield pa.record_batch({"id": part.column("id"), "ids": at.list_array(ids, offsets, pa.int32())})
 
-    return documents.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text")).mapInArrow(run, "id long, ids array<int>")
+    return documents.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text")).mapInArrow(with_model(path, step), "id long, ids array<int>")
 
 
 def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
     """``(id, text)`` of rows ``(id, ids)``."""
+    at.small_batches(encoded.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, lengths = batch.column("ids").flatten().to_numpy(zero_copy_only=False), pc.fill_null(pc.list_value_length(batch.column("ids")), 0).to_numpy(zero_copy_only=False)
-            texts = model_at(path).decode(ids.astype(np.int32), np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64))
-            yield pa.record_batch({"id": batch.column("id"), "text": pa.array(texts, pa.binary()).cast(pa.string())})
+    def step(model: PieceModel, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        ids, lengths = batch.column("ids").flatten().to_numpy(zero_copy_only=False), pc.fill_null(pc.list_value_length(batch.column("ids")), 0).to_numpy(zero_copy_only=False)
+        texts = model.decode(ids.astype(np.int32), np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64))
+        yield pa.record_batch({"id": batch.column("id"), "text": pa.array(texts, pa.binary()).cast(pa.string())})
 
-    return encoded.select("id", "ids").mapInArrow(run, "id long, text string")
+    return encoded.select("id", "ids").mapInArrow(with_model(path, step), "id long, text string")
 
 
 def token_columns(documents: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", keep_ids: bool = True) -> DataFrame:
     """``(id, n_tokens, ids_sha256, decoded_sha256)`` and, if wanted, ``ids``: every text encoded, and its ids decoded, in one pass."""
+    at.small_batches(documents.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in at.slices(batch, "text", SLICE_BYTES):
-                model = model_at(path)
-                ids, offsets = model.encode(part.column("text"))
-                decimal = pc.take(model.decimal, pa.array(ids))
-                cuts = np.frombuffer(decimal.buffers()[1], dtype=np.int32)[offsets].tolist()
-                data = memoryview(decimal.buffers()[2])
-                made = {
-                    id_column: part.column("id"),
-                    "n_tokens": pa.array(np.diff(offsets), pa.int64()),
-                    "ids_sha256": pa.array([hashlib.sha256(data[a : b - 1]).hexdigest() for a, b in zip(cuts[:-1], cuts[1:])]),
-                    "decoded_sha256": pa.array([hashlib.sha256(t).hexdigest() for t in model.decode(ids, offsets)]),
-                }
-                if keep_ids:
-                    made["ids"] = at.list_array(ids, offsets, pa.int32())
-                yield pa.record_batch(made)
+    def step(model: PieceModel, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for part in at.slices(batch, "text", SLICE_BYTES):
+            ids, offsets = model.encode(part.column("text"))
+            decimal = pc.take(model.decimal, pa.array(ids))
+            cuts = np.frombuffer(decimal.buffers()[1], dtype=np.int32)[offsets].tolist()
+            data = memoryview(decimal.buffers()[2])
+            made = {
+                id_column: part.column("id"),
+                "n_tokens": pa.array(np.diff(offsets), pa.int64()),
+                "ids_sha256": pa.array([hashlib.sha256(data[a : b - 1]).hexdigest() for a, b in zip(cuts[:-1], cuts[1:])]),
+                "decoded_sha256": pa.array([hashlib.sha256(t).hexdigest() for t in model.decode(ids, offsets)]),
+            }
+            if keep_ids:
+                made["ids"] = at.list_array(ids, offsets, pa.int32())
+            yield pa.record_batch(made)
 
-    at.small_batches(documents.sparkSession)
     kind = f"`{id_column}` long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
-    return documents.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text")).mapInArrow(run, kind)
+    return documents.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text")).mapInArrow(with_model(path, step), kind)
 
 
 def op4_piece_encoding(spark, sf_dir: str) -> DataFrame:
