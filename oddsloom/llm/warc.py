@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -36,9 +37,14 @@ from oddsloom.llm.cluster import new_folder, written
 
 REVISIT_BYTES = 100
 #: A shard holds about this much payload, or as much as makes ``MAX_SHARDS`` shards.
-SHARD_BYTES = 4 << 20
-MAX_SHARDS = 4096
-FILE_BYTES = 1 << 30
+SHARD_BYTES = 8 << 20
+MAX_SHARDS = 16_384
+#: A file is closed once its compressed bytes reach this part of a shard's payload, or ``FILE_BYTES``.
+FILE_PART, FILE_BYTES = 16, 1 << 30
+#: A task writes about this much payload where that makes more tasks than the cores ask for.
+TASK_BYTES = 1 << 30
+#: A page's place in the order; a null id comes first.
+ID = "coalesce(page_id, -9223372036854775808)"
 LEVEL = 4
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -104,30 +110,38 @@ class ShardFile:
         return self.shard, self.name, self.records, self.bytes, self.digest.hexdigest()
 
 
-def shard_starts(meta: DataFrame, shard_bytes: int) -> list[int]:
-    """First id block of every shard but the first: at most ``MAX_SHARDS`` values.
+def shard_starts(meta: DataFrame, shard_bytes: int) -> tuple[list[int], int, int]:
+    """First id of every shard but the first (at most ``MAX_SHARDS`` values), a shard's bytes, and all bytes.
 
-    Ids are counted in blocks of 1024 and running sums are taken in two steps,
-    so no task orders more than one row in a thousand.
+    Ids are range-partitioned, running sums are taken inside each range, and
+    the ranges' totals, one short row each, are added up here. The sums don't
+    depend on where the ranges end, and no task orders more than its range,
+    however sparse the ids are.
     """
-    blocks = meta.groupBy(F.expr("coalesce(page_id, -9223372036854775808) div 1024").alias("block")).agg(F.sum("payload_bytes").alias("bytes"))
-    blocks = blocks.withColumn("group", F.expr("block div 1024"))
-    totals = blocks.groupBy("group").agg(F.sum("bytes").alias("all"))
-    whole = totals.agg(F.sum("all")).first()[0] or 0
+    spark = meta.sparkSession
+    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ids = meta.groupBy(F.expr(ID).alias("id")).agg(F.sum("payload_bytes").alias("bytes"))
+    ids = written(ids.repartitionByRange(ranges, "id").withColumn("range", F.spark_partition_id()), "warc-ids")
+    totals = sorted((r["least"], r["range"], r["all"]) for r in ids.groupBy("range").agg(F.min("id").alias("least"), F.sum("bytes").alias("all")).collect())
+    ends = list(accumulate(n for _, _, n in totals))
+    whole = ends[-1] if ends else 0
     size = max(shard_bytes, -(-whole // MAX_SHARDS), 1)
-    before = totals.select("group", (F.sum("all").over(Window.orderBy("group")) - F.col("all")).alias("before"))
-    inside = blocks.withColumn("inside", F.sum("bytes").over(Window.partitionBy("group").orderBy("block")) - F.col("bytes"))
-    shards = inside.join(before, "group").select("block", F.floor((F.col("before") + F.col("inside")) / size).alias("shard"))
-    starts = shards.groupBy("shard").agg(F.min("block").alias("start")).collect()
-    return sorted(r["start"] for r in starts)[1:]
+    if whole <= size:
+        return [], size, whole
+    before = spark.createDataFrame(pa.table({"range": pa.array([r for _, r, _ in totals], pa.int32()), "before": pa.array([0, *ends[:-1]], pa.int64())}))
+    inside = ids.withColumn("inside", F.sum("bytes").over(Window.partitionBy("range").orderBy("id")) - F.col("bytes"))
+    shards = inside.join(F.broadcast(before), "range").select("id", F.expr(f"(before + inside) div {size}").alias("shard"))
+    starts = shards.groupBy("shard").agg(F.min("id").alias("start")).collect()
+    return sorted(r["start"] for r in starts)[1:], size, whole
 
 
-def write_warc(pages: DataFrame, where: str, shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES) -> DataFrame:
+def write_warc(pages: DataFrame, where: str, shard_bytes: int = SHARD_BYTES, file_bytes: int | None = None) -> DataFrame:
     """Write ``pages`` (page_id, url, html) as archives in the folder ``where``; returns the manifest.
 
     ``where`` must be a folder that all executors share. Payloads move once, to
     their shard; digests and decisions travel apart from them and are merged
-    with the sorted rows inside the task.
+    with the sorted rows inside the task. Without ``file_bytes`` the size at
+    which files roll follows that of the shards, which grows with the pages.
     """
     spark = pages.sparkSession
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
@@ -137,18 +151,21 @@ def write_warc(pages: DataFrame, where: str, shard_bytes: int = SHARD_BYTES, fil
     revisits = meta.where(f"payload_bytes >= {REVISIT_BYTES}").join(first, "digest").where("not (page_id <=> first.page_id)")
     revisits = revisits.groupBy("page_id", "digest").agg(F.min("first").alias("first"))
 
-    starts = np.array(shard_starts(meta, shard_bytes), dtype=np.int64)
+    found, shard_size, whole = shard_starts(meta, shard_bytes)
+    starts = np.array(found, dtype=np.int64)
+    if file_bytes is None:
+        file_bytes = min(FILE_BYTES, -(-shard_size // FILE_PART))
 
     @F.pandas_udf(T.IntegerType())
-    def shard_of(block: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(starts, block.to_numpy(), side="right").astype(np.int32))
+    def shard_of(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(starts, ids.to_numpy(), side="right").astype(np.int32))
 
     def placed(frame: DataFrame) -> DataFrame:
-        return frame.withColumn("shard", shard_of(F.expr("coalesce(page_id, -9223372036854775808) div 1024")))
+        return frame.withColumn("shard", shard_of(F.expr(ID)))
 
     notes = placed(revisits).select("shard", "page_id", F.lit(0).alias("kind"), "digest", F.col("first.page_id").alias("first"), F.col("first.url").alias("url"), F.lit(None).cast("binary").alias("payload"))
     records = placed(rows).select("shard", "page_id", F.lit(1).alias("kind"), F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("first"), "url", "payload")
-    parts = max(1, min(len(starts) + 1, 4 * spark.sparkContext.defaultParallelism + 8))
+    parts = min(len(starts) + 1, max(4 * spark.sparkContext.defaultParallelism + 8, -(-whole // TASK_BYTES)))
     ordered = notes.unionByName(records).repartition(parts, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "kind", "url", "digest", F.expr("xxhash64(payload)"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -47,6 +47,25 @@ def test_files_are_the_same_whatever_the_partitions(spark, tmp_path):
     assert any("-0001" in f for f in found[0])  # rolled by size
 
 
+def test_sparse_ids_are_cut_and_rolled_alike(spark, tmp_path):
+    """Ids far apart, with a null and a repeated one: shards of equal bytes, in order, rolled without a given size."""
+    ids = [None, *(int.from_bytes(hashlib.sha256(b"%d" % i).digest()[:8], "big", signed=True) for i in range(2000))]
+    data = [(i, f"http://h/{i}", hashlib.sha512(str(i).encode()).hexdigest() * 20, "", 0) for i in ids + ids[-1:]]
+    names = []
+    for n in (1, 5):
+        where = f"{tmp_path}/s{n}"
+        manifest = warc.write_warc(spark.createDataFrame(data, SCHEMA).repartition(n), f"file://{where}", shard_bytes=1 << 20)
+        by_shard = {}
+        for r in manifest.collect():
+            by_shard[r["shard"]] = by_shard.get(r["shard"], 0) + r["records"]
+        assert sorted(by_shard) == list(range(-(-len(data) * 2560 // (1 << 20)))) and max(by_shard.values()) <= (1 << 20) // 2560 + 2
+        names.append({f: hashlib.sha256(open(f"{where}/{f}", "rb").read()).hexdigest() for f in sorted(os.listdir(where)) if f.endswith(".gz")})
+    assert names[0] == names[1] and any("-0001" in f for f in names[0])
+    assert read(warc.read_warc(spark, f"file://{tmp_path}/s1")) == expected(data)
+    found = sorted((r["file"], r["offset"], r["page_id"] if r["page_id"] is not None else -(2**63)) for r in warc.read_warc(spark, f"file://{tmp_path}/s1").collect())
+    assert [f[2] for f in found] == sorted(f[2] for f in found)
+
+
 def test_damage_is_seen(spark, tmp_path):
     where = f"{tmp_path}/w"
     warc.write_warc(spark.createDataFrame(rows(), SCHEMA), f"file://{where}")
