@@ -8,6 +8,7 @@ from oddsloom.llm.html_text import op6_html_extraction
 from oddsloom.llm.katz import op9_lm_scoring
 from oddsloom.llm.language_id import op5_language_id
 from oddsloom.llm.license_scan import BASE, BLOCK_WORDS, TEMPLATES, THRESHOLD_PERCENT, op8_license_scans
+from oddsloom.llm.merkle import op11_merkle_manifest
 from oddsloom.llm.ngram_jaccard import op2_ngram_jaccard_join
 from oddsloom.llm.piece_codec import op4_piece_encoding
 from oddsloom.llm.toxicity import op7_toxicity
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_license_scans": op8_license_scans,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -51,6 +53,38 @@ def _license_sql() -> str:
  FROM w LEFT JOIN b ON w.doc_id = b.doc_id LEFT JOIN m ON w.doc_id = m.doc_id"""
 
 
+def _crc32_sql(digits: str) -> str:
+    """CRC-32 of a decimal number's text: two steps of four bits for each character, by the table that the polynomial gives."""
+    table = []
+    for n in range(16):
+        for _ in range(4):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        table.append(n)
+    halves = f"flatten(list_transform(string_split({digits}, ''), lambda c: [ascii(c) & 15, ascii(c) >> 4]))"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, {halves}), lambda c, x: xor({table}[(xor(c, x) & 15) + 1], c >> 4)))"
+
+
+def _merkle_sql() -> str:
+    field = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')"
+    head = " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    up = "list_transform(range(0, len(hs), 8), lambda k: sha256(array_to_string(hs[k + 1 : k + 8], '')))"
+    # A node's place on a level, and its siblings there.
+    sides = "array_to_string(hs[(i >> (3 * level + 3)) * 8 + 1 : i >> (3 * level)], '') AS l, array_to_string(hs[(i >> (3 * level)) + 2 : (i >> (3 * level + 3)) * 8 + 8], '') AS r"
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, lang, sha256({head} || {field("text")}) AS leaf, CASE WHEN {_crc32_sql("CAST(doc_id AS VARCHAR)")} % 3 = 0 THEN sha256({head} || {field(lowered)}) END AS changed FROM documents),
+ n AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, row_number() OVER () AS row FROM d),
+ tree AS (SELECT lang, 0 AS level, list(leaf ORDER BY i) AS hs FROM n GROUP BY lang UNION ALL SELECT lang, level + 1, {up} FROM tree WHERE len(hs) > 1),
+ sub AS (SELECT lang, hs[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i FROM tree WHERE len(hs) = 1),
+ top AS (SELECT 0 AS level, list(subroot ORDER BY i) AS hs FROM sub UNION ALL SELECT level + 1, {up} FROM top WHERE len(hs) > 1),
+ step AS (SELECT row, level, {sides} FROM n JOIN tree ON n.lang IS NOT DISTINCT FROM tree.lang WHERE len(hs) > 1
+  UNION ALL SELECT row, 100 + level, l, r FROM (SELECT lang, level, {sides} FROM sub, top WHERE len(hs) > 1) t JOIN n ON n.lang IS NOT DISTINCT FROM t.lang),
+ steps AS (SELECT row, list({{'l': l, 'r': r}} ORDER BY level) AS s FROM step GROUP BY row),
+ found AS (SELECT doc_id, leaf, subroot, (SELECT hs[1] FROM top WHERE len(hs) = 1) AS root, sha256(coalesce(array_to_string(list_transform(s, lambda x: x.l || x.r), ''), '')) AS proof_sha256,
+  list_reduce(list_prepend({{'l': coalesce(changed, leaf), 'r': ''}}, coalesce(s, [])), lambda h, x: {{'l': sha256(x.l || h.l || x.r), 'r': ''}}).l AS folded_root
+  FROM n JOIN sub ON n.lang IS NOT DISTINCT FROM sub.lang LEFT JOIN steps ON n.row = steps.row)
+ SELECT *, folded_root = root AS verified FROM found"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_ngram_jaccard_join": f"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex({_LOWER}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
  s AS (SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
@@ -64,4 +98,5 @@ ORACLE_SQL: dict[str, str] = {
     "op10_embedding_near_dedup": f"""WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda y: coalesce(isfinite(y), false))) AND list_bool_or(list_transform(embedding, lambda y: y <> 0))),
  links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.9), n AS (SELECT a, count(*) AS n FROM links GROUP BY 1), {_REACHED}
  SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component, vec_id) AS component_id, coalesce(component, vec_id) = vec_id AS kept FROM embeddings LEFT JOIN n ON a = vec_id LEFT JOIN component ON id = vec_id""",
+    "op11_merkle_manifest": _merkle_sql(),
 }
