@@ -10,6 +10,7 @@ from oddsloom.llm.language_id import op5_language_id
 from oddsloom.llm.license_scan import BASE, BLOCK_WORDS, TEMPLATES, THRESHOLD_PERCENT, op8_license_scans
 from oddsloom.llm.merkle import op11_merkle_manifest
 from oddsloom.llm.ngram_jaccard import op2_ngram_jaccard_join
+from oddsloom.llm.packing import op12_packing
 from oddsloom.llm.piece_codec import op4_piece_encoding
 from oddsloom.llm.toxicity import op7_toxicity
 from oddsloom.llm.warc import op3_warc
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_packing": op12_packing,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
