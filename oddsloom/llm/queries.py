@@ -8,6 +8,7 @@ from oddsloom.llm.html_text import op6_html_extraction
 from oddsloom.llm.katz import op9_lm_scoring
 from oddsloom.llm.language_id import op5_language_id
 from oddsloom.llm.license_scan import BASE, BLOCK_WORDS, TEMPLATES, THRESHOLD_PERCENT, op8_license_scans
+from oddsloom.llm.lockstep import op13_cross_tokenizer_alignment
 from oddsloom.llm.merkle import op11_merkle_manifest
 from oddsloom.llm.ngram_jaccard import op2_ngram_jaccard_join
 from oddsloom.llm.packing import op12_packing
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_packing": op12_packing,
+    "op13_cross_tokenizer_alignment": op13_cross_tokenizer_alignment,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
