@@ -156,3 +156,93 @@ def goals_expectation(prices: DataFrame, key: str) -> DataFrame:
     """What prices of exact totals (``goals`` 0 to 6, and 7 for seven or more, counted as 7.5) imply."""
     p = prices.groupBy(key).agg(F.sum(1 / F.col("odds")).alias("all"), F.sum(F.when(F.col("goals") >= 7, 7.5).otherwise(F.col("goals")) / F.col("odds")).alias("g"), F.sum(F.when(F.col("goals") < 3, 1 / F.col("odds")).otherwise(0.0)).alias("u"))
     return p.select(key, F.round(F.col("g") / F.col("all"), 2).alias("expected_goals"), F.round(100 * F.col("u") / F.col("all"), 1).alias("under_25_pct"), F.round(100 - 100 * F.col("u") / F.col("all"), 1).alias("over_25_pct"))
+
+
+def with_sums(rows: DataFrame) -> DataFrame:
+    """Running sums of the goal differences (``upto_difference``) and totals (``upto_total``) of rows with both arrays."""
+    running = "aggregate({0}, array(0D), (s, x) -> concat(s, array(s[size(s) - 1] + x)))"
+    return held(rows, {f"upto_{n}": F.expr(running.format(n)) for n in ("difference", "total")})
+
+
+def below(kind: str, bound: str) -> str:
+    """Probability of a difference or total below ``bound``, a number of goals; the sums begin with 0."""
+    offset = GOALS if kind == "difference" else 0
+    return f"upto_{kind}[least(size(upto_{kind}) - 1, greatest(0, int({bound}) + {offset}))]"
+
+
+def side_shares(kind: str, part: str) -> tuple[str, str, str]:
+    """``(more, less, equal)``: probabilities that what decides at a half line is above, below or at it."""
+    mark = f"(-({part}))" if kind == "difference" else f"({part})"
+    less, upto = below(kind, f"ceil({mark})"), below(kind, f"floor({mark}) + 1")
+    return f"(1 - {upto})", less, f"({upto} - {less})"
+
+
+def settled_line(line: str, kind: str) -> dict[str, str]:
+    """Probabilities of the five settlements at ``line``, from running sums: ``handicap`` (home side), ``over`` or ``under``.
+
+    The two parts of a quarter line are neighbours, so where both win the
+    smaller of their chances counts, and what one has more is won by half.
+    """
+    found = [side_shares("difference" if kind == "handicap" else "total", part) for part in parts(line)]
+    (win, loss) = (1, 0) if kind == "under" else (0, 1)
+    ends = lambda k: (f"least({found[0][k]}, {found[1][k]})", f"abs({found[0][k]} - {found[1][k]})")
+    (full_win, half_win), (full_loss, half_loss) = ends(win), ends(loss)
+    return {"full_win": full_win, "half_win": half_win, "push": f"least({found[0][2]}, {found[1][2]})", "half_loss": half_loss, "full_loss": full_loss}
+
+
+def settle_lines(rates: DataFrame, lines: list[float], kind: str) -> DataFrame:
+    """As ``scores.settle_lines``, from rates: a row for each line, no score grid, nothing shuffled."""
+    rows = with_sums(with_differences(with_grid(rates))).select("match_id", "upto_difference", "upto_total", F.explode(F.array(*[F.lit(float(x)) for x in lines])).alias("line"))
+    rows = held(rows, {n: F.expr(e) for n, e in settled_line("line", kind).items()})
+    win, loss = F.col("full_win") + 0.5 * F.col("half_win"), F.col("full_loss") + 0.5 * F.col("half_loss")
+    names = ("full_win", "half_win", "push", "half_loss", "full_loss")
+    return rows.select("match_id", "line", *[F.round(c, 6).alias(c) for c in names], F.round(win - loss, 6).alias("net_at_2"), F.when(win > 0, F.round(1 + loss / win, 4)).alias("fair_odds"))
+
+
+def fair_line(rates: DataFrame) -> DataFrame:
+    """As ``scores.fair_line``, from rates: all lines are priced inside the row from running sums."""
+    rows = with_sums(with_differences(with_grid(rates)))
+    won, lost, _ = zip(*[side_shares("difference", part) for part in parts("(q / 4D)")])
+    priced = f"filter(transform(sequence(-20, 20), q -> named_struct('line', q / 4D, 'win', ({won[0]} + {won[1]}) / 2, 'loss', ({lost[0]} + {lost[1]}) / 2)), x -> x.win > 0)"
+    odds = "transform(lines, x -> named_struct('line', x.line, 'odds', round(1 + x.loss / x.win, 6)))"
+    best = "array_min(transform(odds, x -> named_struct('far', round(abs(x.odds - 2), 5), 'size', abs(x.line), 'line', x.line, 'odds', x.odds)))"
+    rows = held(held(held(rows, {"lines": F.expr(priced)}), {"odds": F.expr(odds)}), {"best": F.expr(best)})
+    return rows.where("best is not null").select("match_id", F.col("best.line").alias("line"), F.round("best.odds", 4).alias("fair_odds"))
+
+
+def share_error(share: str, total: str, target: str) -> str:
+    """Squared distance of the three outcomes' probabilities at a home share from a target, in one pass over the goals."""
+    start = f"named_struct('h', exp(-({total}) * ({share})), 'a', exp(-({total}) * (1 - ({share}))), 'win', 0D, 'draw', 0D, 'below', 0D, 'mass', 0D)"
+    step = f"named_struct('h', s.h * ({total}) * ({share}) / (g + 1), 'a', s.a * ({total}) * (1 - ({share})) / (g + 1), 'win', s.win + s.h * s.below, 'draw', s.draw + s.h * s.a, 'below', s.below + s.a, 'mass', s.mass + s.h)"
+    outcomes = "named_struct('home', s.win / (s.mass * s.below), 'draw', s.draw / (s.mass * s.below))"
+    gap = f"pow(x.home - {target}.home, 2) + pow(x.draw - {target}.draw, 2) + pow(1 - x.home - x.draw - {target}.away, 2)"
+    return f"aggregate(array(aggregate(sequence(0, {GOALS}), {start}, (s, g) -> {step}, s -> {outcomes})), 0D, (e, x) -> round({gap}, 9))"
+
+
+#: The shares that are looked at, in thousandths.
+LEAST_SHARE, MOST_SHARE = 151, 849
+COARSE_SHARES = [*range(LEAST_SHARE, MOST_SHARE, 50), MOST_SHARE]
+
+
+def nearest_share(total: str, target: str) -> str:
+    """The share in thousandths whose outcomes are nearest to a target's; of equal ones the smallest.
+
+    The outcomes move along a gently bent curve, so the error falls and then
+    rises (for totals of half a goal and more; for smaller ones it may do so
+    twice). Every fiftieth share tells which fall to follow, and bisection by
+    the error's next step ends it: 29 evaluations instead of 699.
+    """
+    error = lambda k: share_error(f"({k}) / 1000D", total, target)
+    coarse = f"array_min(transform(array({', '.join(map(str, COARSE_SHARES))}), k -> named_struct('e', {error('k')}, 'k', k))).k"
+    start = f"aggregate(array({coarse}), named_struct('lo', 0, 'hi', 0), (r, k) -> named_struct('lo', greatest({LEAST_SHARE}, k - 50), 'hi', least({MOST_SHARE}, k + 50)))"
+    middle = "((r.lo + r.hi) div 2)"
+    falls = f"{error(f'{middle} + 1')} < {error(middle)}"
+    step = f"if(r.lo >= r.hi, r, if({falls}, named_struct('lo', int({middle} + 1), 'hi', r.hi), named_struct('lo', r.lo, 'hi', int({middle}))))"
+    return f"aggregate(sequence(1, 7), {start}, (r, i) -> {step}, r -> r.lo / 1000D)"
+
+
+def share_search(rates: DataFrame, targets: DataFrame) -> DataFrame:
+    """Home share of a match's total rate whose outcome probabilities are nearest to target ones (``match_id, t_home, t_draw, t_away``)."""
+    target = F.struct(*[F.col(f"t_{n}").alias(n) for n in ("home", "draw", "away")]).alias("target")
+    rows = rates.join(targets, "match_id").select("match_id", (F.col("lh") + F.col("la")).alias("total"), target)
+    return rows.select("match_id", F.expr(nearest_share("total", "target")).alias("share"))

@@ -138,20 +138,3 @@ def half_time_marginals(joint: DataFrame) -> DataFrame:
     """Half-time and full-time outcomes by themselves, and the chance of each final outcome given the one at half-time."""
     by_half = joint.groupBy("match_id").agg(*[F.round(F.sum(F.when(F.col(c) == o, F.col("p")).otherwise(0.0)), 6).alias(f"{c}_{o.lower()}") for c in ("half", "full") for o in "HDA"], F.round(F.sum(F.when(F.expr("half = 'H' and full = 'H'"), F.col("p"))) / F.nullif(F.sum(F.when(F.expr("half = 'H'"), F.col("p"))), F.lit(0.0)), 4).alias("hold_lead"))
     return by_half
-
-
-def share_search(rates: DataFrame, targets: DataFrame) -> DataFrame:
-    """Home share of a match's total rate whose outcome probabilities are nearest to target ones.
-
-    The shares .151 to .849 in steps of .001; each candidate takes two arrays
-    of 13 Poisson terms and their running sum, no score grid. ``targets`` has
-    ``match_id, t_home, t_draw, t_away``.
-    """
-    rows = rates.join(targets, "match_id").select("match_id", (F.col("lh") + F.col("la")).alias("total"), "t_home", "t_draw", "t_away", F.explode(F.expr("sequence(151, 849)")).alias("k"))
-    pmf = lambda rate: f"transform(sequence(0, {GOALS}), g -> exp(-({rate})) * pow({rate}, g) / factorial(g))"
-    rows = rows.withColumns({"ph": F.expr(pmf("total * k / 1000D")), "pa": F.expr(pmf("total * (1 - k / 1000D)"))})
-    sums = f"aggregate(sequence(0, {GOALS}), named_struct('w', 0D, 'd', 0D, 'below', 0D), (s, g) -> named_struct('w', s.w + ph[g] * s.below, 'd', s.d + ph[g] * pa[g], 'below', s.below + pa[g]))"
-    rows = rows.withColumn("s", F.expr(sums)).withColumn("mass", F.expr("aggregate(ph, 0D, (s, x) -> s + x) * aggregate(pa, 0D, (s, x) -> s + x)"))
-    home, draw = F.col("s.w") / F.col("mass"), F.col("s.d") / F.col("mass")
-    error = F.round(F.pow(home - F.col("t_home"), 2) + F.pow(draw - F.col("t_draw"), 2) + F.pow(1 - home - draw - F.col("t_away"), 2), 9)
-    return rows.withColumn("error", error).groupBy("match_id").agg(F.min(F.struct("error", "k")).alias("b")).select("match_id", (F.col("b.k") / 1000).alias("share"))

@@ -247,12 +247,12 @@ def _settled(lines: str, margin: str) -> str:
 
 @query(_settled("[-1.0, -0.75, -0.25, 0.0, 0.5]::DOUBLE[]", "h-a+part"))
 def asian_settlement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scores.settle_lines(scores.score_matrix(rates(spark, sf_dir)), [-1.0, -0.75, -0.25, 0.0, 0.5], "handicap")
+    return model.settle_lines(rates(spark, sf_dir), [-1.0, -0.75, -0.25, 0.0, 0.5], "handicap")
 
 
 @query(_settled("[2.0, 2.25, 2.5, 2.75]::DOUBLE[]", "h+a-part"))
 def total_settlement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scores.settle_lines(scores.score_matrix(rates(spark, sf_dir)), [2.0, 2.25, 2.5, 2.75], "over")
+    return model.settle_lines(rates(spark, sf_dir), [2.0, 2.25, 2.5, 2.75], "over")
 
 
 @query(
@@ -262,7 +262,7 @@ def total_settlement(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT match_id, arg_min(line, (round(abs(odds-2), 5), abs(line), line)) AS line, round(arg_min(odds, (round(abs(odds-2), 5), abs(line), line)), 4) AS fair_odds FROM o GROUP BY 1"""
 )
 def fair_line_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scores.fair_line(scores.score_matrix(rates(spark, sf_dir)))
+    return model.fair_line(rates(spark, sf_dir))
 
 
 _HALF = lambda k: f"""d{k} AS (SELECT match_id, h-a AS d{k}, sum(exp(-h{k})*pow(h{k},h)/factorial(CAST(h AS INT)) * exp(-a{k})*pow(a{k},a)/factorial(CAST(a AS INT))) AS p FROM halves, range(11) x(h), range(11) y(a) GROUP BY ALL)"""
@@ -292,13 +292,20 @@ def truncation_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.truncation_audit(rates(spark, sf_dir))
 
 
-@query()
+def nearest_share_sql(aim: str, name: str) -> str:
+    """All 699 shares of each row ``(match_id, total, th, td, ta)`` of ``aim``, and the nearest as table ``name``."""
+    pmf = lambda rate: f"list_transform(range(13), lambda g: exp(-({rate})) * pow({rate}, g) / factorial(CAST(g AS INT)))"
+    return f""", {name}_1 AS (SELECT match_id, th, td, ta, k, {pmf("total * k / 1000.0::DOUBLE")} AS ph, {pmf("total * (1 - k / 1000.0::DOUBLE)")} AS pa FROM {aim}, range(151, 850) x(k)),
+ {name}_2 AS (SELECT *, list_sum(ph) * list_sum(pa) AS mass, list_sum(list_transform(range(1, 13), lambda g: ph[g + 1] * list_sum(pa[1 : g]))) AS w, list_sum(list_transform(range(1, 14), lambda g: ph[g] * pa[g])) AS d FROM {name}_1),
+ {name} AS (SELECT match_id, arg_min(k, (round(pow(w / mass - th, 2) + pow(d / mass - td, 2) + pow(1 - (w + d) / mass - ta, 2), 9), k)) / 1000 AS share FROM {name}_2 GROUP BY 1)"""
+
+
+@query(with_views("rates") + ", aim AS (SELECT match_id, lh + la AS total, 0.30 + (match_id % 30) / 100 AS th, 0.25::DOUBLE AS td, 0.45 - (match_id % 30) / 100 AS ta FROM rates)" + nearest_share_sql("aim", "found") + " SELECT match_id, share FROM found")
 def share_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All parts; the grid is too large for SQL on whole tables, so a test holds it against brute force."""
     base = rates(spark, sf_dir)
     home = 0.30 + (F.col("match_id") % 30) / 100
     targets = base.select("match_id", home.alias("t_home"), F.lit(0.25).alias("t_draw"), (1 - home - 0.25).alias("t_away"))
-    return scores.share_search(base, targets)
+    return model.share_search(base, targets)
 
 
 _STAKED = """, e AS (SELECT *, probability*odds-1 AS ev FROM tickets), k AS (SELECT *, round(floor((least(100.0*greatest(0.0, ev/(odds-1)*0.25), 5.0) + 1e-9)/0.01)*0.01, 2) AS st FROM e),

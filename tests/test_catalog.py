@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from oddsloom.plans import catalog, catalog_model, catalog_monitor, catalog_more  # noqa: F401
+from oddsloom.plans import catalog, catalog_auto, catalog_model, catalog_monitor, catalog_more  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
@@ -45,13 +45,13 @@ def test_query_without_sql_runs(spark, name):
 
 
 def test_share_search_by_brute_force(spark):
-    from oddsloom.operators import scores
+    from oddsloom.operators import model
     from oddsloom.plans.adapters import rates
 
     poisson = lambda rate: [math.exp(-rate) * rate**g / math.factorial(g) for g in range(13)]
     base = rates(spark, SF).limit(3)
     targets = base.selectExpr("match_id", "0.45D as t_home", "0.25D as t_draw", "0.30D as t_away")
-    found = {r["match_id"]: r["share"] for r in scores.share_search(base, targets).collect()}
+    found = {r["match_id"]: r["share"] for r in model.share_search(base, targets).collect()}
     for r in base.collect():
         total, best = r["lh"] + r["la"], None
         for k in range(151, 850):
