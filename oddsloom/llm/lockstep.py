@@ -39,8 +39,7 @@ from pyspark.sql import functions as F
 
 from oddsloom.llm import arrowtext as at
 from oddsloom.llm.cluster import written
-from oddsloom.llm.piece_codec import PieceModel
-from oddsloom.llm.subword import Subwords, byte_level, data_of, spread
+from oddsloom.llm.subword import Pieces, Subwords, byte_level, data_of, spread
 
 SLICE_BYTES = 1 << 20
 #: A's tokens in a lane, and how many of them are looked at for a common end.
@@ -106,7 +105,7 @@ def align(a: Tokens, b: Tokens, size: int = LANE) -> tuple[np.ndarray, np.ndarra
 
 class Aligner:
     def __init__(self, a_path: str, b_path: str):
-        self.a, self.b = Subwords(a_path, spaced=False, plain_specials=True), PieceModel(b_path)
+        self.a, self.b = Subwords(a_path, spaced=False, plain_specials=True), Pieces(b_path)
         names = [self.a.tokenizer.id_to_token(i) or "" for i in range(self.a.size())]
         self.a_bytes, self.b_bytes = pa.array(map(byte_level, names), pa.binary()), self.b.surface
         self.a_width = self.a.width
@@ -120,10 +119,7 @@ class Aligner:
         full = pc.greater(pc.fill_null(pc.binary_length(texts), 0), 0)
         spaced = pc.if_else(full, pc.binary_join_element_wise(" ", pc.fill_null(texts, ""), ""), "")
         a = Tokens(*self.a.encode(spaced), self.a_width)
-        ids, offsets = self.b.encode(texts)
-        # Without the end id after each text.
-        ids = np.delete(ids, offsets[1:] - 1)
-        b = Tokens(ids, offsets - np.arange(len(offsets)), self.b_width)
+        b = Tokens(*self.b.encode(spaced), self.b_width)
         data, places = data_of(spaced)
         different = np.zeros(len(texts), dtype=bool)
         for tokens, surface in ((a, self.a_bytes), (b, self.b_bytes)):

@@ -1,4 +1,4 @@
-"""Token ids by tokenizers in JSON files, for many whole texts at once.
+"""Token ids by the tokenizers' own libraries, for many whole texts at once.
 
 Texts are cut where the tokenizer's own pattern cuts anyway. Distinct parts of
 a slice are looked up among those that the task has met before; only new ones
@@ -8,6 +8,7 @@ part. All tables are arrays: a part costs its bytes and ids, no objects.
 
 from __future__ import annotations
 
+import itertools
 import os
 
 import numpy as np
@@ -20,6 +21,8 @@ KNOWN = 600_000
 MARKS = "0123456789"
 #: Stands before each part where white space belongs to tokens.
 FILLER = " a"
+#: How pieces write a space.
+SPACE = "▁"
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -47,43 +50,13 @@ def data_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-class Subwords:
-    """A tokenizer file. ``spaced``: white space is dropped, so that parts end at any; else parts start with their white space."""
-
-    def __init__(self, path: str, spaced: bool, plain_specials: bool = False):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = plain_specials
-        self.spaced = spaced
-        #: Never cut inside a special token: pairs of bytes that stand in one.
-        self.uncut = {(a, b) for t in self.tokenizer.get_added_tokens_decoder().values() for a, b in zip(t.content.encode(), t.content.encode()[1:])}
-        if not spaced:
-            self.width = np.array([len(byte_level(t)) if t else 0 for t in map(self.tokenizer.id_to_token, range(self.size()))], dtype=np.int64)
-        self.forget()
-
-    def size(self) -> int:
-        return self.tokenizer.get_vocab_size(with_added_tokens=True)
+class KnownParts:
+    """Encodes texts by their parts: ``parts`` cuts texts, ``encode_new`` asks the library."""
 
     def forget(self) -> None:
         self.known = pa.array([], pa.binary())
         self.lengths, self.ids = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
 
-    def parts(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-        """All parts of all texts, and row offsets into them."""
-        data, offsets = data_of(texts)
-        cut = np.zeros(len(data) + 1, dtype=bool)
-        before, after = data[:-1], data[1:]
-        cut[1:-1] = _LETTER[before] & _SIGN[after]
-        for a, b in self.uncut:
-            cut[1:-1] &= (before != a) | (after != b)
-        cut[1:-1] |= _WHITE[before] != _WHITE[after] if self.spaced else (after == 32) & _BEFORE_SPACE[before]
-        cut[offsets] = True
-        cuts = np.flatnonzero(cut)
-        made = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
-        return made, np.searchsorted(cuts, offsets)
-
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts without special tokens, and row offsets."""
         parts, offsets = self.parts(texts)
@@ -102,6 +75,45 @@ class Subwords:
             self.forget()
         return found, np.concatenate([[0], np.cumsum(taken)])[offsets]
 
+    def bytes_cut(self, texts: pa.Array, where) -> tuple[pa.Array, np.ndarray]:
+        """Parts that begin at each text's start and wherever ``where`` says of a byte and the one after it; row offsets into them."""
+        data, offsets = data_of(texts)
+        cut = np.zeros(len(data) + 1, dtype=bool)
+        cut[1:-1] = where(data[:-1], data[1:])
+        cut[offsets] = True
+        cuts = np.flatnonzero(cut)
+        made = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+        return made, np.searchsorted(cuts, offsets)
+
+
+class Subwords(KnownParts):
+    """A tokenizer file. ``spaced``: white space is dropped, so that parts end at any; else parts start with their white space."""
+
+    def __init__(self, path: str, spaced: bool, plain_specials: bool = False):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = plain_specials
+        self.spaced = spaced
+        #: Never cut inside a special token: pairs of bytes that stand in one.
+        self.uncut = {(a, b) for t in self.tokenizer.get_added_tokens_decoder().values() for a, b in zip(t.content.encode(), t.content.encode()[1:])}
+        if not spaced:
+            self.width = np.array([len(byte_level(t)) if t else 0 for t in map(self.tokenizer.id_to_token, range(self.size()))], dtype=np.int64)
+        self.forget()
+
+    def size(self) -> int:
+        return self.tokenizer.get_vocab_size(with_added_tokens=True)
+
+    def parts(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        def where(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+            cut = _LETTER[before] & _SIGN[after]
+            for a, b in self.uncut:
+                cut &= (before != a) | (after != b)
+            return cut | (_WHITE[before] != _WHITE[after] if self.spaced else (after == 32) & _BEFORE_SPACE[before])
+
+        return self.bytes_cut(texts, where)
+
     def encode_new(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of ids of all parts, and the ids."""
         data, offsets = data_of(parts)
@@ -146,6 +158,31 @@ class Subwords:
         return np.array(self.tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, dtype=np.int64)
 
 
+class Pieces(KnownParts):
+    """A model of pieces (merge type). Texts come with the space before them that the model itself would add."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        pieces = [self.model.id_to_piece(i) for i in range(self.model.vocab_size())]
+        #: Whether no piece has a space after another character, so that texts may be cut before spaces.
+        self.apart = not any(SPACE in p.lstrip(SPACE) for p in pieces)
+        self.space = self.model.piece_to_id(SPACE)
+        #: Bytes that each id stands for.
+        self.surface = pa.array([b"" if self.model.is_control(i) or self.model.is_unknown(i) else bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)], pa.binary())
+        self.forget()
+
+    def parts(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        return self.bytes_cut(texts, lambda before, after: (after == 32) & (before != 32) & self.apart)
+
+    def encode_new(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        found = self.model.encode([p[1:].decode() for p in parts.to_pylist()], num_threads=1)
+        found = [[self.space] if not ids else ids for ids in found]
+        lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        return lengths, np.fromiter(itertools.chain.from_iterable(found), dtype=np.int32, count=int(lengths.sum()))
+
+
 def _together(parts: pa.Array, which: np.ndarray, between: str) -> bytes:
     taken = parts.take(pa.array(which))
     return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(taken)], pa.int32()), taken), between.encode())[0].as_py()
