@@ -270,7 +270,8 @@ def send_pairs(documents: DataFrame, shared, buckets: int) -> DataFrame:
             return pa.record_batch({"kind": pa.array(kind, pa.int32()), "bucket": pa.array(bucket, pa.int32()), "pack": pa.array([pack] * len(kind), pa.int64()), "keys": pa.array(key, pa.binary()), "counts": pa.array(n, pa.binary()), "docs": pa.array(docs, pa.binary()), "texts": pa.array([int(train.sum())] * len(kind), pa.int32())})
 
         for batch in batches:
-            for part in at.slices(batch, "text"):
+            # Document numbers of a pack take 16 bits, so a slice of very many short texts is cut by rows too.
+            for part in (whole.slice(k, PACK_DOCUMENTS) for whole in at.slices(batch, "text") for k in range(0, whole.num_rows, PACK_DOCUMENTS)):
                 before, after, hashes, offsets = pairs_of(words, part.column("text"))
                 if held and docs + part.num_rows > PACK_DOCUMENTS:
                     yield flush()

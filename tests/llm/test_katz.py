@@ -112,3 +112,16 @@ def test_empty(spark):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     r = katz.score_texts(spark.createDataFrame([(held, "only held out")], kind)).first()
     assert r["held_out"] and r["train_tokens"] == 0 and r["n_known"] == 0 and r["score"] == 0.0
+
+
+def test_batches_of_very_many_short_texts_score_like_small_ones(spark):
+    rows = spark.range(0, 70_000, 1, 1).selectExpr("id as doc_id", "concat('w', id % 100, ' v', (id * 7) div 100 % 100) as text")
+    key, sums = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(key)
+    try:
+        for size in (5_000, 100_000):
+            spark.conf.set(key, size)
+            sums.append(katz.score_texts(rows).selectExpr("round(sum(score), 3)", "max(score) < -0.5", "count(*)").first())
+    finally:
+        spark.conf.set(key, before)
+    assert sums[0] == sums[1] and sums[0][1] and sums[0][2] == 70_000
