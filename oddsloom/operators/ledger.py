@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from oddsloom.operators.running import largest_drawdown, micros
 
 #: Bankroll, part of the Kelly stake, largest share, step and least stake.
 BANKROLL, KELLY_PART, MOST_SHARE, STEP, LEAST = 100.0, 0.25, 0.05, 0.01, 2.0
@@ -73,9 +74,8 @@ def settle(tickets: DataFrame) -> DataFrame:
 def summarise(settled: DataFrame, key: str) -> DataFrame:
     """Account of each ``key``: counts by status, stake, profit, return, hit rate and largest drawdown from the running peak."""
     done = F.col("status") == "settled"
-    order = Window.partitionBy(key).orderBy("kickoff", "ticket_id").rowsBetween(Window.unboundedPreceding, 0)
-    curve = settled.where(done).withColumn("curve", F.sum("profit_units").over(order)).withColumn("peak", F.greatest(F.lit(0.0), F.max("curve").over(order)))
-    drawdown = curve.groupBy(key).agg(F.round(F.greatest(F.lit(0.0), F.max(F.col("peak") - F.col("curve"))), 4).alias("max_drawdown"))
+    curve = largest_drawdown(settled.where(done).withColumn("us", micros(F.col("kickoff"))), key, "us", ["ticket_id"], "profit_units")
+    drawdown = curve.select(key, F.round("drawdown", 4).alias("max_drawdown"))
     stake, profit = F.sum(F.when(done, F.col("stake_units"))), F.sum(F.when(done, F.col("profit_units")))
     wins, losses = F.count_if(done & (F.col("profit_units") > 0)), F.count_if(done & (F.col("profit_units") < 0))
     sums = settled.groupBy(key).agg(

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from oddsloom.operators.running import micros, running
+
 
 def attack_defence_rates(home_for: Column, home_against: Column, away_for: Column, away_against: Column, league_home: Column, league_away: Column) -> list[Column]:
     """League-normalised attack times the other side's defence."""
@@ -73,8 +75,8 @@ def retry_state(attempts: DataFrame, key: str, most: int = 2) -> DataFrame:
 
 def sticky_verified(quotes: DataFrame, key: str) -> DataFrame:
     """Once a quote of a key was verified, all later ones are."""
-    series = Window.partitionBy(key).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return quotes.withColumn("verified", F.coalesce(F.max("verified").over(series), F.lit(False)))
+    rows = quotes.withColumnRenamed("verified", "told").withColumn("us", micros(F.col("ts")))
+    return running(rows, key, "us", ["event_id"], {}, {"verified": F.col("told")}).drop("told", "us")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, columns: list[str], final: Column) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from oddsloom.operators import running
+
 OUTCOMES = ("home", "draw", "away")
 #: Providers by tier; and weights of tiers (synthetic, as tiers are input).
 TIERS = {0: "sharp", 1: "sharp", 2: "asian", 3: "asian", 4: "broad", 5: "broad", 6: "broad"}
@@ -197,10 +199,13 @@ def trend_first_move(quotes: DataFrame, least: float = 0.01) -> DataFrame:
 
 def exchange_growth(quotes: DataFrame, hours: int = 4) -> DataFrame:
     """Growth of a running volume against the earliest point of the trailing hours, else the point before."""
-    series = Window.partitionBy("match_id").orderBy("us")
-    rows = quotes.withColumn("us", micros("ts")).withColumn("volume", F.sum("price").over(series.rowsBetween(Window.unboundedPreceding, 0)))
-    near = F.first("volume").over(series.rangeBetween(-hours * 3_600_000_000, -1))
-    rows = rows.withColumn("reference", F.coalesce(near, F.lag("volume").over(series)))
+    rows = quotes.select("event_id", "match_id", "price", running.micros(F.col("ts")).alias("us"))
+    rows = running.running(rows, "match_id", "us", ["event_id"], {"volume": F.col("price"), "points": F.lit(1)})
+    # The earliest point of the trailing hours is the first one at or after their start; it counts if it is before the quote.
+    probes = rows.select("match_id", (F.col("us") - hours * 3_600_000_000).alias("us"), "event_id", "volume", "price", "points", F.col("us").alias("own_us"))
+    rows = running.next_value(rows, probes, "match_id", "us", "volume")
+    before = F.when(F.col("points") > 1, F.col("volume") - F.col("price"))
+    rows = rows.withColumn("reference", F.coalesce(F.when(F.col("next_us") < F.col("own_us"), F.col("next_value")), before))
     return rows.where("reference is not null").select("event_id", "match_id", F.round(F.col("volume") / F.col("reference"), 6).alias("growth"))
 
 
