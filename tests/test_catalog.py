@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from oddsloom.plans import catalog, catalog_auto, catalog_identity, catalog_model, catalog_monitor, catalog_more, catalog_payload, catalog_recovery, catalog_state, catalog_traps  # noqa: F401
+from oddsloom.plans import catalog, catalog_auto, catalog_contracts, catalog_identity, catalog_model, catalog_monitor, catalog_more, catalog_payload, catalog_recovery, catalog_state, catalog_traps  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
