@@ -22,8 +22,8 @@ def fifo_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CHECKS = """SELECT l_orderkey AS fixture, l_linenumber AS event_id, CASE l_linestatus WHEN 'F' THEN NULL ELSE l_returnflag = 'R' END AS final, CASE l_partkey % 3 WHEN 0 THEN 'result_source_conflict' WHEN 1 THEN 'not_found' END AS issue, """
 
 
-@query(f"""WITH c AS (SELECT DISTINCT * FROM ({_CHECKS} TIMESTAMP '1995-06-16' + to_minutes(CAST(l_suppkey * 37 + l_linenumber * 11 AS BIGINT) % 2880) AS ts FROM lineitem) WHERE ts <= TIMESTAMP '{AS_OF}'),
- r AS (SELECT fixture, ts, coalesce(final, false) AS final, issue, row_number() OVER (PARTITION BY fixture ORDER BY ts, event_id, coalesce(final, false), issue NULLS FIRST) AS n FROM c),
+@query(f"""WITH c AS (SELECT DISTINCT fixture, event_id, coalesce(final, false) AS final, issue, ts FROM ({_CHECKS} TIMESTAMP '1995-06-16' + to_minutes(CAST(l_suppkey * 37 + l_linenumber * 11 AS BIGINT) % 2880) AS ts FROM lineitem) WHERE ts <= TIMESTAMP '{AS_OF}'),
+ r AS (SELECT fixture, ts, final, issue, row_number() OVER (PARTITION BY fixture ORDER BY ts, event_id, final, issue NULLS FIRST) AS n FROM c),
  b AS (SELECT f.fixture, f.ts, f.final, f.issue, s.ts AS ts2, s.final AS final2, s.issue AS issue2, NOT f.final AND s.ts IS NOT NULL AND s.ts < f.ts + INTERVAL 24 HOUR AS twice FROM r f LEFT JOIN r s ON s.fixture = f.fixture AND s.n = 2 WHERE f.n = 1),
  o AS (SELECT *, CASE WHEN final OR twice AND final2 THEN 'result_verified' WHEN twice AND issue2 = 'result_source_conflict' THEN 'manual_review_required' WHEN twice OR TIMESTAMP '{AS_OF}' >= ts + INTERVAL 24 HOUR THEN 'expired_unresolved' WHEN TIMESTAMP '{AS_OF}' >= ts + INTERVAL 45 MINUTE THEN 'retry_due' ELSE 'retry_scheduled' END AS status FROM b)
  SELECT fixture, status, CASE WHEN twice THEN 2 ELSE 1 END AS attempts, CASE WHEN status = 'retry_scheduled' THEN strftime(ts + INTERVAL 45 MINUTE, '%Y-%m-%d %H:%M:%S') END AS due, CASE WHEN status <> 'result_verified' THEN CASE WHEN twice THEN issue2 ELSE issue END END AS reason FROM o""")
