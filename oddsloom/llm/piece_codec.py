@@ -7,9 +7,9 @@ before it, is compatible with it: merging their joint text by rank would leave
 the border between the two. The ids are then read off backwards. No merge is
 ever simulated on a text, and the work grows linearly with it.
 
-Texts are cut at spaces, as no token has a space after another character;
-equal words of a batch are encoded once. Runs of spaces, whose tokens share
-one rank, are merged by length.
+Texts are cut before spaces, as no token has a space after another character;
+a task encodes each distinct part once and keeps its ids in arrays. Runs of
+spaces, whose tokens share one rank, are merged by length.
 
 Edge cases: a null text is an empty text, whose ids are the end id alone;
 characters outside the vocabulary become byte tokens; texts of any length are
@@ -32,15 +32,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oddsloom.llm import arrowtext as at
+from oddsloom.llm.subword import KnownParts
 
 SPACE = "▁"
-#: Words and pairs of tokens that a task remembers.
-CACHE, PAIRS = 60_000, 300_000
+#: Pairs of tokens that a task remembers.
+PAIRS = 150_000
 #: Ids of one step: what its arrays hold is bounded by it.
 SLICE_BYTES = 1 << 20
 
 
-class PieceModel:
+class PieceModel(KnownParts):
     """A merge-type vocabulary: ranks, splits, the automaton and the pair test."""
 
     def __init__(self, path: str):
@@ -65,25 +66,25 @@ class PieceModel:
         # Smaller ranks merge earlier; tokens of one score share a rank.
         order = {s: k for k, s in enumerate(sorted(set(scores.values()), reverse=True))}
         self.rank = {t: order[scores[i]] for t, i in self.id_of.items()}
-        self.known = {t for t in self.id_of if len(t) == 1}
-        self.unknown = re.compile("([^" + "".join(map(re.escape, sorted(self.known))) + "])")
+        self.known_characters = {t for t in self.id_of if len(t) == 1}
+        self.unknown = re.compile("([^" + "".join(map(re.escape, sorted(self.known_characters))) + "])")
         #: When a token comes into being, and the two tokens it is made of; single characters are there from the start.
         self.born: dict[int, int] = {}
-        self.parts: dict[int, tuple[int, int]] = {}
+        self.halves: dict[int, tuple[int, int]] = {}
         self.automaton = ahocorasick.Automaton()
         for text, i in self.id_of.items():
-            if set(text) == {SPACE} and len(text) > 1 or not self.known.issuperset(text):
+            if set(text) == {SPACE} and len(text) > 1 or not self.known_characters.issuperset(text):
                 continue
             if len(text) > 1:
                 merged, last = self.merge(text)
                 if merged != [text]:
                     continue  # never the encoding of its own text, so never in any
-                self.parts[i] = (self.id_of[last[0]], self.id_of[last[1]])
+                self.halves[i] = (self.id_of[last[0]], self.id_of[last[1]])
             self.born[i] = self.rank[text] if len(text) > 1 else -1
             self.automaton.add_word(text, (i, len(text)))
         self.automaton.make_automaton()
         self.pairs: dict[int, bool] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.forget()
         self.space_runs: dict[int, tuple[int, ...]] = {}
         self.lone_space = self.id_of.get(SPACE)
         surface = [bytes([self.byte_of[i]]) if i in self.byte_of else self.text[i].replace(SPACE, " ").encode() for i in range(size)]
@@ -136,9 +137,9 @@ class PieceModel:
                 fits = False
                 break
             if born[left] > born[right]:
-                until, left = born[left], self.parts[left][1]
+                until, left = born[left], self.halves[left][1]
             elif born[right] >= 0:
-                until, right = born[right] + 1, self.parts[right][0]
+                until, right = born[right] + 1, self.halves[right][0]
             else:
                 break
         if len(self.pairs) > PAIRS:
@@ -171,80 +172,49 @@ class PieceModel:
         ids.reverse()
         return ids
 
-    def word(self, text: str) -> tuple[int, ...]:
+    def word(self, text: str) -> list[int]:
         """Ids of a word with the space before it, or of a part of one."""
-        found = self.words.get(text)
-        if found is None:
-            if self.known.issuperset(text):
-                found = tuple(self.segment(text))
-            else:
-                ids: list[int] = []
-                for k, part in enumerate(self.unknown.split(text)):
-                    if k % 2:
-                        ids += [self.byte_ids[x] for x in part.encode()]
-                    elif part:
-                        ids += self.word(part)
-                return tuple(ids)
-            if len(self.words) >= CACHE:
-                for key in list(itertools.islice(self.words, CACHE // 2)):
-                    del self.words[key]
-            self.words[text] = found
-        return found
+        if self.known_characters.issuperset(text):
+            return self.segment(text)
+        ids: list[int] = []
+        for k, part in enumerate(self.unknown.split(text)):
+            if k % 2:
+                ids += [self.byte_ids[x] for x in part.encode()]
+            elif part:
+                ids += self.segment(part)
+        return ids
 
     def spaces(self, n: int) -> tuple[int, ...]:
         if n not in self.space_runs:
             self.space_runs[n] = tuple(self.id_of[t] for t in self.merge(SPACE * n)[0]) if n else ()
         return self.space_runs[n]
 
+    def parts(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        return self.bytes_cut(texts, lambda before, after: (after == 32) & (before != 32))
+
+    def encode_new(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        found = [self.part(p.decode()) for p in parts.to_pylist()]
+        lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        return lengths, np.fromiter(itertools.chain.from_iterable(found), dtype=np.int32, count=int(lengths.sum()))
+
+    def part(self, text: str) -> list[int]:
+        """Ids of a run of spaces and the word behind it: of several spaces the last is the word's, unless it stays a token by itself."""
+        word = text.lstrip(" ")
+        n = len(text) - len(word)
+        if not word:
+            return list(self.spaces(n))
+        ids = self.word(SPACE + word)
+        if n == 1:
+            return ids
+        return [*self.spaces(n), *ids[1:]] if ids[0] == self.lone_space else [*self.spaces(n - 1), *ids]
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, the end id included, and row offsets."""
         texts = pc.replace_substring(pc.fill_null(texts, ""), SPACE, " ")
-        blank = pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-        split = pc.split_pattern(texts, " ")
-        offsets = split.offsets.to_numpy().astype(np.int64)
-        offsets = offsets - offsets[0]
-        coded = pc.dictionary_encode(split.flatten())
-        codes, words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
-        table = [self.word(SPACE + w) if w else () for w in words]
-        extra: dict[tuple[int, ...], int] = {}
-
-        def code_of(ids: tuple[int, ...]) -> int:
-            if ids not in extra:
-                extra[ids] = len(table)
-                table.append(ids)
-            return extra[ids]
-
-        nothing, end = code_of(()), code_of((self.end,))
-        empty = words.index("") if "" in words else -1
-        if empty >= 0:
-            self.join_spaces(codes, offsets, empty, table, code_of, nothing, blank)
-        # The end id after each row's words.
-        codes = np.insert(codes, offsets[1:], end)
-        offsets = offsets + np.arange(len(offsets))
-        lengths = np.fromiter(map(len, table), dtype=np.int64, count=len(table))
-        flat = np.fromiter(itertools.chain.from_iterable(table), dtype=np.int32, count=int(lengths.sum()))
-        starts = np.cumsum(lengths) - lengths
-        taken = lengths[codes]
-        ends = np.cumsum(taken)
-        ids = flat[np.repeat(starts[codes] - (ends - taken), taken) + np.arange(ends[-1] if len(ends) else 0)]
-        return ids, np.concatenate([[0], ends])[offsets]
-
-    def join_spaces(self, codes, offsets, empty, table, code_of, nothing, blank) -> None:
-        """Give runs of empty words (spaces side by side) the tokens of their run."""
-        rows_end = np.repeat(offsets[1:], np.diff(offsets))
-        places = np.flatnonzero(codes == empty)
-        runs = np.split(places, np.flatnonzero((np.diff(places) != 1) | (rows_end[places[1:]] != rows_end[places[:-1]])) + 1)
-        blank_starts = set(offsets[:-1][blank].tolist())
-        for run in runs:
-            first, last = int(run[0]), int(run[-1])
-            codes[first : last + 1] = nothing
-            if first in blank_starts:
-                continue  # a text without any character
-            n, follow = last - first + 1, last + 1
-            if follow < rows_end[first] and table[codes[follow]][:1] == (self.lone_space,):
-                n += 1
-                codes[follow] = code_of(table[codes[follow]][1:])
-            codes[first] = code_of(self.spaces(n))
+        spaced = pc.if_else(pc.equal(pc.binary_length(texts), 0), "", pc.binary_join_element_wise(" ", texts, ""))
+        ids, offsets = super().encode(spaced)
+        # The end id after each row's ids.
+        return np.insert(ids, offsets[1:], self.end), offsets + np.arange(len(offsets))
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         """Texts in UTF-8 of the ids of each row."""
