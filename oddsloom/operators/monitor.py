@@ -53,9 +53,10 @@ def open_stages(matches: DataFrame, captured: DataFrame, now: Column, hours: int
     ``captured`` has ``match_id, stage, status``.
     """
     stages = F.array(*[F.struct(F.lit(k).alias("stage"), F.lit(v).alias("target")) for k, v in CHECKPOINTS.items()])
-    left = F.round(minutes_to(F.col("kickoff"), now), 2)
+    left = minutes_to(F.col("kickoff"), now)
     rows = matches.select("match_id", "kickoff", left.alias("minutes"), F.explode(stages).alias("s")).where((F.col("minutes") >= -360) & (F.col("minutes") <= hours * 60) & (F.col("s.target") >= F.col("minutes")))
-    rows = rows.select("match_id", "kickoff", "minutes", F.col("s.stage").alias("stage"), F.round(F.col("s.target") - F.col("minutes"), 2).alias("lateness"))
+    # Bounds are held against exact minutes; only what is shown is rounded.
+    rows = rows.select("match_id", "kickoff", F.round("minutes", 2).alias("minutes"), F.col("s.stage").alias("stage"), F.round(F.col("s.target") - F.col("minutes"), 2).alias("lateness"))
     closed = captured.where(F.col("status").isin(*TERMINAL)).select("match_id", "stage").distinct()
     rows = rows.join(closed, ["match_id", "stage"], "left_anti")
     return rows.withColumn("capture_quality", F.when(F.abs("lateness") <= 5, "on_time").otherwise("pending_recovery"))

@@ -46,8 +46,8 @@ def review_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monitor.status_counts(_queue(spark, sf_dir))
 
 
-_OPEN = f"""WITH {_MATCHES}, x AS (SELECT match_id, TIMESTAMP '{NOW}' + to_minutes(match_id % 900 - 400) AS kickoff, o_orderstatus FROM m), s AS (SELECT match_id, kickoff, round((epoch_us(kickoff) - epoch_us(TIMESTAMP '{NOW}')) / 6e7, 2) AS minutes, stage, target FROM x, {_STAGES}),
- o AS (SELECT match_id, kickoff, minutes, stage, round(target - minutes, 2) AS lateness FROM s WHERE minutes BETWEEN -360 AND 480 AND target >= minutes AND NOT EXISTS (SELECT 1 FROM x WHERE x.match_id = s.match_id AND o_orderstatus = 'F' AND stage IN ('T-480M', 'T-60M'))),
+_OPEN = f"""WITH {_MATCHES}, x AS (SELECT match_id, TIMESTAMP '{NOW}' + to_minutes(match_id % 900 - 400) AS kickoff, o_orderstatus FROM m), s AS (SELECT match_id, kickoff, (epoch_us(kickoff) - epoch_us(TIMESTAMP '{NOW}')) / 6e7 AS minutes, stage, target FROM x, {_STAGES}),
+ o AS (SELECT match_id, kickoff, round(minutes, 2) AS minutes, stage, round(target - minutes, 2) AS lateness FROM s WHERE minutes BETWEEN -360 AND 480 AND target >= minutes AND NOT EXISTS (SELECT 1 FROM x WHERE x.match_id = s.match_id AND o_orderstatus = 'F' AND stage IN ('T-480M', 'T-60M'))),
  q AS (SELECT *, CASE WHEN abs(lateness) <= 5 THEN 'on_time' ELSE 'pending_recovery' END AS capture_quality FROM o)"""
 
 
@@ -201,7 +201,7 @@ def _choice_sql(values: list[str]) -> str:
 
 
 _LINES = ["0.5", "2/2.5", "-1.25", "平手", "受半/一", "球半", "一球", "受两球", "none", "", "1 / 1.5"]
-_DEPTHS = {"平手": -0.0, "受半/一": 0.75, "球半": -1.5, "一球": -1.0, "受两球": 2.0}
+_DEPTHS = {"平手": -0.0, "受半/一": 0.75, "球半": -0.5, "一球": -1.0, "受两球": 2.0}
 
 
 @query(f"WITH t AS (SELECT p_partkey AS id, {_choice_sql(_LINES)} AS x FROM part) SELECT id, CASE x " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in _DEPTHS.items()) + " WHEN '2/2.5' THEN 2.25 WHEN '1 / 1.5' THEN 1.25 ELSE try_cast(nullif(x, '') AS DOUBLE) END::DOUBLE AS handicap FROM t")

@@ -147,3 +147,12 @@ def test_values_of_the_survey(spark):
     assert all(x["x"] == x["y"] for x in lines.select(fx.canonical_line(F.col("x")).alias("x"), "y").collect())
     priced = {x["side"]: x for x in model.total_line_pricing(spark.createDataFrame([(1, 2.5, 2.25)], "id int, expected double, line double"), "id").collect()}
     assert abs(priced["over"]["win"] + priced["over"]["loss"] + priced["over"]["push"] - 1) < 3e-6 and priced["over"]["win"] == priced["under"]["loss"]
+
+
+def test_ball_signs_of_handicaps(spark):
+    from oddsloom.functions import parse
+
+    texts = ["球半", "受球半", "一球", "两球半", "1.5球", "平手", "x"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i")
+    assert [r[0] for r in rows.select(parse.handicap_number(F.col("t"))).collect()] == [-0.5, 0.5, -1.0, None, 1.5, 0.0, None]
+    assert [r[0] for r in rows.select(parse.handicap_number(F.col("t"), as_written=True)).collect()] == [-1.5, 1.5, -1.0, -2.5, 1.5, 0.0, None]
