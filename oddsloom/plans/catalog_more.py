@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddsloom.operators import lookups, movement, pricing, quotes, review, scores
+from oddsloom.operators import lookups, model, movement, pricing, quotes, review
 from oddsloom.plans.adapters import quotes_long, rates, table, tickets, with_views
 from oddsloom.plans.catalog import _MATRIX, query
 from oddsloom.sources import readers
@@ -15,16 +15,15 @@ from oddsloom.streaming import normalise
 @query(with_views("rates") + _MATRIX + """, w AS (SELECT match_id, h, a, p*exp(0.6*CASE WHEN h > a THEN 0.2 WHEN h = a THEN -0.1 ELSE -0.1 END::DOUBLE) AS w FROM matrix), n AS (SELECT *, w/sum(w) OVER (PARTITION BY match_id) AS p FROM w)
  SELECT match_id, round(sum(p) FILTER (h > a), 6) AS p_home, round(sum(p) FILTER (h = a), 6) AS p_draw FROM n GROUP BY 1""")
 def reweighted_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = pricing.reweighted(scores.score_matrix(rates(spark, sf_dir)), {"home": 0.2, "draw": -0.1, "away": -0.1}, 0.6)
-    return scores.score_marginals(rows).select("match_id", "p_home", "p_draw")
+    rows = model.reweighted_outcomes(rates(spark, sf_dir), {"home": 0.2, "draw": -0.1, "away": -0.1}, 0.6)
+    return rows.select("match_id", F.round("p_home", 6).alias("p_home"), F.round("p_draw", 6).alias("p_draw"))
 
 
 @query(with_views("rates").replace("rates AS (", "base AS (", 1) + "".join(f", {n} AS (WITH rates AS (SELECT match_id, lh*{f}::DOUBLE AS lh, la*{f}::DOUBLE AS la, rho FROM base){_MATRIX} SELECT * FROM matrix)" for n, f in (("mid", "1.0"), ("lo", "0.65"), ("hi", "1.45"))) + """, u AS (SELECT match_id, h, a, p*0.9 AS p FROM mid UNION ALL SELECT match_id, h, a, p*0.05 FROM lo UNION ALL SELECT match_id, h, a, p*0.05 FROM hi), m AS (SELECT match_id, h, a, sum(p) AS p FROM u GROUP BY ALL)
  SELECT match_id, round(sum(p) FILTER (h > a), 6) AS p_home, round(sum(p) FILTER (h + a > 2), 6) AS p_over25 FROM m GROUP BY 1""")
 def dispersion_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = rates(spark, sf_dir)
-    at = lambda f: scores.score_matrix(base.withColumns({"lh": F.col("lh") * f, "la": F.col("la") * f}))
-    return scores.score_marginals(pricing.mixed(at(1.0), at(0.65), at(1.45), 0.10)).select("match_id", "p_home", "p_over25")
+    rows = model.mixed_marginals(rates(spark, sf_dir), 0.65, 1.45, 0.10)
+    return rows.select("match_id", F.round("p_home", 6).alias("p_home"), F.round("p_over25", 6).alias("p_over25"))
 
 
 @query("""WITH r AS (SELECT p_partkey AS id, (0.8 + p_size % 9 / 10)::DOUBLE AS hf, (0.7 + p_size % 7 / 10)::DOUBLE AS ha, (0.6 + p_partkey % 11 / 10)::DOUBLE AS af, (0.9 + p_partkey % 5 / 10)::DOUBLE AS aa, (p_partkey % 7 - 3) / 20 AS adj FROM part)
