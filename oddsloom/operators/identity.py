@@ -144,20 +144,36 @@ def events_of_pairs(targets: DataFrame, markets: DataFrame, hours: float = 18.0)
     """
     width = int(hours * 3600)
     seconds = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
-    t = targets.select("id", fold("home").alias("h"), fold("away").alias("a"), seconds("kickoff").alias("t1")).where("h <> '' and a <> ''")
-    t = t.withColumn("label", F.explode(F.array(*[F.concat("h", F.lit(by), "a") for by in (" vs ", " v ")])))
-    m = markets.where("coalesce(group_id, '') <> ''").select(F.col("group_id").cast("string").alias("group_id"), F.split(fold("title"), " ").alias("w"), seconds("at").alias("t2"), F.coalesce("liquidity", F.lit(0.0)).alias("liquidity"), F.monotonically_increasing_id().alias("market"))
+    # Equal names and equal titles are folded once; what is met several times is kept.
+    sides = targets.select("home", "away").distinct().select("home", "away", fold("home").alias("h"), fold("away").alias("a"))
+    named = targets.alias("t").join(sides.alias("s"), F.col("t.home").eqNullSafe(F.col("s.home")) & F.col("t.away").eqNullSafe(F.col("s.away")))
+    t = _checkpointed(named.select("t.id", "s.h", "s.a", seconds("t.kickoff").alias("t1")))
+    # Both words between have one length, so a title fits a pair by one beginning at most.
     starts = "filter(transform(w, (x, i) -> if(i > 1 and exists(slice(w, 2, i - 1), y -> y in ('vs', 'v')), array_join(slice(w, 1, i + 1), ' '), null)), x -> x is not null)"
-    m = m.withColumn("label", F.explode(F.expr(starts)))
-    slot = lambda c: F.floor(F.col(c) / width)
-    near = t.where("t1 is not null").withColumn("slot", F.explode(F.array(slot("t1") - 1, slot("t1"), slot("t1") + 1))).join(m.where("t2 is not null").withColumn("slot", slot("t2")), ["label", "slot"]).where(F.abs(F.col("t1") - F.col("t2")) <= width).drop("slot")
-    timeless = t.where("t1 is null").join(m, "label").unionByName(t.where("t1 is not null").join(m.where("t2 is null"), "label"))
-    found = near.unionByName(timeless).dropDuplicates(["id", "market"])
-    groups = found.groupBy("id", "group_id").agg(F.count("*").alias("markets"), F.sum("liquidity").alias("liquidity"), F.min(F.abs(F.col("t1") - F.col("t2"))).alias("apart"))
+    pairs = t.where("h <> '' and a <> ''").select("h", "a").distinct().withColumn("label", F.explode(F.array(*[F.concat("h", F.lit(by), "a") for by in (" vs ", " v ")])))
+    titles = markets.where("coalesce(group_id, '') <> ''").select("title").distinct().withColumn("w", F.split(fold("title"), " ")).withColumn("label", F.explode(F.expr(starts))).join(pairs, "label").select("title", "h", "a")
+    m = markets.where("coalesce(group_id, '') <> ''").select(F.col("group_id").cast("string").alias("group_id"), "title", seconds("at").alias("t2"), F.coalesce("liquidity", F.lit(0.0)).alias("liquidity"))
+    m = _checkpointed(m.join(titles, "title").groupBy("h", "a", "group_id", "t2").agg(F.count("*").alias("markets"), F.sum("liquidity").alias("liquidity")))
+    totals = [F.sum("markets").alias("markets"), F.sum("liquidity").alias("liquidity")]
     # The smallest of negated counts, so that of equal groups the smaller id counts.
-    best = groups.groupBy("id").agg(F.min(F.struct((-F.col("markets")).alias("m"), (-F.round("liquidity", 6)).alias("l"), "group_id", "apart")).alias("b"), F.count("*").alias("groups"))
-    rows = targets.select("id").join(best, "id", "left")
-    return rows.select("id", F.when(F.col("b").isNull(), "no_exact_event").otherwise("exact_event").alias("status"), "b.group_id", (-F.col("b.m")).alias("markets"), F.round(-F.col("b.l"), 6).alias("liquidity"), F.coalesce("groups", F.lit(0)).alias("groups"), F.round(F.col("b.apart") / 3600, 4).alias("hours_apart"))
+    rank = F.struct((-F.col("markets")).alias("m"), (-F.round("liquidity", 6)).alias("l"), "group_id", "apart")
+    best_of = lambda groups, *keys: groups.groupBy(*keys).agg(F.min(rank).alias("b"), F.count("*").alias("groups"))
+    never = F.lit(None).cast("long").alias("apart")
+    # A time is missing: all targets of a pair meet the same markets, which are counted once for the pair.
+    whole = best_of(m.groupBy("h", "a", "group_id").agg(*totals).withColumn("apart", never), "h", "a")
+    timeless = m.where("t2 is null").groupBy("h", "a", "group_id").agg(*totals)
+    standing = best_of(timeless.withColumn("apart", never), "h", "a").select("h", "a", F.col("b").alias("b0"), F.col("groups").alias("g0"))
+    timed = t.where("t1 is not null and h <> '' and a <> ''").select("h", "a", "t1").distinct()
+    slot = lambda c: F.floor(F.col(c) / width)
+    near = timed.withColumn("slot", F.explode(F.array(slot("t1") - 1, slot("t1"), slot("t1") + 1))).join(m.where("t2 is not null").withColumn("slot", slot("t2")), ["h", "a", "slot"]).where(F.abs(F.col("t1") - F.col("t2")) <= width)
+    groups = near.groupBy("h", "a", "t1", "group_id").agg(*totals, F.min(F.abs(F.col("t1") - F.col("t2"))).alias("apart"))
+    both = groups.join(timeless.select("h", "a", "group_id", F.col("markets").alias("m0"), F.col("liquidity").alias("l0")), ["h", "a", "group_id"], "left")
+    both = both.select("h", "a", "t1", "group_id", (F.col("markets") + F.coalesce("m0", F.lit(0))).alias("markets"), (F.col("liquidity") + F.coalesce("l0", F.lit(0.0))).alias("liquidity"), "apart", F.col("m0").isNull().alias("new"))
+    # A group near by has more markets than its timeless ones alone, so those never pass it.
+    close = both.groupBy("h", "a", "t1").agg(F.min(rank).alias("b"), F.count_if("new").alias("groups"))
+    met = t.where("t1 is not null").join(close, ["h", "a", "t1"], "left").join(standing, ["h", "a"], "left").select("id", F.least("b", "b0").alias("b"), (F.coalesce("groups", F.lit(0)) + F.coalesce("g0", F.lit(0))).alias("groups"))
+    rows = met.unionByName(t.where("t1 is null").join(whole, ["h", "a"], "left").select("id", "b", F.coalesce("groups", F.lit(0)).alias("groups")))
+    return rows.select("id", F.when(F.col("b").isNull(), "no_exact_event").otherwise("exact_event").alias("status"), "b.group_id", (-F.col("b.m")).alias("markets"), F.round(-F.col("b.l"), 6).alias("liquidity"), "groups", F.round(F.col("b.apart") / 3600, 4).alias("hours_apart"))
 
 
 #: Fixed value: the mean ratio of both names from which a pair counts as the same.

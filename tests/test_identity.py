@@ -100,3 +100,19 @@ def test_alike_pairs_equal_all_pairs(spark):
     every = [{n for _, h, a in side for n in (h, a)} for side in (left, right)]
     assert got == {(x, y) for x in every[0] for y in every[1] if ratio(x, y) >= 0.72}
     assert spark.createDataFrame([], shape).select(F.count("*")).first()[0] == 0
+
+
+def test_events_of_a_crowded_pair(spark):
+    """Many targets and many markets without a time: counted once for the pair, never target by target."""
+    n = 30_000
+    t = datetime(2024, 6, 1, 18)
+    targets = spark.range(n).selectExpr("id", "'Spain' as home", "'Italy' as away", f"if(id % 100 = 0, null, timestamp'{t}' + make_interval(0, 0, 0, 0, int(id % 50))) as kickoff")
+    markets = spark.range(n).selectExpr("concat('g', id % 3) as group_id", "'Spain vs Italy' as title", "cast(null as timestamp) as at", "1D as liquidity")
+    near = spark.createDataFrame([("g1", "Spain v Italy", t, 1.0), ("g9", "SPAIN vs Italy - x", t, 7.0)], "group_id string, title string, at timestamp, liquidity double")
+    for r in identity.events_of_pairs(targets, markets.union(near)).where("id < 600").collect():
+        if r["id"] % 100 == 0:
+            assert tuple(r)[2:] == ("g1", n // 3 + 1, n / 3 + 1, 4, None)
+        elif r["id"] % 50 <= 18:
+            assert tuple(r)[2:] == ("g1", n // 3 + 1, n / 3 + 1, 4, r["id"] % 50)
+        else:
+            assert tuple(r)[2:] == ("g0", n // 3, n / 3, 3, None)
