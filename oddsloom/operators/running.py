@@ -84,12 +84,12 @@ def next_value(events: DataFrame, probes: DataFrame, key: str, us: str, value: s
     both = events.select(key, us, F.struct(F.col(us).alias("us"), F.col(value).alias("v")).alias("_e"), F.lit(None).cast(probes.select(F.struct(*own).alias("s")).schema["s"].dataType).alias("_p"))
     both = both.unionByName(probes.select(key, us, F.lit(None).cast(both.schema["_e"].dataType).alias("_e"), F.struct(*own).alias("_p")))
     cut = sliced(both, key, us, slice_rows)
-    # At one time probes stand before events.
-    onward = Window.partitionBy(key, "slice").orderBy(us, F.col("_e").isNotNull(), F.col("_e.v")).rowsBetween(0, Window.unboundedFollowing)
-    cut = cut.withColumn("_next", F.first("_e", ignorenulls=True).over(onward))
+    # From the latest back, as a frame that follows would be read anew for each row; at one time events stand before probes.
+    back = Window.partitionBy(key, "slice").orderBy(F.desc(us), F.col("_e").isNotNull().desc(), F.desc("_e.v")).rowsBetween(Window.unboundedPreceding, 0)
+    cut = cut.withColumn("_next", F.last("_e", ignorenulls=True).over(back))
     states = cut.where("_e is not null").groupBy(key, "slice").agg(F.min("_e").alias("_e"))
     every = cut.select(key, "slice").distinct().join(states.select(F.col(key).alias("_key"), F.col("slice").alias("_slice"), "_e"), F.col(key).eqNullSafe(F.col("_key")) & (F.col("slice") == F.col("_slice")), "left").drop("_key", "_slice")
-    later = Window.partitionBy(key).orderBy("slice").rowsBetween(1, Window.unboundedFollowing)
-    carry = every.select(F.col(key).alias("_key"), F.col("slice").alias("_slice"), F.first("_e", ignorenulls=True).over(later).alias("_later"))
+    later = Window.partitionBy(key).orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)
+    carry = every.select(F.col(key).alias("_key"), F.col("slice").alias("_slice"), F.last("_e", ignorenulls=True).over(later).alias("_later"))
     found = _with_carry(cut.where("_p is not null"), carry, key).withColumn("_next", F.coalesce("_next", "_later"))
     return found.select(key, us, "_p.*", F.col("_next.us").alias("next_us"), F.col("_next.v").alias("next_value"))

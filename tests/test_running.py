@@ -64,3 +64,11 @@ def test_next_value(spark, rows, size):
         told = sorted((t, float(i)) for _, i, t, _, _ in own if i % 3 == 0)
         for _, i, t, _, _ in own:
             assert found[i] == next(((u, v) for u, v in told if u >= t - 7 * running.UNIT), (None, None))
+
+
+def test_next_value_reads_each_row_once(spark):
+    """No frame reaches forward to a slice's end: Spark reads such a frame anew for each row."""
+    events = spark.range(100).selectExpr("id % 2 as k", "id as us", "id as v")
+    plan = running.next_value(events, events.selectExpr("k", "us - 5 as us", "v as own"), "k", "us", "v", 20)
+    assert "unboundedfollowing" not in plan._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert all(r["next_us"] == max(r["us"], r["own"] % 2) for r in plan.collect() if r["us"] % 2 == r["own"] % 2) and plan.count() == 100
