@@ -123,3 +123,8 @@ def test_lines_from_running_sums_equal_a_grid(spark):
         found, wanted = (sorted(map(tuple, f.select("match_id", "line", "full_win", "half_win", "push", "half_loss", "full_loss", "net_at_2").collect())) for f in (model.settle_lines(rates, given, kind), scores.settle_lines(matrix, given, kind)))
         assert all(abs(x - y) < 2e-6 for f, w in zip(found, wanted) for x, y in zip(f, w))
     assert sorted(map(tuple, model.fair_line(rates).collect())) == sorted(map(tuple, scores.fair_line(matrix).collect()))
+
+
+def test_outcomes_equal_but_for_their_last_bit_go_by_order(spark):
+    rows = spark.createDataFrame([(0.4, 0.2, 0.4 + 1e-16), (0.3, 0.35, 0.35 + 6e-17), (0.2, 0.3, 0.5)], "home double, draw double, away double").select(F.struct("home", "draw", "away").alias("o"))
+    assert [r[0] for r in rows.select(F.expr(automodel.first_of("o"))).collect()] == ["home", "draw", "away"]
