@@ -128,3 +128,10 @@ def test_lines_from_running_sums_equal_a_grid(spark):
 def test_outcomes_equal_but_for_their_last_bit_go_by_order(spark):
     rows = spark.createDataFrame([(0.4, 0.2, 0.4 + 1e-16), (0.3, 0.35, 0.35 + 6e-17), (0.2, 0.3, 0.5)], "home double, draw double, away double").select(F.struct("home", "draw", "away").alias("o"))
     assert [r[0] for r in rows.select(F.expr(automodel.first_of("o"))).collect()] == ["home", "draw", "away"]
+
+
+def test_half_places_of_candidates_go_up(spark):
+    parts = ", ".join(f"'{n}', {v}D" for n, v in zip(automodel.WEIGHTS, (0.49334999999999996, 0.18, 0.14, 0.08, 0.1, 0.0143, 0.0)))
+    rows = spark.sql(f"select 1 as match_id, array(named_struct('place', 1, 'h', 2, 'a', 1, 'p', 0.1D, 'utility', 0.5111585D, 'components', named_struct({parts}), 'decision', 'rejected')) as candidates")
+    found = automodel.candidate_rows(rows).first()
+    assert (found["matrix"], found["utility"]) == (0.4934, 0.511159)
