@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oddsloom.operators import payloads
-from oddsloom.plans.adapters import table
+from oddsloom.plans.adapters import dealt, table
 from oddsloom.plans.catalog import query
 
 _SELECTIONS = """'[{"obv":"1","oid":"o1","os":1,"ot":"1","ov":"' || (100000 + event_id % 97 * 1000) || '","ov2":"' || (event_id % 97) / 100 || '"},{"oid":"o2","os":' || event_id % 3 || ',"ot":"' || event_id % 4 || ':1","ov":"' || (event_id % 5 - 1) * 70000 || '","ov2":"-2.5"}]'"""
@@ -19,7 +19,8 @@ _TEXT = f"CASE event_id % 3 WHEN 0 THEN {_TYPED} WHEN 1 THEN '{{\"d\":' || {_TYP
 
 
 def told(spark: SparkSession, sf_dir: str, text: str = _TEXT) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", F.expr(text).alias("payload"))
+    """Payloads take much work each, so events are dealt over tasks while they are small."""
+    return dealt(table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", "props"), "event_id").select("event_id", F.expr(text).alias("payload"))
 
 
 _P = f"WITH p AS (SELECT event_id, {_TEXT} AS payload FROM events), tree AS (SELECT event_id, t.key, t.value, t.type, t.fullkey FROM p, json_tree(p.payload) t)"
