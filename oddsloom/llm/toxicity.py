@@ -4,7 +4,9 @@ A disguised word is read as what a writer might have meant: digits and signs
 that stand for letters, letters written several times, letters set apart by
 signs or spaces. These readings form a lattice of characters; Viterbi decoding
 under a character trigram model of the corpus picks one. The score is a
-logistic model on the distinct restored words of a text.
+logistic model on the distinct restored words of a text, and on the beginnings
+that several of them share: a family of words is known where none of its
+members is frequent.
 
 The character model counts all texts. The logistic model learns from at most
 ``TRAIN_ROWS`` labelled rows outside the held-out fold (those with the
@@ -21,7 +23,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import OrderedDict
+from collections import Counter, OrderedDict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -39,6 +41,8 @@ FEATURES = 256
 LEAST_G = 60.0
 LEAST_DOCS = 5
 FOLDS = 5
+#: Lengths of beginnings, and how many distinct words of a text must share one.
+BEGINNINGS, SHARED = (4, 6), 2
 
 #: Letters that a digit or sign is written for.
 READINGS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e"}
@@ -208,6 +212,12 @@ def row_words(forms: list[str], codes: np.ndarray, offsets: np.ndarray, runs: li
     return found
 
 
+def beginnings(words: set[str]) -> list[str]:
+    """Beginnings that are shared by ``SHARED`` of the words; a space at the end tells them from words."""
+    seen = Counter(w[:k] for k in BEGINNINGS for w in words if len(w) >= k)
+    return [f"{b} " for b, n in seen.items() if n >= SHARED]
+
+
 def training_sample(labels: DataFrame, id_column: str, label_column: str, rows: int) -> DataFrame:
     """At most ``rows`` labelled ids outside the held-out fold, those with the smallest hash."""
     known = labels.select(F.col(id_column).cast("long").alias("id"), F.col(label_column).cast("int").alias("y")).where("id is not null and y in (0, 1)")
@@ -215,16 +225,18 @@ def training_sample(labels: DataFrame, id_column: str, label_column: str, rows:
     return known.orderBy(F.xxhash64("id"), "id").limit(rows)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.002, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Logistic regression with an L1 penalty, by accelerated proximal gradient; weights are not negative."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.0001, steps: int = 1000) -> tuple[np.ndarray, float]:
+    """Logistic regression with an L1 penalty, by accelerated proximal gradient; weights are not negative. Equal rows, nearly all, count as one."""
     n, k = x.shape
     bias = math.log((y.sum() + 1) / (n - y.sum() + 1))
+    rows, times = np.unique(np.column_stack([x, y]), axis=0, return_counts=True)
+    x, y = rows[:, :-1], rows[:, -1]
     weights, step = np.zeros(k), 4.0 / max(1.0, float((x.sum(axis=1) + 1).max()))
     z, zb, t = weights, bias, 1.0
     for _ in range(steps):
-        residual = 1 / (1 + np.exp(-(x @ z + zb))) - y
+        residual = (1 / (1 + np.exp(-(x @ z + zb))) - y) * times
         w = np.maximum(0.0, z - step * (x.T @ residual / n + penalty))
-        b = zb - step * residual.mean()
+        b = zb - step * residual.sum() / n
         s = (1 + math.sqrt(1 + 4 * t * t)) / 2
         z, zb = w + (t - 1) / s * (w - weights), b + (t - 1) / s * (b - bias)
         weights, bias, t = w, b, s
@@ -242,10 +254,11 @@ def learn(documents: DataFrame, labels: DataFrame, model: np.ndarray, id_column:
         restorer = Restorer(shared.value)
         for batch in batches:
             for part in at.slices(batch, "text"):
-                sets = row_words(*restored(part.column("text"), restorer))
+                forms, codes, offsets, runs = restored(part.column("text"), restorer)
+                sets, starts = row_words(forms, codes, offsets, runs), map(beginnings, row_words(forms, codes, offsets, []))
                 # One digest for texts with the same set of words.
                 keys = [hash_of(s) for s in sets]
-                yield pa.record_batch({"key": pa.array(keys, pa.int64()), "y": part.column("y"), "words": pa.array([sorted(s - {""}) for s in sets], pa.list_(pa.string()))})
+                yield pa.record_batch({"key": pa.array(keys, pa.int64()), "y": part.column("y"), "words": pa.array([sorted((s | set(b)) - {""}) for s, b in zip(sets, starts)], pa.list_(pa.string()))})
 
     kept = texts.mapInArrow(words, "key long, y int, words array<string>").groupBy("key").agg(F.max("y").alias("y"), F.min("words").alias("words"))
     kept = written(kept, "toxicity-words")
@@ -299,6 +312,12 @@ def toxicity_scorer(documents: DataFrame, labels: DataFrame, id_column: str = "d
             feature = of_word[codes] if len(codes) else codes
             hits = set(zip(rows[feature >= 0].tolist(), feature[feature >= 0].tolist())) if len(codes) else set()
             hits |= {(row, known[w]) for row, text in runs for w in known if w in text}
+            for k in BEGINNINGS:
+                of_start = np.fromiter((known.get(f"{f[:k]} ", -1) if len(f) >= k else -1 for f in forms), dtype=np.int64, count=len(forms))
+                held = np.flatnonzero(of_start[codes] >= 0) if len(codes) else codes
+                # Distinct words of each row and beginning: written otherwise, a word is the same.
+                distinct = {(row, int(of_start[c]), forms[c]) for row, c in zip(rows[held].tolist(), codes[held].tolist())}
+                hits |= {x for x, n in Counter(d[:2] for d in distinct).items() if n >= SHARED}
             total = [base] * len(texts)
             for row, f in hits:
                 total[row] += value[f]

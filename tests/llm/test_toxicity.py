@@ -109,3 +109,25 @@ def test_viterbi_against_all_readings():
             best.append((score + restorer.model[a][b][0], text))
         top = max(s for s, _ in best)
         assert restorer.decode(word) in {t for s, t in best if s >= top - 1e-9}
+
+
+def test_families_of_rare_words(spark, prose):
+    """No word of the family is frequent; a text with several of them is toxic, one with a single one is not."""
+    rows, labels = [], []
+    for i in range(400):
+        family = [f"gromble{prose(1000 + 7 * i + k, 1)}" for k in range(4 if i % 8 == 0 else i % 5 == 0)]
+        rows.append((i, " ".join([prose(i, 50), *family])))
+        labels.append((i, int(i % 8 == 0)))
+    new = [(1000, f"{prose(5, 30)} Grombleax, {prose(6, 5)} gromblety"), (1001, f"{prose(7, 30)} gromblesk"), (1002, f"{prose(7, 30)} gromblesk Gromblesk, gromblesk!")]
+    docs = spark.createDataFrame(rows + new, "doc_id long, text string").repartition(3)
+    found = {r["id"]: r["predicted"] for r in tx.score_toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    assert all(found[i] == (i % 8 == 0) for i in range(400))
+    assert [found[i] for i in (1000, 1001, 1002)] == [1, 0, 0]
+
+
+def test_most_toxic_rows_are_found(spark):
+    """Of the given tables' held-out rows, at the threshold that the pipeline drops rows by."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    found = tx.score_toxicity(docs, labels).where("held_out").join(labels.withColumnRenamed("doc_id", "id"), "id").join(docs.selectExpr("doc_id as id", "lang"), "id")
+    shares = {(r["lang"], r["toxic"]): r["share"] for r in found.groupBy("lang", "toxic").agg({"predicted": "avg"}).withColumnRenamed("avg(predicted)", "share").collect()}
+    assert all(shares[lang, 1] >= 0.75 and shares[lang, 0] <= 0.02 for lang in ("de", "en", "es", "fr"))
