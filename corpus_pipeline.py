@@ -31,7 +31,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no known language go. ``lang`` counts as declared, ``source`` as host."""
+    """Documents in no known language go, and those in another one than they declare. ``lang`` counts as declared, ``source`` as host."""
     return in_known_language(docs, *learn_languages(docs))
 
 

@@ -234,7 +234,13 @@ def identify_pages(pages: DataFrame, langs: list[str], model: np.ndarray) -> Dat
 
 
 def in_known_language(documents: DataFrame, langs: list[str], model: np.ndarray, text_column: str = "text", declared_column: str = "lang", host_column: str = "source") -> DataFrame:
-    """The rows of ``documents`` whose language is one of ``langs``; rejected are those that answer ``und`` and declare none of ``langs``."""
+    """The rows of ``documents`` in one of ``langs``, declared rightly.
+
+    Rejected are those that answer ``und`` and declare none of ``langs``, and
+    those that declare one of ``langs`` while all evidence, the declaration
+    itself included, answers another one. A text that says too little to
+    answer otherwise stays as declared.
+    """
     if not langs:  # nothing to tell languages by
         return documents
     # The given row stays whole in one column, whatever its columns are called.
@@ -248,7 +254,7 @@ def in_known_language(documents: DataFrame, langs: list[str], model: np.ndarray,
         evidence(F.col(text_column).cast("string")).alias("_evidence"),
     )
     rows = Fusion(rows.drop("_given"), langs).posterior(rows)
-    return rows.where((F.col("lang") != UNKNOWN) | F.coalesce(F.col("declared").isin(langs), F.lit(False))).select("_given.*")
+    return rows.where(F.when(F.coalesce(F.col("declared").isin(langs), F.lit(False)), F.col("lang").isin(UNKNOWN, F.col("declared"))).otherwise(F.col("lang") != UNKNOWN)).select("_given.*")
 
 
 def op5_language_id(spark, sf_dir: str) -> DataFrame:

@@ -64,6 +64,14 @@ def test_declared_known_language_is_never_rejected(spark):
     assert [r["doc_id"] for r in li.in_known_language(labelled(spark).union(extra), langs, model).where("doc_id >= 200").collect()] == [200]
 
 
+def test_wrongly_declared_languages_are_rejected(spark):
+    """By all evidence in another known language than declared; texts that say little, and unknown declarations, change nothing."""
+    langs, model = li.learn_languages(labelled(spark))
+    extra = spark.createDataFrame([(200, EN, "de", None, None), (201, DE, "EN ", None, None), (202, EN, "zz", None, None), (203, "", "de", None, None), (204, None, "de", None, None), (205, "A.", "de", None, None), (206, DE, None, None, None), (207, EN, " En", None, None)], DOCS)
+    kept = {r["doc_id"] for r in li.in_known_language(labelled(spark).union(extra), langs, model).collect()}
+    assert kept == {*range(60), *range(202, 208)}
+
+
 def test_empty_and_unlabelled(spark):
     none = spark.createDataFrame([], DOCS)
     langs, model = li.learn_languages(none)
