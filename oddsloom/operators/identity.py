@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import difflib
 import html
 import re
 import unicodedata
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from oddsloom.functions.parse import compact_name
 from oddsloom.functions.text import fold, normal_name
@@ -180,34 +183,53 @@ def events_of_pairs(targets: DataFrame, markets: DataFrame, hours: float = 18.0)
 ALIKE = 0.72
 
 
-def _characters(name: str) -> str:
-    """A name's characters, each with how often it stood before: two names share as many of these as a ratio can match."""
-    return f"transform(split({name}, ''), (c, i) -> concat(c, size(filter(slice(split({name}, ''), 1, i), x -> x = c))))"
+#: Names of a block. Two blocks meet in a matrix of this size squared, whatever the number of names.
+BLOCK = 1000
+
+
+def _blocks(names: DataFrame, k: int) -> DataFrame:
+    """Distinct names in blocks of about ``BLOCK``, of one length each: ``name, bits`` as arrays, and the length."""
+    signed = _checkpointed(held(names.select("name").where("name <> ''").distinct(), {"bits": signature(F.col("name"))}).withColumn("n", F.length("name")))
+    sizes = signed.groupBy("n").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    dealt = signed.join(F.broadcast(sizes), "n").withColumn("block", F.pmod(F.xxhash64("name"), F.col("blocks")))
+    return dealt.groupBy("n", "block").agg(F.collect_list(F.struct("name", "bits")).alias("x")).select(F.col("n").alias(f"s{k}"), F.col("x.name").alias(f"n{k}"), F.col("x.bits").alias(f"b{k}"))
 
 
 def alike_names(left: DataFrame, right: DataFrame, least: float = ALIKE) -> DataFrame:
     """``(l, r, ratio)`` of distinct names whose ratio is at least ``least``; both sides have a column ``name``.
 
-    A ratio matches no more characters than the names have in common, so for a
-    ratio ``t`` one of a name's rarest characters must be shared: of ``n``
-    characters the ``n - ceil(t n / (2 - t)) + 1`` rarest. Names meet on those
-    and within the lengths that ``t`` allows; bounds drop most of the rest
-    before any ratio is taken, once for each pair of names.
+    Names are dealt into blocks of one length, and each two blocks whose
+    lengths allow the ratio meet in one row. There the bound of ``ratio_bound``
+    is taken for all their pairs at once, from a signature made once a name;
+    the ratio only of the few pairs that it leaves. Pairs are met once, nothing
+    but blocks is shuffled, and no more than two blocks are held at a time.
     """
-    a, b = (side.select("name").where("name <> ''").distinct().withColumn("n", F.length("name")).withColumn("chars", F.expr(_characters("name"))) for side in (left, right))
-    counts = a.select(F.explode("chars").alias("c")).union(b.select(F.explode("chars").alias("c"))).groupBy("c").agg(F.count("*").alias("f"))
 
-    def rarest(side: DataFrame, k: int) -> DataFrame:
-        known = side.select("name", "n", F.explode("chars").alias("c")).join(counts, "c")
-        place = F.row_number().over(Window.partitionBy("name").orderBy("f", "c"))
-        # A shade less than the bound, so that no rounding drops a pair.
-        kept = F.col("n") - F.ceil(F.col("n") * (least / (2 - least)) - 1e-9) + 1
-        return known.withColumn("place", place).where(F.col("place") <= kept).select("c", F.col("name").alias(f"n{k}"), F.col("n").alias(f"s{k}"))
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = difflib.SequenceMatcher(None)
+        for batch in batches:
+            for row in range(batch.num_rows):
+                (n, m), names, bits = ([batch.column(f"{c}{k}")[row] for k in (1, 2)] for c in "snb")
+                n, m, names = n.as_py(), m.as_py(), [x.as_py() for x in names]
+                a, b = (x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in bits)
+                lost = [np.bitwise_count(a[:, None] & ~b), np.bitwise_count(~a[:, None] & b)]
+                could = 2.0 * np.minimum(n - lost[0].astype(int), m - lost[1]) / (n + m) >= least - 1e-9
+                found = []
+                # The matcher keeps what it knows of its second text.
+                for j in np.flatnonzero(could.any(axis=0)):
+                    matcher.set_seq2(names[1][j])
+                    for i in np.flatnonzero(could[:, j]):
+                        matcher.set_seq1(names[0][i])
+                        ratio = matcher.ratio()
+                        if ratio >= least:
+                            found.append((names[0][i], names[1][j], ratio))
+                l, r, ratio = zip(*found) if found else ((), (), ())
+                yield pa.record_batch({"l": pa.array(l, pa.string()), "r": pa.array(r, pa.string()), "ratio": pa.array(ratio, pa.float64())})
 
     fits = (F.col("s1") * (2 - least) >= F.col("s2") * least - 1e-9) & (F.col("s2") * (2 - least) >= F.col("s1") * least - 1e-9)
-    pairs = rarest(a, 1).join(rarest(b, 2), "c").where(fits).select("n1", "n2").distinct()
-    bounded = pairs.where(ratio_bound(F.col("n1"), F.col("n2"), signature(F.col("n1")), signature(F.col("n2"))) >= least - 1e-9)
-    return bounded.select(F.col("n1").alias("l"), F.col("n2").alias("r"), sequence_ratio(F.col("n1"), F.col("n2")).alias("ratio")).where(F.col("ratio") >= least)
+    met = _blocks(left, 1).join(_blocks(right, 2), fits)
+    tasks = max(int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")), 3 * met.sparkSession.sparkContext.defaultParallelism)
+    return met.repartition(tasks).mapInArrow(meet, "l string, r string, ratio double")
 
 
 def alike_pairs(left: DataFrame, right: DataFrame, least: float = ALIKE) -> DataFrame:
@@ -215,25 +237,27 @@ def alike_pairs(left: DataFrame, right: DataFrame, least: float = ALIKE) -> Data
 
     The score is the mean of both names' ratios. It reaches ``least`` only if
     one of the ratios does, so pairs meet through alike home names or alike
-    away names; the other ratio is taken once for each pair of names. Equal
-    scores go to the smaller id. Rows with equal pairs are looked up once.
+    away names; the other ratio is taken where its bound, from signatures made
+    once a pair, can make up the rest. Equal scores go to the smaller id. Rows
+    with equal pairs are looked up once, and those with a same pair on the
+    right need no alike one.
     """
-    a = left.select("home", "away").distinct()
-    b = right.groupBy("home", "away").agg(F.min("id").alias("right_id"))
-    one, two = a.select(F.col("home").alias("h1"), F.col("away").alias("a1")), b.select(F.col("home").alias("h2"), F.col("away").alias("a2"), "right_id")
-    same = one.join(two, (F.col("h1") == F.col("h2")) & (F.col("a1") == F.col("a2")))
-    exact = same.select("h1", "a1", "right_id", F.lit(1.0).alias("score"), F.lit("exact").alias("basis"))
+    bits = lambda k: {f"{x}b{k}": signature(F.col(f"{x}{k}")) for x in "ha"}
+    a = left.select(F.col("home").alias("h1"), F.col("away").alias("a1")).distinct()
+    b = right.groupBy(F.col("home").alias("h2"), F.col("away").alias("a2")).agg(F.min("id").alias("right_id"))
+    two = _checkpointed(held(b, bits(2)))
+    named = _checkpointed(a.join(two.select(F.col("h2").alias("h1"), F.col("a2").alias("a1"), "right_id", F.lit(True).alias("same")), ["h1", "a1"], "left"))
+    exact = named.where("same").select("h1", "a1", "right_id", F.lit(1.0).alias("score"), F.lit("exact").alias("basis"))
+    one = _checkpointed(held(named.where("same is null").select("h1", "a1"), bits(1)))
     names = lambda rows, c: rows.select(F.col(c).alias("name"))
-    met = []
+    found = exact
     for x, y in (("h", "a"), ("a", "h")):
-        strong = alike_names(names(one, f"{x}1"), names(two, f"{x}2"), least).select(F.col("l").alias(f"{x}1"), F.col("r").alias(f"{x}2"), F.col("ratio").alias(f"r{x}"))
-        pairs = one.join(strong, f"{x}1").join(two, f"{x}2")
+        strong = alike_names(names(one, f"{x}1"), names(two, f"{x}2"), least).select(F.col("l").alias(f"{x}1"), F.col("r").alias(f"{x}2"), F.col("ratio").alias("rx"))
+        pairs = one.join(_checkpointed(strong), f"{x}1").join(two, f"{x}2")
         # The other ratio must make up the rest.
-        other = ratio_bound(F.col(f"{y}1"), F.col(f"{y}2"), signature(F.col(f"{y}1")), signature(F.col(f"{y}2")))
-        met.append(pairs.where((F.col(f"r{x}") + other) / 2 >= least - 1e-9).select("h1", "a1", "h2", "a2", "right_id"))
-    pairs = met[0].union(met[1]).distinct()
-    ratios = {x: pairs.select(F.col(f"{x}1").alias("l"), F.col(f"{x}2").alias("r")).distinct().select(F.col("l").alias(f"{x}1"), F.col("r").alias(f"{x}2"), sequence_ratio(F.col("l"), F.col("r")).alias(f"r{x}")) for x in "ha"}
-    judged = pairs.join(ratios["h"], ["h1", "h2"]).join(ratios["a"], ["a1", "a2"]).withColumn("score", (F.col("rh") + F.col("ra")) / 2).where(F.col("score") >= least)
-    alike = judged.select("h1", "a1", "right_id", "score", F.lit("alike").alias("basis"))
-    best = exact.union(alike).groupBy("h1", "a1").agg(F.min(F.struct((F.col("basis") != "exact").alias("later"), (-F.round("score", 9)).alias("s"), "right_id", "basis")).alias("b"))
+        other = ratio_bound(F.col(f"{y}1"), F.col(f"{y}2"), F.col(f"{y}b1"), F.col(f"{y}b2"))
+        close = pairs.where((F.col("rx") + other) / 2 >= least - 1e-9)
+        judged = close.select("h1", "a1", "right_id", ((F.col("rx") + sequence_ratio(F.col(f"{y}1"), F.col(f"{y}2"))) / 2).alias("score")).where(F.col("score") >= least)
+        found = found.union(judged.select("h1", "a1", "right_id", "score", F.lit("alike").alias("basis")))
+    best = found.groupBy("h1", "a1").agg(F.min(F.struct((F.col("basis") != "exact").alias("later"), (-F.round("score", 9)).alias("s"), "right_id", "basis")).alias("b"))
     return left.join(best, (F.col("home") == F.col("h1")) & (F.col("away") == F.col("a1")), "left").select(F.col("id").alias("left_id"), F.col("b.right_id").alias("right_id"), F.round(-F.col("b.s"), 6).alias("score"), F.coalesce("b.basis", F.lit("none")).alias("basis"))

@@ -116,3 +116,15 @@ def test_events_of_a_crowded_pair(spark):
             assert tuple(r)[2:] == ("g1", n // 3 + 1, n / 3 + 1, 4, r["id"] % 50)
         else:
             assert tuple(r)[2:] == ("g0", n // 3, n / 3, 3, None)
+
+
+def test_alike_names_in_many_blocks(spark, monkeypatch):
+    """Each two blocks meet once, and no pair is lost between them; empty and missing names meet nothing."""
+    monkeypatch.setattr(identity, "BLOCK", 3)
+    r = random.Random(4)
+    sides = [[*{"".join(r.choice("abcé") for _ in range(r.randrange(1, 9))) for _ in range(40)}, "", None] for _ in range(2)]
+    frames = [spark.createDataFrame([(n,) for n in side * 2], "name string") for side in sides]
+    found = [(x["l"], x["r"], x["ratio"]) for x in identity.alike_names(*frames).collect()]
+    ratio = lambda a, b: difflib.SequenceMatcher(None, a, b).ratio()
+    assert len(found) == len(set(found))
+    assert set(found) == {(x, y, ratio(x, y)) for x in sides[0] if x for y in sides[1] if y if ratio(x, y) >= 0.72}
