@@ -1,6 +1,7 @@
 """The automatic model on known inputs, and its grid search against plain loops."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -135,3 +136,16 @@ def test_half_places_of_candidates_go_up(spark):
     rows = spark.sql(f"select 1 as match_id, array(named_struct('place', 1, 'h', 2, 'a', 1, 'p', 0.1D, 'utility', 0.5111585D, 'components', named_struct({parts}), 'decision', 'rejected')) as candidates")
     found = automodel.candidate_rows(rows).first()
     assert (found["matrix"], found["utility"]) == (0.4934, 0.511159)
+
+
+def test_line_sums_against_plain_sums(spark):
+    """Running sums of whole grids in batches; a match needs its cells only, no markets or candidates."""
+    r = random.Random(6)
+    grids = [[r.random() for _ in range(169)] for _ in range(3)]
+    cells = [(i, [(k // 13, k % 13, p) for k, p in enumerate(g)]) for i, g in enumerate(grids)]
+    frame = spark.createDataFrame(cells, "match_id int, cells array<struct<h: int, a: int, p: double>>").repartition(2)
+    for row in automodel.line_sums(frame).collect():
+        g = grids[row["match_id"]]
+        assert row["upto_difference"] == pytest.approx([sum(p for k, p in enumerate(g) if k // 13 - k % 13 < d) for d in range(-12, 14)])
+        assert row["upto_total"] == pytest.approx([sum(p for k, p in enumerate(g) if k // 13 + k % 13 < n) for n in range(26)])
+    assert automodel.line_sums(frame.where("false")).count() == 0
