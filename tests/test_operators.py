@@ -134,6 +134,32 @@ def test_resolution_against_all_pairs(spark):
     assert got == wanted and len({s for _, s in wanted.values()}) >= 3
 
 
+def test_crowded_buckets_hand_on_alike_pairs_alone(spark, monkeypatch):
+    """Names that end in long numbers: parts, borders of buckets and bounds lose no pair, and what can't be alike never becomes a row."""
+    import difflib
+    import random
+
+    monkeypatch.setattr(resolve, "PART", 40)
+    monkeypatch.setattr(resolve, "COLUMNS", 16)
+    r = random.Random(7)
+    name = lambda k: f"{k} {r.randrange(10**10)}"
+    near = lambda x: x[: (k := r.randrange(len(x)))] + r.choice("0123456789") * r.randrange(2) + x[k + r.randrange(3) :]
+    a = [(i, name("club"), name("team"), r.randrange(0, 2 * 32 * 180 * 60)) for i in range(300)]
+    a += [(300, "上" * 70 + "海", "ab", 0), (301, "", "x", 0), (302, None, "x", 0), (303, "x", "x", None), (304, "club 12345", "𝒳𝒴𝒵 1", 0)]
+    b = [(f"{i} {n}", near(h) if h else h, w if r.random() < 0.5 else near(w), t if t is None else t + r.randrange(-11000, 11001)) for i, h, w, t in a for n in range(2)]
+    kind = lambda k, of: f"id{k} {of}, h{k} string, a{k} string, t{k} long"
+    found = resolve.near_pairs(spark.createDataFrame(a, kind(1, "int")), spark.createDataFrame(b, kind(2, "string")), 180).collect()
+    got = [(x["id1"], x["id2"], x["h1"], x["h2"], x["t1"] - x["t2"]) for x in found]
+
+    def alike(x, y):
+        return x in y or y in x or difflib.SequenceMatcher(None, x, y).ratio() >= resolve.LEAST_RATIO
+
+    whole = [(x, y) for x in a for y in b if None not in (*x, *y) and abs(x[3] - y[3]) <= 10800]
+    wanted = {(x[0], y[0]) for x, y in whole if alike(x[1], y[1]) and alike(x[2], y[2])}
+    assert wanted <= {g[:2] for g in got} and len(got) == len({g[:2] for g in got}) and all(abs(g[4]) <= 10800 for g in got)
+    assert len(wanted) > 300 and len(got) < len(wanted) + 0.01 * len(whole)
+
+
 def test_values_of_the_survey(spark):
     """Known values: shares of a half, grades, windows of an attempt, lines, equivalents."""
     from oddsloom.operators import model, monitor, review
