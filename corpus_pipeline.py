@@ -21,6 +21,8 @@ from oddsloom.llm.toxicity import toxicity_scorer
 #: Near copies: shingles of five words, similarity 0.8 and more.
 SHINGLE_WORDS, NEAR_PERCENT = 5, 80
 TOXIC_FROM = 0.5
+#: The last stage's tasks remember a quarter of what they could: executors still hold what four stages before them left.
+THRIFT = 4
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +49,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left, with digests of the ids and of the text they decode to."""
-    return token_columns(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return token_columns(docs, public_tokenizers.path("piece_bpe_32k.model"), thrift=THRIFT)
 
 
 STAGES = [

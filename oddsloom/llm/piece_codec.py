@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oddsloom.llm import arrowtext as at
-from oddsloom.llm.subword import KnownParts
+from oddsloom.llm.subword import KNOWN, KnownParts
 
 SPACE = "▁"
 #: Pairs of tokens that a task remembers.
@@ -44,10 +44,11 @@ SLICE_BYTES = 1 << 20
 class PieceModel(KnownParts):
     """A merge-type vocabulary: ranks, splits, the automaton and the pair test."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, thrift: int = 1):
         import ahocorasick
         import sentencepiece
 
+        self.remembered, self.remembered_pairs = KNOWN // thrift, PAIRS // thrift
         source = sentencepiece.SentencePieceProcessor(model_file=path)
         size = source.vocab_size()
         self.end = source.eos_id()
@@ -142,7 +143,7 @@ class PieceModel(KnownParts):
                 until, right = born[right] + 1, self.halves[right][0]
             else:
                 break
-        if len(self.pairs) > PAIRS:
+        if len(self.pairs) > self.remembered_pairs:
             self.pairs.clear()
         self.pairs[a << 32 | b] = fits
         return fits
@@ -259,13 +260,13 @@ class PieceModel(KnownParts):
         return b"".join(out)
 
 
-def with_model(path: str, step: Callable[[PieceModel, pa.RecordBatch], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def with_model(path: str, step: Callable[[PieceModel, pa.RecordBatch], Iterator[pa.RecordBatch]], thrift: int = 1) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A task that reads the model once and gives its memory back at its end: a worker outlives its tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = None
         for batch in batches:
-            model = model or PieceModel(path)
+            model = model or PieceModel(path, thrift)
             yield from step(model, batch)
         del model
         at.release()
@@ -297,12 +298,16 @@ def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("id", "ids").mapInArrow(with_model(path, step), "id long, text string")
 
 
-def token_columns(documents: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", keep_ids: bool = True) -> DataFrame:
-    """``(id, n_tokens, ids_sha256, decoded_sha256)`` and, if wanted, ``ids``: every text encoded, and its ids decoded, in one pass."""
+def token_columns(documents: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", keep_ids: bool = True, thrift: int = 1) -> DataFrame:
+    """``(id, n_tokens, ids_sha256, decoded_sha256)`` and, if wanted, ``ids``: every text encoded, and its ids decoded, in one pass.
+
+    ``thrift`` divides what a task remembers and how much text it takes at a
+    time: less memory, more work, the same ids.
+    """
     at.small_batches(documents.sparkSession)
 
     def step(model: PieceModel, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for part in at.slices(batch, "text", SLICE_BYTES):
+        for part in at.slices(batch, "text", max(1, SLICE_BYTES // thrift)):
             ids, offsets = model.encode(part.column("text"))
             decimal = pc.take(model.decimal, pa.array(ids))
             cuts = np.frombuffer(decimal.buffers()[1], dtype=np.int32)[offsets].tolist()
@@ -318,7 +323,7 @@ def token_columns(documents: DataFrame, path: str, id_column: str = "doc_id", te
             yield pa.record_batch(made)
 
     kind = f"`{id_column}` long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
-    return documents.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text")).mapInArrow(with_model(path, step), kind)
+    return documents.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text")).mapInArrow(with_model(path, step, thrift), kind)
 
 
 def op4_piece_encoding(spark, sf_dir: str) -> DataFrame:

@@ -53,6 +53,8 @@ def data_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class KnownParts:
     """Encodes texts by their parts: ``parts`` cuts texts, ``encode_new`` asks the library."""
 
+    remembered = KNOWN
+
     def forget(self) -> None:
         self.known = pa.array([], pa.binary())
         self.lengths, self.ids = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
@@ -71,7 +73,7 @@ class KnownParts:
         used = number[coded.indices.to_numpy(zero_copy_only=False)]
         taken = self.lengths[used]
         found = self.ids[spread(starts[used], taken)]
-        if len(self.known) > KNOWN:
+        if len(self.known) > self.remembered:
             self.forget()
         return found, np.concatenate([[0], np.cumsum(taken)])[offsets]
 

@@ -52,3 +52,16 @@ def test_table(spark, library):
     encoded = pc.encode_texts(spark.createDataFrame(rows, "doc_id long, text string, ids int"), PATH)
     assert {(r["id"], r["text"]) for r in pc.decode_ids(encoded, PATH).collect()} == {(i, t or "") for i, t, _ in rows}
     assert pc.token_columns(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_thrift_remembers_less_and_changes_no_id(spark, library):
+    r = random.Random(4)
+    texts = [" ".join("".join(r.choice("abcdefgh") for _ in range(7)) for _ in range(300)) for _ in range(60)]
+    model = pc.PieceModel(PATH, thrift=1000)
+    for k in range(0, 60, 2):
+        ids, offsets = model.encode(pa.array(texts[k : k + 2]))
+        assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == library.encode(texts[k : k + 2], add_eos=True)
+        assert len(model.known) <= pc.KNOWN // 1000 and len(model.pairs) <= pc.PAIRS // 1000 + 1
+    rows = spark.createDataFrame([*enumerate(texts), (60, None), (61, "")], "doc_id long, text string")
+    wide, close = (sorted(pc.token_columns(rows, PATH, thrift=k).collect()) for k in (1, 4))
+    assert wide == close and len(close) == 62
