@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -134,6 +134,10 @@ def prebound(fixtures: DataFrame, bindings: DataFrame, provider: str, least: flo
     return fixtures.join(known, "match_key", "left")
 
 
+#: Rows of a table that is sent to every task; larger ones are joined by shuffle.
+SENT = 250_000
+
+
 def events_of_pairs(targets: DataFrame, markets: DataFrame, hours: float = 18.0) -> DataFrame:
     """The group of markets of each target's exact pair, near its kickoff.
 
@@ -142,40 +146,51 @@ def events_of_pairs(targets: DataFrame, markets: DataFrame, hours: float = 18.0)
     begins with it, in folded words; so a title is looked up by each of its
     beginnings after the word between, never by comparing all. Times must be
     within ``hours`` where both are there: both sides meet in time slots of
-    that length. Of several groups the one with most markets counts, then
-    with most liquidity, then the smaller id.
+    four times that length. Of several groups the one with most markets
+    counts, then with most liquidity, then the smaller id.
     """
     width = int(hours * 3600)
     seconds = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
-    # Equal names and equal titles are folded once; what is met several times is kept.
-    sides = targets.select("home", "away").distinct().select("home", "away", fold("home").alias("h"), fold("away").alias("a"))
-    named = targets.alias("t").join(sides.alias("s"), F.col("t.home").eqNullSafe(F.col("s.home")) & F.col("t.away").eqNullSafe(F.col("s.away")))
-    t = _checkpointed(named.select("t.id", "s.h", "s.a", seconds("t.kickoff").alias("t1")))
+    # Slots are long, so that few markets are near two of them.
+    slot = lambda t: F.floor(t / (4 * max(width, 1)))
+    # Equal names and equal titles are folded once, and rows go by a number of their pair, not by names.
+    sides = _checkpointed(targets.select("home", "away").distinct().select("home", "away", fold("home").alias("h"), fold("away").alias("a")).where("h <> '' and a <> ''"))
+    pairs = _checkpointed(sides.select("h", "a").distinct().withColumn("pair", F.monotonically_increasing_id()))
+    sent = F.broadcast if sides.count() <= SENT else lambda frame: frame
+    t = targets.join(sent(sides.join(pairs, ["h", "a"]).select("home", "away", "pair")), ["home", "away"], "left").select("id", "pair", seconds("kickoff").alias("t1"))
     # Both words between have one length, so a title fits a pair by one beginning at most.
     starts = "filter(transform(w, (x, i) -> if(i > 1 and exists(slice(w, 2, i - 1), y -> y in ('vs', 'v')), array_join(slice(w, 1, i + 1), ' '), null)), x -> x is not null)"
-    pairs = t.where("h <> '' and a <> ''").select("h", "a").distinct().withColumn("label", F.explode(F.array(*[F.concat("h", F.lit(by), "a") for by in (" vs ", " v ")])))
-    titles = markets.where("coalesce(group_id, '') <> ''").select("title").distinct().withColumn("w", F.split(fold("title"), " ")).withColumn("label", F.explode(F.expr(starts))).join(pairs, "label").select("title", "h", "a")
-    m = markets.where("coalesce(group_id, '') <> ''").select(F.col("group_id").cast("string").alias("group_id"), "title", seconds("at").alias("t2"), F.coalesce("liquidity", F.lit(0.0)).alias("liquidity"))
-    m = _checkpointed(m.join(titles, "title").groupBy("h", "a", "group_id", "t2").agg(F.count("*").alias("markets"), F.sum("liquidity").alias("liquidity")))
-    totals = [F.sum("markets").alias("markets"), F.sum("liquidity").alias("liquidity")]
+    labels = pairs.withColumn("label", F.explode(F.array(*[F.concat("h", F.lit(by), "a") for by in (" vs ", " v ")])))
+    grouped = markets.where("coalesce(group_id, '') <> ''")
+    titles = _checkpointed(grouped.select("title").distinct().withColumn("w", F.split(fold("title"), " ")).withColumn("label", F.explode(F.expr(starts))).join(labels, "label").select("title", "pair"))
+    known = F.broadcast(titles) if titles.count() <= SENT else titles
+    m = grouped.select(F.col("group_id").cast("string").alias("group_id"), "title", seconds("at").alias("t2"), F.coalesce("liquidity", F.lit(0.0)).alias("liquidity")).join(known, "title").select("pair", "group_id", "t2", "liquidity")
+    # Markets are dealt once by pair and group, for all that is counted of a group.
+    m = m.repartition("pair", "group_id")
     # The smallest of negated counts, so that of equal groups the smaller id counts.
-    rank = F.struct((-F.col("markets")).alias("m"), (-F.round("liquidity", 6)).alias("l"), "group_id", "apart")
-    best_of = lambda groups, *keys: groups.groupBy(*keys).agg(F.min(rank).alias("b"), F.count("*").alias("groups"))
-    never = F.lit(None).cast("long").alias("apart")
+    rank = lambda markets, liquidity, apart: F.struct((-markets).alias("m"), (-F.round(liquidity, 6)).alias("l"), "group_id", apart.alias("apart"))
+    never = F.lit(None).cast("long")
+    timeless = F.col("t2").isNull()
     # A time is missing: all targets of a pair meet the same markets, which are counted once for the pair.
-    whole = best_of(m.groupBy("h", "a", "group_id").agg(*totals).withColumn("apart", never), "h", "a")
-    timeless = m.where("t2 is null").groupBy("h", "a", "group_id").agg(*totals)
-    standing = best_of(timeless.withColumn("apart", never), "h", "a").select("h", "a", F.col("b").alias("b0"), F.col("groups").alias("g0"))
-    timed = t.where("t1 is not null and h <> '' and a <> ''").select("h", "a", "t1").distinct()
-    slot = lambda c: F.floor(F.col(c) / width)
-    near = timed.withColumn("slot", F.explode(F.array(slot("t1") - 1, slot("t1"), slot("t1") + 1))).join(m.where("t2 is not null").withColumn("slot", slot("t2")), ["h", "a", "slot"]).where(F.abs(F.col("t1") - F.col("t2")) <= width)
-    groups = near.groupBy("h", "a", "t1", "group_id").agg(*totals, F.min(F.abs(F.col("t1") - F.col("t2"))).alias("apart"))
-    both = groups.join(timeless.select("h", "a", "group_id", F.col("markets").alias("m0"), F.col("liquidity").alias("l0")), ["h", "a", "group_id"], "left")
-    both = both.select("h", "a", "t1", "group_id", (F.col("markets") + F.coalesce("m0", F.lit(0))).alias("markets"), (F.col("liquidity") + F.coalesce("l0", F.lit(0.0))).alias("liquidity"), "apart", F.col("m0").isNull().alias("new"))
+    whole = m.groupBy("pair", "group_id").agg(F.count("*").alias("markets"), F.sum("liquidity").alias("liquidity"), F.count_if(timeless).alias("m0"), F.sum(F.when(timeless, F.col("liquidity"))).alias("l0"))
+    of_all, of_timeless = rank(F.col("markets"), F.col("liquidity"), never), F.when(F.col("m0") > 0, rank(F.col("m0"), F.col("l0"), never))
+    standing = whole.groupBy("pair").agg(F.min(of_all).alias("b1"), F.count("*").alias("g1"), F.min(of_timeless).alias("b0"), F.count_if(F.col("m0") > 0).alias("g0"))
+    by_group = Window.partitionBy("pair", "group_id")
+    entries = m.groupBy("pair", "group_id", "t2").agg(F.count("*").alias("markets"), F.sum("liquidity").alias("liquidity"))
+    entries = entries.withColumn("m0", F.sum(F.when(timeless, F.col("markets"))).over(by_group)).withColumn("l0", F.sum(F.when(timeless, F.col("liquidity"))).over(by_group)).where(~timeless)
+    # A market stands in every slot that it is near to, so a slot's targets meet theirs in one task: what they meet is counted there and never shuffled.
+    entries = entries.withColumn("slot", F.explode(F.sequence(slot(F.col("t2") - width), slot(F.col("t2") + width))))
+    timed = t.where("t1 is not null and pair is not null").withColumn("slot", slot(F.col("t1")))
+    apart = F.abs(F.col("t1") - F.col("t2"))
+    near = timed.select("pair", "slot", "t1").repartition("pair", "slot").distinct().join(entries, ["pair", "slot"]).where(apart <= width)
+    groups = near.groupBy("pair", "slot", "t1", "group_id").agg(F.sum("markets").alias("markets"), F.sum("liquidity").alias("liquidity"), F.min(apart).alias("apart"), F.max("m0").alias("m0"), F.max("l0").alias("l0"))
     # A group near by has more markets than its timeless ones alone, so those never pass it.
-    close = both.groupBy("h", "a", "t1").agg(F.min(rank).alias("b"), F.count_if("new").alias("groups"))
-    met = t.where("t1 is not null").join(close, ["h", "a", "t1"], "left").join(standing, ["h", "a"], "left").select("id", F.least("b", "b0").alias("b"), (F.coalesce("groups", F.lit(0)) + F.coalesce("g0", F.lit(0))).alias("groups"))
-    rows = met.unionByName(t.where("t1 is null").join(whole, ["h", "a"], "left").select("id", "b", F.coalesce("groups", F.lit(0)).alias("groups")))
+    best = rank(F.col("markets") + F.coalesce("m0", F.lit(0)), F.col("liquidity") + F.coalesce("l0", F.lit(0.0)), F.col("apart"))
+    close = groups.groupBy("pair", "slot", "t1").agg(F.min(best).alias("b"), F.count_if(F.col("m0").isNull()).alias("groups"))
+    met = timed.join(close, ["pair", "slot", "t1"], "left").select("id", "pair", F.lit(True).alias("timed"), "b", "groups")
+    rows = met.unionByName(t.where("t1 is null or pair is null").select("id", "pair", F.lit(False).alias("timed")), allowMissingColumns=True).join(sent(standing), "pair", "left")
+    count = F.when(F.col("timed"), F.coalesce("groups", F.lit(0)) + F.coalesce("g0", F.lit(0))).otherwise(F.coalesce("g1", F.lit(0)))
+    rows = rows.select("id", F.when(F.col("timed"), F.least("b", "b0")).otherwise(F.col("b1")).alias("b"), count.alias("groups"))
     return rows.select("id", F.when(F.col("b").isNull(), "no_exact_event").otherwise("exact_event").alias("status"), "b.group_id", (-F.col("b.m")).alias("markets"), F.round(-F.col("b.l"), 6).alias("liquidity"), "groups", F.round(F.col("b.apart") / 3600, 4).alias("hours_apart"))
 
 

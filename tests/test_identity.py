@@ -4,6 +4,7 @@ import difflib
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from oddsloom.operators import identity
@@ -118,6 +119,56 @@ def test_events_of_a_crowded_pair(spark):
             assert tuple(r)[2:] == ("g0", n // 3, n / 3, 3, None)
 
 
+@pytest.mark.parametrize("sent", [identity.SENT, 0])
+def test_events_equal_all_pairs(spark, monkeypatch, sent):
+    """Against all targets and markets compared: equal kickoffs and targets, times at the edges of slots, markets without a time, and pairs that no market names."""
+    monkeypatch.setattr(identity, "SENT", sent)
+    r = random.Random(11)
+    width, base = 18 * 3600, 4 * 18 * 3600 * 6600
+    # Many stand at a slot's bound, or a width away from one.
+    when = lambda: None if r.random() < 0.15 else base + r.choice([-2, -1, 0, 1, 4]) * width + r.choice([-1, 0, 1, r.randrange(-width, width)])
+    names = ["Spain", "Italy B", "Perú", "Oman"]
+    targets = [(i, r.choice([*names, "", None]), r.choice(names), when()) for i in range(300)]
+    markets = [(r.choice([f"g{k}" for k in range(12)] + ["", None]), r.choice(["{} vs {}", "{} V. {}", "{} vs {} - more", "x {} vs {}", "{} or {}"]).format(r.choice(names[:3]), r.choice(names)), when(), r.choice([None, 0.5, 1.25, 3.0])) for _ in range(900)]
+    shape = [("id int, home string, away string, kickoff long", "kickoff", targets), ("group_id string, title string, at long, liquidity double", "at", markets)]
+    frames = [spark.createDataFrame(rows, columns).withColumn(c, F.timestamp_seconds(c)) for columns, c, rows in shape]
+    found = {x["id"]: tuple(x)[1:] for x in identity.events_of_pairs(*frames).collect()}
+    plain = lambda x: x.replace("ú", "u").lower()
+    assert len(found) == 300
+    for i, home, away, t1 in targets:
+        groups = {}
+        for group, title, t2, liquidity in markets:
+            folded = plain(title).replace("v. ", "v ")
+            fits = home and any(f"{folded} ".startswith(f"{plain(home)} {by} {plain(away)} ") for by in ("vs", "v"))
+            if group and fits and (t1 is None or t2 is None or abs(t1 - t2) <= width):
+                n, total, apart = groups.get(group, (0, 0.0, None))
+                gap = None if t1 is None or t2 is None else abs(t1 - t2)
+                groups[group] = (n + 1, total + (liquidity or 0.0), gap if apart is None else apart if gap is None else min(apart, gap))
+        if groups:
+            group = min(groups, key=lambda g: (-groups[g][0], -groups[g][1], g))
+            n, total, apart = groups[group]
+            assert found[i] == ("exact_event", group, n, total, len(groups), None if apart is None else round(apart / 3600, 4)), i
+        else:
+            assert found[i] == ("no_exact_event", None, None, None, 0, None), i
+
+
+def test_events_near_by_stay_in_their_task(spark):
+    """What targets and markets meet near by is counted where they meet: it is neither shuffled nor spilled."""
+    t = datetime(2024, 6, 1, 18)
+    targets = spark.range(1000).selectExpr("id", "'Spain' as home", "'Italy' as away", f"timestamp'{t}' + make_interval(0, 0, 0, 0, 0, 0, id) as kickoff")
+    markets = spark.range(1000).selectExpr("concat('g', id) as group_id", "'Spain vs Italy' as title", f"timestamp'{t}' + make_interval(0, 0, 0, 0, 0, 0, id) as at", "1D as liquidity")
+    gateway = spark.sparkContext._gateway
+
+    def written():
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return {(x := stages.apply(k)).stageId(): x.shuffleWriteBytes() + x.diskBytesSpilled() for k in range(stages.size())}
+
+    before = written()
+    rows = identity.events_of_pairs(targets, markets).collect()
+    assert {tuple(r)[1:6] for r in rows} == {("exact_event", "g0", 1, 1.0, 1000)} and len(rows) == 1000
+    assert 0 < sum(n for k, n in written().items() if k not in before) < 1_000_000
+
+
 def test_alike_names_in_many_blocks(spark, monkeypatch):
     """Each two blocks meet once, and no pair is lost between them; empty and missing names meet nothing."""
     monkeypatch.setattr(identity, "BLOCK", 3)
