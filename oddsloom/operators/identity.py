@@ -6,7 +6,8 @@ import difflib
 import html
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from decimal import ROUND_HALF_UP, Context, Decimal
 
 import numpy as np
 import pandas as pd
@@ -137,6 +138,105 @@ def prebound(fixtures: DataFrame, bindings: DataFrame, provider: str, least: flo
 #: Rows of a table that is sent to every task; larger ones are joined by shuffle.
 SENT = 250_000
 
+#: Targets and markets that are compared at once, and rows that a task returns at once.
+COMPARED, RETURNED = 1_000_000, 100_000
+_DIGITS = Context(prec=400, rounding=ROUND_HALF_UP)
+
+
+def _rounded(x: np.ndarray) -> np.ndarray:
+    """To six places as Spark rounds: halves of the digits shown go away from zero."""
+    y = np.round(x, 6)
+    for i in np.flatnonzero(np.isfinite(x) & ((np.abs(np.abs(x) * 1e6 % 1 - 0.5) < 1e-3) | (np.abs(x) > 1e9))):
+        y[i] = float(Decimal(repr(float(x[i]))).quantize(Decimal("1e-6"), context=_DIGITS))
+    return y
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before it; the first row does."""
+    return np.flatnonzero(np.r_[True, np.logical_or.reduce([c[1:] != c[:-1] for c in columns])]) if len(columns[0]) else np.zeros(0, int)
+
+
+def _met_near(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For ``events_of_pairs``: the best group within ``width`` seconds of each target, and how many groups without timeless markets are.
+
+    Rows come sorted by pair, slot, group and time, targets (without a group)
+    first. A task holds the rows of one pair and slot, besides those of a batch.
+    """
+
+    def best(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        number = lambda c, none=0: rows[c].fill_null(none).to_numpy()
+        pair, slot, group, id_of = number("pair"), number("slot"), rows["group_id"].combine_chunks(), rows["id"].combine_chunks()
+        target = group.is_null().to_numpy(zero_copy_only=False)
+        cell = np.zeros(len(pair), int)
+        cell[_changes(pair, slot)[1:]] = 1
+        cell = np.cumsum(cell)
+        of_targets, of_markets = np.flatnonzero(target), np.flatnonzero(~target)
+        time, names = number("t"), group.take(pa.array(of_markets))
+        t2, markets, liquidity, m0, l0 = time[of_markets], *(number(c)[of_markets] for c in ("markets", "liquidity", "m0", "l0"))
+        run = names.dictionary_encode().indices.to_numpy()
+        # Targets of one cell and time meet the same.
+        t1, home = time[of_targets], cell[of_targets]
+        firsts = _changes(home, t1)
+        which = np.repeat(np.arange(len(firsts)), np.diff(np.r_[firsts, len(t1)]))
+        t1, home = t1[firsts], home[firsts]
+        start, end = (np.searchsorted(cell[of_markets], home, side) for side in ("left", "right"))
+        n = end - start
+        found = {c: np.zeros(len(t1), kind) for c, kind in (("at", int), ("markets", int), ("apart", int), ("groups", int), ("liquidity", float))}
+        ends = np.cumsum(n)
+        low = 0
+        while low < len(t1):
+            high = max(low + 1, int(np.searchsorted(ends, ends[low] - n[low] + COMPARED, "right")))
+            met = n[low:high]
+            at = np.arange(met.sum()) + np.repeat(start[low:high] - (ends[low:high] - met - (ends[low] - n[low])), met)
+            apart = np.abs(t2[at] - np.repeat(t1[low:high], met))
+            near = np.flatnonzero(apart <= width)
+            at, apart, who = at[near], apart[near], np.repeat(np.arange(low, high), met)[near]
+            low = high
+            if not len(at):
+                continue
+            one = _changes(who, run[at])
+            of, first = who[one], at[one]
+            count = np.add.reduceat(markets[at], one) + m0[first]
+            total = np.add.reduceat(liquidity[at], one) + l0[first]
+            apart = np.minimum.reduceat(apart, one)
+            # Most markets, then most liquidity (no number is least), then the group that comes first.
+            own = _changes(of)
+            spread = lambda x: np.repeat(x, np.diff(np.r_[own, len(of)]))
+            shown = _rounded(total)
+            most = count == spread(np.maximum.reduceat(count, own))
+            much = spread(np.fmax.reduceat(np.where(most, shown, np.nan), own))
+            most &= (shown == much) | (np.isnan(shown) & np.isnan(much))
+            place = np.minimum.reduceat(np.where(most, np.arange(len(of)), len(of)), own)
+            for c, x in (("at", first[place]), ("markets", count[place]), ("apart", apart[place]), ("liquidity", total[place]), ("groups", np.add.reduceat((m0[first] == 0).astype(int), own))):
+                found[c][of[own]] = x
+        found = {c: x[which] for c, x in found.items()}
+        none = found["markets"] == 0
+        for i in range(0, len(none), RETURNED):
+            cut = slice(i, i + RETURNED)
+            columns = {"id": id_of.take(pa.array(of_targets[cut])), "pair": pa.array(pair[of_targets[cut]])}
+            columns |= {c: pa.array(found[c][cut], mask=none[cut]) for c in ("markets", "apart")} | {"groups": pa.array(found["groups"][cut])}
+            columns |= {"liquidity": pa.array(found["liquidity"][cut], mask=none[cut]), "group_id": names.take(pa.array(found["at"][cut], mask=none[cut]))}
+            yield pa.record_batch(columns)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for batch in batches:
+            if batch.num_rows:
+                pair, slot = (batch.column(c).to_numpy() for c in ("pair", "slot"))
+                starts = _changes(pair, slot)
+                if last == (pair[0], slot[0]):
+                    starts = starts[1:]
+                if len(starts):
+                    held.append(batch.slice(0, starts[-1]))
+                    yield from best(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(starts[-1] if len(starts) else 0))
+                last = (pair[-1], slot[-1])
+        if held:
+            yield from best(pa.Table.from_batches(held))
+
+    return meet
+
 
 def events_of_pairs(targets: DataFrame, markets: DataFrame, hours: float = 18.0) -> DataFrame:
     """The group of markets of each target's exact pair, near its kickoff.
@@ -179,15 +279,13 @@ def events_of_pairs(targets: DataFrame, markets: DataFrame, hours: float = 18.0)
     entries = m.groupBy("pair", "group_id", "t2").agg(F.count("*").alias("markets"), F.sum("liquidity").alias("liquidity"))
     entries = entries.withColumn("m0", F.sum(F.when(timeless, F.col("markets"))).over(by_group)).withColumn("l0", F.sum(F.when(timeless, F.col("liquidity"))).over(by_group)).where(~timeless)
     # A market stands in every slot that it is near to, so a slot's targets meet theirs in one task: what they meet is counted there and never shuffled.
-    entries = entries.withColumn("slot", F.explode(F.sequence(slot(F.col("t2") - width), slot(F.col("t2") + width))))
-    timed = t.where("t1 is not null and pair is not null").withColumn("slot", slot(F.col("t1")))
-    apart = F.abs(F.col("t1") - F.col("t2"))
-    near = timed.select("pair", "slot", "t1").repartition("pair", "slot").distinct().join(entries, ["pair", "slot"]).where(apart <= width)
-    groups = near.groupBy("pair", "slot", "t1", "group_id").agg(F.sum("markets").alias("markets"), F.sum("liquidity").alias("liquidity"), F.min(apart).alias("apart"), F.max("m0").alias("m0"), F.max("l0").alias("l0"))
+    entries = entries.withColumn("slot", F.explode(F.sequence(slot(F.col("t2") - width), slot(F.col("t2") + width)))).withColumnRenamed("t2", "t")
+    timed = t.where("t1 is not null and pair is not null").select("id", "pair", slot(F.col("t1")).alias("slot"), F.col("t1").alias("t"))
+    # Targets have no group, so they come first.
+    dealt = entries.unionByName(timed, allowMissingColumns=True).select("pair", "slot", "group_id", "t", "markets", "liquidity", "m0", "l0", "id").repartition("pair", "slot").sortWithinPartitions("pair", "slot", "group_id", "t")
+    shape = T.StructType([T.StructField("id", t.schema["id"].dataType), *(T.StructField(c, T.LongType()) for c in ("pair", "markets", "apart", "groups")), T.StructField("liquidity", T.DoubleType()), T.StructField("group_id", T.StringType())])
     # A group near by has more markets than its timeless ones alone, so those never pass it.
-    best = rank(F.col("markets") + F.coalesce("m0", F.lit(0)), F.col("liquidity") + F.coalesce("l0", F.lit(0.0)), F.col("apart"))
-    close = groups.groupBy("pair", "slot", "t1").agg(F.min(best).alias("b"), F.count_if(F.col("m0").isNull()).alias("groups"))
-    met = timed.join(close, ["pair", "slot", "t1"], "left").select("id", "pair", F.lit(True).alias("timed"), "b", "groups")
+    met = dealt.mapInArrow(_met_near(width), shape).withColumn("b", F.when(F.col("markets").isNotNull(), rank(F.col("markets"), F.col("liquidity"), F.col("apart")))).select("id", "pair", F.lit(True).alias("timed"), "b", "groups")
     rows = met.unionByName(t.where("t1 is null or pair is null").select("id", "pair", F.lit(False).alias("timed")), allowMissingColumns=True).join(sent(standing), "pair", "left")
     count = F.when(F.col("timed"), F.coalesce("groups", F.lit(0)) + F.coalesce("g0", F.lit(0))).otherwise(F.coalesce("g1", F.lit(0)))
     rows = rows.select("id", F.when(F.col("timed"), F.least("b", "b0")).otherwise(F.col("b1")).alias("b"), count.alias("groups"))
