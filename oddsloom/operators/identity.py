@@ -145,8 +145,8 @@ _DIGITS = Context(prec=400, rounding=ROUND_HALF_UP)
 
 def _rounded(x: np.ndarray) -> np.ndarray:
     """To six places as Spark rounds: halves of the digits shown go away from zero."""
-    y = np.round(x, 6)
-    for i in np.flatnonzero(np.isfinite(x) & ((np.abs(np.abs(x) * 1e6 % 1 - 0.5) < 1e-3) | (np.abs(x) > 1e9))):
+    y, size = np.round(x, 6), np.where(np.isfinite(x), np.abs(x), 0.0)
+    for i in np.flatnonzero((np.abs(size * 1e6 % 1 - 0.5) < 1e-3) | (size > 1e9)):
         y[i] = float(Decimal(repr(float(x[i]))).quantize(Decimal("1e-6"), context=_DIGITS))
     return y
 

@@ -4,6 +4,8 @@ import difflib
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,6 +125,9 @@ def test_events_of_a_crowded_pair(spark):
 def test_events_equal_all_pairs(spark, monkeypatch, sent):
     """Against all targets and markets compared: equal kickoffs and targets, times at the edges of slots, markets without a time, and pairs that no market names."""
     monkeypatch.setattr(identity, "SENT", sent)
+    if not sent:
+        monkeypatch.setattr(identity, "COMPARED", 5)
+        monkeypatch.setattr(identity, "RETURNED", 3)
     r = random.Random(11)
     width, base = 18 * 3600, 4 * 18 * 3600 * 6600
     # Many stand at a slot's bound, or a width away from one.
@@ -152,6 +157,27 @@ def test_events_equal_all_pairs(spark, monkeypatch, sent):
             assert found[i] == ("no_exact_event", None, None, None, 0, None), i
 
 
+def test_sums_are_rounded_as_spark_rounds(spark):
+    r = random.Random(5)
+    given = [0.0, 0.1 + 0.2, 2.0000005, -2.0000005, 1.0000015, 1e9 + 0.0000005, 12345678901.25, 1e15 + 0.5, 1e300, float("inf"), *(r.randrange(10**9) / 1e7 for _ in range(500))]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(given)], "i int, x double").select("i", F.round("x", 6).alias("y")).orderBy("i").collect()
+    assert identity._rounded(np.array(given)).tolist() == [x["y"] for x in rows]
+
+
+def test_near_markets_of_a_slot_in_many_batches():
+    """A pair's slot that goes over batches is counted as one, and slots of one batch apart."""
+    shape = pa.schema([("pair", pa.int64()), ("slot", pa.int64()), ("group_id", pa.string()), ("t", pa.int64()), ("markets", pa.int64()), ("liquidity", pa.float64()), ("m0", pa.int64()), ("l0", pa.float64()), ("id", pa.int64())])
+    rows = []
+    for pair in range(3):
+        rows += [(pair, 0, None, t, None, None, None, None, 10 * pair + t) for t in (1, 1, 5)]
+        rows += [(pair, 0, group, t, 1, 2.0, m0, l0, None) for group, m0, l0 in (("a", None, None), ("b", 2, 1.0)) for t in range(7)]
+    table = pa.Table.from_pylist([dict(zip(shape.names, row)) for row in rows], schema=shape)
+    wanted = {(10 * pair + t, pair, near + 2, 0, 1, 2.0 * near + 1, "b") for pair in range(3) for t, near in ((1, 4), (5, 4))}
+    for size in (1, 2, 7, 1000):
+        found = [tuple(x.values()) for batch in identity._met_near(2)(iter(table.to_batches(max_chunksize=size))) for x in batch.to_pylist()]
+        assert set(found) == wanted and len(found) == 9
+
+
 def test_events_near_by_stay_in_their_task(spark):
     """What targets and markets meet near by is counted where they meet: it is neither shuffled nor spilled."""
     t = datetime(2024, 6, 1, 18)
